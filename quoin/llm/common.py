@@ -83,8 +83,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def hash_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: pa.Array, inside: np.ndarray, shapes: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words (A-Z lower-cased) of a column of texts, and where each row's words begin.
+    With ``shapes`` also each word's length in bytes and its number of A-Z.
 
     A word is a longest run of bytes for which ``inside`` holds; no word spans two rows. Nulls have
     no words. Bytes are taken a megabyte at a time, cut between words.
@@ -98,7 +99,7 @@ def hash_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
     offsets = offsets - offsets[0]
     value = np.where(inside, _byte_values(), np.uint64(0))
     power, inverse = _powers(_POWER, _CHUNK), _powers(_INVERSE, _CHUNK)
-    found, starts, at = [], [], 0
+    found, starts, sizes, capitals, at = [], [], [], [], 0
     while at < len(data):
         end = min(at + _CHUNK, len(data))
         while end < len(data) and inside[data[end]] and inside[data[end - 1]]:  # not within a word
@@ -123,10 +124,16 @@ def hash_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.cumsum(value[d] * power[: len(d)], out=total[1:])
         found.append(mixed((total[b] - total[a]) * inverse[a]))
         starts.append(a + at)
+        if shapes:
+            upper = np.zeros(len(d) + 1, np.int64)
+            np.cumsum((d >= 65) & (d <= 90), out=upper[1:])
+            sizes.append(b - a)
+            capitals.append(upper[b] - upper[a])
         at = end
     hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
     begins = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(begins, offsets)
+    rest = tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, capitals)) if shapes else ()
+    return hashes, np.searchsorted(begins, offsets), *rest
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
