@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -23,19 +24,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, release: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    Later steps start from files that outlive any executor, and the planner knows their size.
-    Afterwards the shuffle files of the steps before can go: Spark drops them once the driver has
-    collected the plans that own them.
+    Later steps start from files that outlive any executor, and the planner knows their size. After a
+    large step, ``release`` lets Spark drop its shuffle files: it does so once the driver has collected
+    the plans that own them, which without this may be much later.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        time.sleep(0.3)  # the gateway lets go of the collected plans in a thread of its own
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
