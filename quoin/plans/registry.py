@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _family in ("questions",):
+for _family in ("questions", "ranking"):
     importlib.import_module(f"quoin.plans.{_family}")
