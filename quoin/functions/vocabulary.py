@@ -28,3 +28,14 @@ BOILERPLATE = (r"^\s*quốc\s*hội\s*$", r"^\s*cộng\s*hòa\s*xã\s*hội\s*ch
 ANALYZER_STOP = ("của", "và", "trong", "với", "đã", "được", "có", "là", "từ", "cho", "về", "theo", "như", "khi", "nếu", "để", "sẽ", "đến", "tại", "các", "những", "một", "này", "đó", "không", "hoặc")
 #: Vietnamese letters by the plain letter they fold to.
 FOLDED = (("a", "àáảãạăằắẳẵặâầấẩẫậ"), ("d", "đ"), ("e", "èéẻẽẹêềếểễệ"), ("i", "ìíỉĩị"), ("o", "òóỏõọôồốổỗộơờớởỡợ"), ("u", "ùúủũụưừứửữự"), ("y", "ỳýỷỹỵ"))
+LAW_ID = r"([0-9]+)[/\-]([0-9]{4})[/\-]?(QH[0-9]*|NĐ[-\s]?CP|TT[-\s]?[A-Z]*)?"
+LAW_NAMES = ((r"^\s*luật\s+(.+)$", "Luật"), (r"^\s*nghị\s*định\s+(.+)$", "Nghị định"), (r"^\s*thông\s*tư\s+(.+)$", "Thông tư"))
+DOC_KINDS = (("LAW", r"(?m)^\s*luật\s*$|qh[0-9]*"), ("DECREE", r"(?m)^\s*nghị\s*định\s*$|nđ[-\s]?cp"), ("CIRCULAR", r"(?m)^\s*thông\s*tư\s*$|tt[-\s]?[a-z]+"))
+#: Headings, on one trimmed line.
+HEADINGS = (("CHUONG", r"^(?:chương)\s+([ivxlcdm]+)\.?\s*(.*)$"), ("MUC", r"^(?:mục)\s+([0-9]+)\.?\s*(.*)$"), ("DIEU", r"^(?:điều)\s+([0-9]+[a-z]?)\.?\s*(.*)$"), ("KHOAN", r"^([0-9]{1,2})\.\s+(.*)$"), ("DIEM", r"^([a-zđăâêôơư])\)\s+(.*)$"))
+DEFINITION = r"giải\s+thích\s+từ\s+ngữ|trong\s+(?:luật|nghị\s+định|thông\s+tư)\s+này.*hiểu\s+như\s+sau|định\s+nghĩa"
+VIETNAMESE = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
+AMENDING = r"sửa đổi|bổ sung|cập nhật|thay thế|điều chỉnh"
+TRUNCATED = (r",\s*$", r"tại\s+[Kk]hoản\s*$", r"tại\s+[Đđ]iều\s*$", r"theo\s+[Qq]uy\s+định\s*$", r"như\s+sau\s*:\s*$", r"bao\s+gồm\s*:\s*$", r"[;:]\s*$", r"\.\.\.\s*$", r"và\s*$", r"hoặc\s*$", r"gồm\s*$", r"có\s*$", r"là\s*$", r"được\s*$", r"phải\s*$")
+ROMAN = (("i", 1), ("ii", 2), ("iii", 3), ("iv", 4), ("v", 5), ("vi", 6), ("vii", 7), ("viii", 8), ("ix", 9), ("x", 10))
+ID_PREFIXES = ("MON_HOC_", "KHOA_", "NGANH_", "QUY_DINH_", "DIEU_KIEN_")
