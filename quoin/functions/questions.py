@@ -150,26 +150,28 @@ def filters(text: Column) -> Column:
 
 def answer_type(text: Column) -> Column:
     t = low(text)
-    return F.when(has_any(t, V.PROCEDURAL), "procedural").when(has_any(t, V.COMPARATIVE), "comparative").otherwise("informative")
+    return F.when(has_any(t, V.ANSWER_PROCEDURAL), "procedural").when(has_any(t, V.ANSWER_COMPARATIVE), "comparative").otherwise("informative")
 
 
 def retrieval_plan(text: Column) -> Column:
-    """k, flags and strategy of a question from its rules."""
-    simple, score = simple_query(text).isNotNull(), complexity_score(text)
+    """k, flags and strategy of a question from its complexity; simple questions are answered directly."""
+    score = complexity_score(text)
     label = complexity(score)
+    hard = label == "complex"
     return F.struct(
-        F.when(simple, 0).when(label == "simple", 5).when(label == "medium", 8).otherwise(10).alias("k"),
-        (~simple & (label != "simple")).alias("hybrid"),
-        (~simple & (label == "complex")).alias("rerank"),
-        F.when(simple, "direct_response").when(label == "complex", "advanced_rag").otherwise("standard_rag").alias("strategy"),
-        (~simple & needs_graph(text)).alias("use_graph"),
+        F.when(label == "simple", 0).when(hard & (score > 7), 10).when(hard, 8).otherwise(5).alias("k"),
+        hard.alias("hybrid"),
+        (hard & (score > 7)).alias("rerank"),
+        F.when(label == "simple", "direct_response").when(hard, "advanced_rag").otherwise("standard_rag").alias("strategy"),
+        ((label != "simple") & (hard | needs_graph(text) | (intent(text) == "comparative"))).alias("use_graph"),
     )
 
 
-def iteration_plan(label: Column, score: Column, most: int = 3) -> Column:
-    """How often retrieval and reasoning alternate: once, or more if a question is complex."""
-    return F.when((label == "complex") | (score >= 6.5), F.when(score >= 8.5, most).otherwise(2)).otherwise(1)
+def iteration_plan(label: Column, score: Column, threshold: float = 6.5) -> Column:
+    """Whether retrieval and reasoning alternate, and in how many rounds at most."""
+    rounds = F.when((label == "complex") & (score >= 7), 3).when(label == "complex", 2).otherwise(1)
+    return F.struct(((label == "complex") | (score >= threshold)).alias("iterate"), rounds.alias("rounds"))
 
 
 def store_route(route: Column) -> Column:
-    return F.struct(route.isin("graph", "hybrid", "local", "global", "multi_hop").alias("graph"), route.isin("vector", "hybrid", "local").alias("vector"))
+    return F.struct(route.isin("graph_traversal", "legal_trace", "hybrid_search").alias("graph"), route.isin("vector_search", "hybrid_search").alias("vector"))

@@ -6,6 +6,8 @@ SOCIAL = ("xin chào", "hello", "hi", "chào", "cảm ơn", "thanks", "thank you
 GREETING = ("xin chào", "hello", "cảm ơn", "tạm biệt")
 COMPARATIVE = ("so sánh", "khác biệt", "giống nhau", "vs")
 PROCEDURAL = ("cách", "làm sao", "thế nào", "quy trình", "hướng dẫn")
+ANSWER_PROCEDURAL = ("làm thế nào", "hướng dẫn", "cách", "thủ tục", "quy trình")
+ANSWER_COMPARATIVE = ("so sánh", "khác nhau", "giống", "phân biệt")
 TRIVIAL = ("xin chào", "hello", "cảm ơn", "tạm biệt", "ok")
 COMPLEX = ("so sánh", "phân tích", "đánh giá", "quy trình chi tiết", "hướng dẫn", "các bước", "làm thế nào", "khác biệt")
 RELATIONSHIP = ("mối quan hệ", "quan hệ", "liên quan", "liên kết", "kết nối", "ảnh hưởng", "tác động", "phụ thuộc", "dẫn đến", "gây ra", "bắt nguồn từ")
@@ -39,3 +41,9 @@ AMENDING = r"sửa đổi|bổ sung|cập nhật|thay thế|điều chỉnh"
 TRUNCATED = (r",\s*$", r"tại\s+[Kk]hoản\s*$", r"tại\s+[Đđ]iều\s*$", r"theo\s+[Qq]uy\s+định\s*$", r"như\s+sau\s*:\s*$", r"bao\s+gồm\s*:\s*$", r"[;:]\s*$", r"\.\.\.\s*$", r"và\s*$", r"hoặc\s*$", r"gồm\s*$", r"có\s*$", r"là\s*$", r"được\s*$", r"phải\s*$")
 ROMAN = (("i", 1), ("ii", 2), ("iii", 3), ("iv", 4), ("v", 5), ("vi", 6), ("vii", 7), ("viii", 8), ("ix", 9), ("x", 10))
 ID_PREFIXES = ("MON_HOC_", "KHOA_", "NGANH_", "QUY_DINH_", "DIEU_KIEN_")
+LEGAL_TERMS = ("luật", "nghị định", "thông tư", "quy định", "điều", "khoản")
+ASPECTS = ("đầu tiên", "thứ hai", "cuối cùng", "ngoài ra", "bên cạnh đó")
+AMENDING_ARTICLE = ("cập nhật", "sửa đổi", "bổ sung", "như sau")
+#: First and last article of each chapter.
+CHAPTER_RANGES = ((1, 1, 9), (2, 10, 19), (3, 20, 27), (4, 28, 30), (5, 31, 34), (6, 35, None))
+TOPICS = (("học phí", ("học phí", "mức phí", "thanh toán", "hphk", "đóng phí", "học bổng")), ("chương trình đào tạo", ("chương trình đào tạo", "học phần", "tín chỉ", "khung chương trình")), ("tuyển sinh", ("tuyển sinh", "xét tuyển", "đăng ký xét tuyển", "hồ sơ tuyển sinh")), ("tốt nghiệp", ("tốt nghiệp", "xét tốt nghiệp", "bằng tốt nghiệp", "bảo vệ luận văn")), ("điểm số", ("điểm", "thang điểm", "điểm chữ", "điểm số", "điểm trung bình")), ("học tập", ("học tập", "sinh viên", "người học", "kết quả học tập")))

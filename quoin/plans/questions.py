@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import questions as Q
 from quoin.functions import vocabulary as V
-from quoin.plans.fixtures import duck, fixture
+from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.registry import query
 
 TEXT = F.col("text")
@@ -155,26 +155,28 @@ def q13(spark, sf):
     return out.select("query_id", joined("domains", False), joined("doc_types", False), joined("years", True), joined("refs", True))
 
 
-@query("Q15", Q_ + f"SELECT query_id, CASE WHEN {any_of(LOW, V.PROCEDURAL)} THEN 'procedural' WHEN {any_of(LOW, V.COMPARATIVE)} THEN 'comparative' ELSE 'informative' END AS answer_type FROM legal_queries")
+@query("Q15", Q_ + f"SELECT query_id, CASE WHEN {any_of(LOW, V.ANSWER_PROCEDURAL)} THEN 'procedural' WHEN {any_of(LOW, V.ANSWER_COMPARATIVE)} THEN 'comparative' ELSE 'informative' END AS answer_type FROM legal_queries")
 def q15(spark, sf):
     return fixture(spark, sf, "legal_queries").select("query_id", Q.answer_type(TEXT).alias("answer_type"))
 
 
-@query("Q16", S_ + f"""SELECT query_id, CASE WHEN simple IS NOT NULL THEN 0 WHEN label = 'simple' THEN 5 WHEN label = 'medium' THEN 8 ELSE 10 END AS k, simple IS NULL AND label <> 'simple' AS hybrid,
-  simple IS NULL AND label = 'complex' AS rerank, CASE WHEN simple IS NOT NULL THEN 'direct_response' WHEN label = 'complex' THEN 'advanced_rag' ELSE 'standard_rag' END AS strategy, simple IS NULL AND {_NEEDS} AS use_graph FROM l""")
+@query("Q16", S_ + f"""SELECT query_id, CASE WHEN label = 'simple' THEN 0 WHEN label = 'complex' AND score > 7 THEN 10 WHEN label = 'complex' THEN 8 ELSE 5 END AS k, label = 'complex' AS hybrid,
+  label = 'complex' AND score > 7 AS rerank, CASE label WHEN 'simple' THEN 'direct_response' WHEN 'complex' THEN 'advanced_rag' ELSE 'standard_rag' END AS strategy,
+  label <> 'simple' AND (label = 'complex' OR {_NEEDS} OR {_INTENT} = 'comparative') AS use_graph FROM l""")
 def q16(spark, sf):
     return fixture(spark, sf, "legal_queries").select("query_id", Q.retrieval_plan(TEXT).alias("p")).select("query_id", "p.*")
 
 
-@query("Q17", S_ + "SELECT query_id, CASE WHEN label = 'complex' OR score >= 6.5 THEN CASE WHEN score >= 8.5 THEN 3 ELSE 2 END ELSE 1 END AS rounds FROM l")
+@query("Q17", S_ + "SELECT query_id, label = 'complex' OR score >= 6.5 AS iterate, CASE WHEN label = 'complex' AND score >= 7 THEN 3 WHEN label = 'complex' THEN 2 ELSE 1 END AS rounds FROM l")
 def q17(spark, sf):
     out = fixture(spark, sf, "legal_queries").withColumn("score", Q.complexity_score(TEXT))
-    return out.select("query_id", Q.iteration_plan(Q.complexity(F.col("score")), F.col("score")).alias("rounds"))
+    return out.select("query_id", Q.iteration_plan(Q.complexity(F.col("score")), F.col("score")).alias("p")).select("query_id", "p.*")
 
 
-@query("Q18", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'graph' WHEN 1 THEN 'vector' WHEN 2 THEN 'hybrid' ELSE 'global' END AS route, event_id % 4 <> 1 AS graph, event_id % 4 IN (1, 2) AS vector FROM events")
-def q18(spark, sf):
-    from quoin.plans.fixtures import table
+_ROUTES = ("graph_traversal", "vector_search", "hybrid_search", "legal_trace")
+
 
-    route = F.element_at(F.array(*map(F.lit, ("graph", "vector", "hybrid", "global"))), (F.col("event_id") % 4 + 1).cast("int"))
+@query("Q18", "SELECT event_id, route, route IN ('graph_traversal', 'legal_trace', 'hybrid_search') AS graph, route IN ('vector_search', 'hybrid_search') AS vector FROM (SELECT event_id, ['graph_traversal', 'vector_search', 'hybrid_search', 'legal_trace'][event_id % 4 + 1] AS route FROM events)")
+def q18(spark, sf):
+    route = F.element_at(F.array(*map(F.lit, _ROUTES)), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", route.alias("route")).withColumn("s", Q.store_route(F.col("route"))).select("event_id", "route", "s.*")

@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _family in ("questions", "ranking", "structure", "graph"):
+for _family in ("questions", "ranking", "structure", "graph", "extraction"):
     importlib.import_module(f"quoin.plans.{_family}")

@@ -1,0 +1 @@
+"""Running state over streams, each with a batch twin."""
