@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from quoin.functions import vocabulary as V
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Unicode NFC; Spark has no function of its own for it."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    def normalized(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return F.pandas_udf(normalized, "string")(text)
 
 
 def normalize_text(text: Column) -> Column:
