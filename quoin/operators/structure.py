@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from quoin.functions import legal as L
 from quoin.functions import vocabulary as V
 
-ORDER = Window.partitionBy("doc_id").orderBy("pos")
 DEPTH = {"CHUONG": 1, "MUC": 2, "DIEU": 3, "KHOAN": 4, "DIEM": 5}
 
 
+def in_order():
+    """A window over a document's lines."""
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
 def split_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, pos, line)`` of the trimmed lines that are not blank."""
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -24,7 +28,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     raw = F.lit("TEXT")
     for level, pattern in reversed(V.HEADINGS):
         raw = F.when(low.rlike(pattern), level).otherwise(raw)
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     last = lambda cond: F.coalesce(F.max(F.when(cond, F.col("pos"))).over(before), F.lit(-1))
     rows = lines.withColumn("raw", raw)
     rows = rows.withColumns({"a": last(F.col("raw") == "DIEU"), "h": last(F.col("raw").isin("CHUONG", "MUC"))})
@@ -39,7 +43,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 def carry_context(lines: DataFrame) -> DataFrame:
     """C02. The chapter, section, article, clause and point that hold at each line; a higher heading ends
     lower ones. Text before the first article of a heading is dropped."""
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
     at = {level: F.max(F.when(F.col("level") == level, F.col("pos"))).over(upto) for level in DEPTH}
     rows = lines.withColumns({f"at_{level}": c for level, c in at.items()})
     names = {"CHUONG": "chapter_id", "MUC": "section_id", "DIEU": "article_no", "KHOAN": "clause_no", "DIEM": "point_no"}
@@ -57,20 +61,20 @@ def carry_context(lines: DataFrame) -> DataFrame:
 
 def article_segments(context: DataFrame) -> DataFrame:
     """C03. ``(doc_id, seg, article_no, text, is_definition)``: each article's lines, joined by spaces."""
-    rows = context.where("article_no IS NOT NULL").withColumn("seg", F.sum(F.when(F.col("level") == "DIEU", 1).otherwise(0)).over(ORDER))
+    rows = context.where("article_no IS NOT NULL").withColumn("seg", F.sum(F.when(F.col("level") == "DIEU", 1).otherwise(0)).over(in_order()))
     text = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line"))).getField("line"), " ")
     return rows.groupBy("doc_id", "seg").agg(F.first("article_no").alias("article_no"), F.min("pos").alias("pos"), text.alias("text"))
 
 
 def definition_flag(lines: DataFrame) -> DataFrame:
     """C06. Articles whose own or next four lines have a definition phrase."""
-    near = F.concat_ws("\n", F.collect_list("line").over(ORDER.rowsBetween(0, 4)))
+    near = F.concat_ws("\n", F.collect_list("line").over(in_order().rowsBetween(0, 4)))
     return lines.withColumn("is_definition", (F.col("level") == "DIEU") & F.lower(near).rlike(V.DEFINITION)).where("level = 'DIEU'")
 
 
 def budget_chunks(context: DataFrame, max_tokens: int = 800) -> DataFrame:
     """C04. Articles within the budget are one chunk; others are their head and a chunk a clause."""
-    rows = context.where("article_no IS NOT NULL").withColumn("seg", F.sum(F.when(F.col("level") == "DIEU", 1).otherwise(0)).over(ORDER))
+    rows = context.where("article_no IS NOT NULL").withColumn("seg", F.sum(F.when(F.col("level") == "DIEU", 1).otherwise(0)).over(in_order()))
     total = F.sum(L.count_tokens(F.col("line"), 10)).over(Window.partitionBy("doc_id", "seg"))
     clause = F.when(F.floor(total * 1.5) > max_tokens, F.coalesce("clause_no", F.lit("0")))
     rows = rows.withColumn("clause_key", clause)
@@ -83,7 +87,7 @@ def legal_tree(lines: DataFrame) -> DataFrame:
     heads = lines.where("level != 'TEXT'")
     depth = F.create_map(*[F.lit(x) for kv in DEPTH.items() for x in kv])[F.col("level")]
     heads = heads.withColumn("depth", depth)
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     above = F.lit(-1)
     for level, d in DEPTH.items():
         above = F.greatest(above, F.when(F.col("depth") > d, F.coalesce(F.max(F.when(F.col("level") == level, F.col("pos"))).over(before), F.lit(-1))).otherwise(F.lit(-1)))

@@ -9,7 +9,6 @@ from quoin.functions import vocabulary as V
 from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.registry import query
 
-TEXT = F.col("text")
 
 
 def lit(x: str) -> str:
@@ -39,7 +38,7 @@ INTENT = f"""CASE WHEN {any_match(LOW, V.COMPARISON_CUES)} THEN 'comparison' WHE
 
 
 def _ref(spark, sf):
-    return fixture(spark, sf, "legal_queries").withColumn("r", Q.legal_reference(TEXT))
+    return fixture(spark, sf, "legal_queries").withColumn("r", Q.legal_reference(F.col("text")))
 
 
 @query("Q01", R_ + "SELECT query_id, law, article, clause, point FROM r")
@@ -54,7 +53,7 @@ for _p, _f in ((r"[Đđ]iều\s+(?:số\s+)?([0-9]+)", r"Điều \1"), (r"[Kk]ho
 
 @query("Q02", Q_ + f"SELECT query_id, trim({_NORM}) AS normalized FROM legal_queries")
 def q02(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.normalized_query(TEXT).alias("normalized"))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.normalized_query(F.col("text")).alias("normalized"))
 
 
 _KEY = LOW
@@ -65,12 +64,12 @@ _KEY = rf"list_filter(string_split(trim(regexp_replace({_KEY}, '\s+', ' ', 'g'))
 
 @query("Q03", Q_ + f"SELECT query_id, array_to_string({_KEY}, '|') AS keywords FROM legal_queries")
 def q03(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(Q.legal_keywords(TEXT), "|").alias("keywords"))
+    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(Q.legal_keywords(F.col("text")), "|").alias("keywords"))
 
 
 @query("Q04", R_ + f"SELECT query_id, {INTENT} AS intent FROM r")
 def q04(spark, sf):
-    return _ref(spark, sf).select("query_id", Q.legal_intent(TEXT, F.col("r")).alias("intent"))
+    return _ref(spark, sf).select("query_id", Q.legal_intent(F.col("text"), F.col("r")).alias("intent"))
 
 
 _SUM = "50 + CASE WHEN law IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN article IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN clause IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN point IS NOT NULL THEN 10 ELSE 0 END"
@@ -78,7 +77,7 @@ _SUM = "50 + CASE WHEN law IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN article IS
 
 @query("Q05", R_ + f"SELECT query_id, least({_SUM} + CASE WHEN {INTENT} = 'lookup_exact' THEN 10 ELSE 0 END, 100) / 100 AS confidence FROM r")
 def q05(spark, sf):
-    return _ref(spark, sf).select("query_id", Q.parse_confidence(F.col("r"), Q.legal_intent(TEXT, F.col("r"))).alias("confidence"))
+    return _ref(spark, sf).select("query_id", Q.parse_confidence(F.col("r"), Q.legal_intent(F.col("text"), F.col("r"))).alias("confidence"))
 
 
 @query("Q06", R_ + "SELECT query_id, concat_ws('; ', CASE WHEN point IS NOT NULL AND clause IS NULL THEN 'point without clause' END, CASE WHEN clause IS NOT NULL AND article IS NULL THEN 'clause without article' END) AS warnings FROM r")
@@ -92,7 +91,7 @@ _INTENT = f"CASE WHEN {any_of(LOW, V.GREETING)} THEN 'social_greeting' WHEN {any
 
 @query("Q07", Q_ + f"SELECT query_id, {_SIMPLE} AS simple, {_INTENT} AS intent FROM legal_queries")
 def q07(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.simple_query(TEXT).alias("simple"), Q.intent(TEXT).alias("intent"))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.simple_query(F.col("text")).alias("simple"), Q.intent(F.col("text")).alias("intent"))
 
 
 _SCORE = f"""CASE WHEN {any_of(LOW, V.TRIVIAL)} THEN 1.0::DOUBLE ELSE greatest(0.0, least(10.0, 5.0::DOUBLE + CASE WHEN length(text) < 20 THEN -2.0 WHEN length(text) < 40 THEN -1.0 ELSE 0 END
@@ -102,7 +101,7 @@ S_ = Q_ + f", s AS (SELECT *, {_SCORE} AS score, {_SIMPLE} AS simple FROM legal_
 
 @query("Q08", S_ + "SELECT query_id, score, label FROM l")
 def q08(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.complexity_score(TEXT).alias("score")).withColumn("label", Q.complexity(F.col("score")))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.complexity_score(F.col("text")).alias("score")).withColumn("label", Q.complexity(F.col("score")))
 
 
 _NEEDS = f"({any_of(LOW, V.RELATIONSHIP + V.REGULATION + V.REGULATION_QUESTION)} OR regexp_matches({LOW}, 'điều\\s+[0-9]+'))"
@@ -110,12 +109,12 @@ _NEEDS = f"({any_of(LOW, V.RELATIONSHIP + V.REGULATION + V.REGULATION_QUESTION)}
 
 @query("Q09", Q_ + f"SELECT query_id, {_NEEDS} AS needs_graph FROM legal_queries")
 def q09(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.needs_graph(TEXT).alias("needs_graph"))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.needs_graph(F.col("text")).alias("needs_graph"))
 
 
 @query("Q10", Q_ + f"SELECT query_id, CASE WHEN {any_match(LOW, V.MULTI_HOP)} THEN 'multi_hop' WHEN {any_match(LOW, V.RELATION_SCAN)} THEN 'local' WHEN {any_match(LOW, V.GLOBAL)} THEN 'global' ELSE 'local' END AS graph_type FROM legal_queries")
 def q10(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.graph_query_type(TEXT).alias("graph_type"))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.graph_query_type(F.col("text")).alias("graph_type"))
 
 
 _EXP = LOW
@@ -125,7 +124,7 @@ for _s, _f in V.ABBREVIATIONS:
 
 @query("Q11", Q_ + f", e AS (SELECT query_id, text, {_EXP} AS t FROM legal_queries) SELECT query_id, 0 AS variant_no, text AS variant FROM e UNION ALL SELECT query_id, 1, t FROM e WHERE t <> lower(text) AND t <> text")
 def q11(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", F.posexplode(Q.query_variants(TEXT)).alias("variant_no", "variant"))
+    return fixture(spark, sf, "legal_queries").select("query_id", F.posexplode(Q.query_variants(F.col("text"))).alias("variant_no", "variant"))
 
 
 _WORDS = rf"list_filter(list_transform(string_split(trim(regexp_replace(translate({LOW}, ',.', '  '), '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[?!.,;:]+|[?!.,;:]+$', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({', '.join(map(lit, V.KEYWORD_STOP))}))[1:10]"
@@ -133,7 +132,7 @@ _WORDS = rf"list_filter(list_transform(string_split(trim(regexp_replace(translat
 
 @query("Q12", Q_ + f"SELECT query_id, array_to_string({_WORDS}, '|') AS keywords FROM legal_queries")
 def q12(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(Q.keywords(TEXT), "|").alias("keywords"))
+    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(Q.keywords(F.col("text")), "|").alias("keywords"))
 
 
 def _named(table) -> str:
@@ -150,26 +149,26 @@ _REFS = f"list_concat(list_concat({_all(r'điều\s*[0-9]+', 0)}, {_all(r'khoả
 
 @query("Q13", Q_ + f"SELECT query_id, {_named(V.DOMAINS)} AS domains, {_named(V.DOC_TYPES)} AS doc_types, array_to_string(list_sort(list_distinct(list_filter({_YEARS}, lambda y: y::INT BETWEEN 1945 AND 2100))), '|') AS years, array_to_string(list_sort(list_distinct({_REFS})), '|') AS refs FROM legal_queries")
 def q13(spark, sf):
-    out = fixture(spark, sf, "legal_queries").select("query_id", Q.filters(TEXT).alias("f"))
+    out = fixture(spark, sf, "legal_queries").select("query_id", Q.filters(F.col("text")).alias("f"))
     joined = lambda c, s: F.array_join(F.array_sort(F.col(f"f.{c}").cast("array<string>")) if s else F.col(f"f.{c}"), "|").alias(c)
     return out.select("query_id", joined("domains", False), joined("doc_types", False), joined("years", True), joined("refs", True))
 
 
 @query("Q15", Q_ + f"SELECT query_id, CASE WHEN {any_of(LOW, V.ANSWER_PROCEDURAL)} THEN 'procedural' WHEN {any_of(LOW, V.ANSWER_COMPARATIVE)} THEN 'comparative' ELSE 'informative' END AS answer_type FROM legal_queries")
 def q15(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.answer_type(TEXT).alias("answer_type"))
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.answer_type(F.col("text")).alias("answer_type"))
 
 
 @query("Q16", S_ + f"""SELECT query_id, CASE WHEN label = 'simple' THEN 0 WHEN label = 'complex' AND score > 7 THEN 10 WHEN label = 'complex' THEN 8 ELSE 5 END AS k, label = 'complex' AS hybrid,
   label = 'complex' AND score > 7 AS rerank, CASE label WHEN 'simple' THEN 'direct_response' WHEN 'complex' THEN 'advanced_rag' ELSE 'standard_rag' END AS strategy,
   label <> 'simple' AND (label = 'complex' OR {_NEEDS} OR {_INTENT} = 'comparative') AS use_graph FROM l""")
 def q16(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", Q.retrieval_plan(TEXT).alias("p")).select("query_id", "p.*")
+    return fixture(spark, sf, "legal_queries").select("query_id", Q.retrieval_plan(F.col("text")).alias("p")).select("query_id", "p.*")
 
 
 @query("Q17", S_ + "SELECT query_id, label = 'complex' OR score >= 6.5 AS iterate, CASE WHEN label = 'complex' AND score >= 7 THEN 3 WHEN label = 'complex' THEN 2 ELSE 1 END AS rounds FROM l")
 def q17(spark, sf):
-    out = fixture(spark, sf, "legal_queries").withColumn("score", Q.complexity_score(TEXT))
+    out = fixture(spark, sf, "legal_queries").withColumn("score", Q.complexity_score(F.col("text")))
     return out.select("query_id", Q.iteration_plan(Q.complexity(F.col("score")), F.col("score")).alias("p")).select("query_id", "p.*")
 
 

@@ -11,7 +11,6 @@ from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.questions import any_match, first, lit
 from quoin.plans.registry import query
 
-TEXT = F.col("text")
 ST_ = duck("numbered_lines") + ", statutes AS (SELECT doc_id, 'so_' || doc_id || '.txt' AS file_name, string_agg(line, chr(10) ORDER BY pos) AS text FROM numbered_lines GROUP BY doc_id) "
 
 
@@ -28,7 +27,7 @@ _F01 = rf"regexp_replace(regexp_replace(regexp_replace({_F01}, '\n{{3,}}', chr(1
 
 @query("F01", ST_ + f"SELECT doc_id, md5({_F01}) AS h FROM statutes")
 def f01(spark, sf):
-    return _statutes(spark, sf).select("doc_id", F.md5(L.normalize_text(TEXT)).alias("h"))
+    return _statutes(spark, sf).select("doc_id", F.md5(L.normalize_text(F.col("text"))).alias("h"))
 
 
 _HEAD = "array_to_string(string_split(text, chr(10))[1:30], chr(10))"
@@ -36,12 +35,12 @@ _HEAD = "array_to_string(string_split(text, chr(10))[1:30], chr(10))"
 
 @query("F02", ST_ + f"SELECT doc_id, coalesce(nullif(concat_ws('/', {', '.join(first(_HEAD, '(?i)' + V.LAW_ID, g) for g in (1, 2, 3))}), ''), 'UNKNOWN') AS law_id FROM statutes")
 def f02(spark, sf):
-    return _statutes(spark, sf).select("doc_id", L.law_id(F.col("file_name"), TEXT).alias("law_id"))
+    return _statutes(spark, sf).select("doc_id", L.law_id(F.col("file_name"), F.col("text")).alias("law_id"))
 
 
 @query("F03", ST_ + "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:50], lambda x: CASE WHEN regexp_matches(lower(x), '^\\s*luật\\s+(.+)$') THEN 'Luật ' || trim(regexp_extract(x, '(?i)^\\s*luật\\s+(.+)$', 1)) END), lambda x: x IS NOT NULL)[1], 'Unknown Document') AS law_name FROM statutes")
 def f03(spark, sf):
-    return _statutes(spark, sf).select("doc_id", L.law_name(TEXT).alias("law_name"))
+    return _statutes(spark, sf).select("doc_id", L.law_name(F.col("text")).alias("law_name"))
 
 
 _KIND = "CASE WHEN contains(upper(law), 'QH') THEN 'LAW' WHEN regexp_matches(upper(law), 'NĐ-CP|ND-CP') THEN 'DECREE' WHEN contains(upper(law), 'TT-') THEN 'CIRCULAR' " + " ".join(f"WHEN regexp_matches(lower(substr(text, 1, 2000)), {lit(p)}) THEN {lit(k)}" for k, p in V.DOC_KINDS) + " ELSE 'LAW' END"
@@ -50,7 +49,7 @@ _KIND = "CASE WHEN contains(upper(law), 'QH') THEN 'LAW' WHEN regexp_matches(upp
 @query("F04", duck("legal_queries") + f", l AS (SELECT query_id, text, CASE query_id % 4 WHEN 0 THEN '1/2020/QH14' WHEN 1 THEN '2/2020/NĐ-CP' WHEN 2 THEN '3/2020/TT-BTC' ELSE 'x' END AS law FROM legal_queries) SELECT query_id, {_KIND} AS kind FROM l")
 def f04(spark, sf):
     law = F.element_at(F.array(*map(F.lit, ("1/2020/QH14", "2/2020/NĐ-CP", "3/2020/TT-BTC", "x"))), (F.col("query_id") % 4 + 1).cast("int"))
-    return fixture(spark, sf, "legal_queries").select("query_id", L.doc_kind(law, TEXT).alias("kind"))
+    return fixture(spark, sf, "legal_queries").select("query_id", L.doc_kind(law, F.col("text")).alias("kind"))
 
 
 _TOK = r"floor(len(list_filter(string_split(trim(regexp_replace({t}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) * {f} / 10)::INT"
@@ -58,7 +57,7 @@ _TOK = r"floor(len(list_filter(string_split(trim(regexp_replace({t}, '\s+', ' ',
 
 @query("F05", "SELECT doc_id, " + _TOK.format(t="text", f=15) + " AS tokens, " + _TOK.format(t="text", f=13) + " AS budget FROM documents")
 def f05(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", L.count_tokens(TEXT).alias("tokens"), L.count_tokens(TEXT, 13).alias("budget"))
+    return table(spark, sf, "documents").select("doc_id", L.count_tokens(F.col("text")).alias("tokens"), L.count_tokens(F.col("text"), 13).alias("budget"))
 
 
 _LEVELS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, 'L' || l_orderkey AS law, CASE WHEN l_partkey % 2 = 0 THEN 'I' END AS chapter_id, CAST(NULL AS VARCHAR) AS section_id, '' || l_partkey AS article_no, CASE WHEN l_partkey % 3 = 0 THEN '' || l_linenumber END AS clause_no, CASE WHEN l_partkey % 6 = 0 THEN 'a' END AS point_no FROM lineitem"
@@ -94,22 +93,22 @@ ANALYZED = f"list_filter(regexp_extract_all({_FOLD.format(t='text')}, '[a-z0-9]+
 
 @query("F09", duck("legal_queries") + f"SELECT query_id, array_to_string({ANALYZED}, ' ') AS tokens FROM legal_queries")
 def f09(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(L.vi_analyze(TEXT), " ").alias("tokens"))
+    return fixture(spark, sf, "legal_queries").select("query_id", F.array_join(L.vi_analyze(F.col("text")), " ").alias("tokens"))
 
 
 @query("F10", duck("legal_queries") + f"SELECT query_id, {_FOLD.format(t='text')} AS keyword FROM legal_queries")
 def f10(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", L.fold(TEXT).alias("keyword"))
+    return fixture(spark, sf, "legal_queries").select("query_id", L.fold(F.col("text")).alias("keyword"))
 
 
 @query("F11", "WITH s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS s FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)), o AS (SELECT *, coalesce(sum(length(s) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM s) SELECT doc_id, start, (start + length(s))::INT AS \"end\", trim(s) AS text FROM o WHERE length(trim(s)) > 10")
 def f11(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(L.char_spans(TEXT)).alias("s")).select("doc_id", "s.*")
+    return table(spark, sf, "documents").select("doc_id", F.explode(L.char_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
 @query("F13", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[{V.VIETNAMESE}]') THEN 'vi' ELSE 'en' END AS lang FROM documents")
 def f13(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", L.detect_language(TEXT).alias("lang"))
+    return table(spark, sf, "documents").select("doc_id", L.detect_language(F.col("text")).alias("lang"))
 
 
 @query("F14", "WITH r AS (SELECT c_custkey, c_custkey % 99 + 1 AS n, repeat('C', 0) || CASE (c_custkey % 99 + 1) // 10 WHEN 1 THEN 'X' WHEN 2 THEN 'XX' WHEN 3 THEN 'XXX' WHEN 4 THEN 'XL' WHEN 5 THEN 'L' WHEN 6 THEN 'LX' WHEN 7 THEN 'LXX' WHEN 8 THEN 'LXXX' WHEN 9 THEN 'XC' ELSE '' END || CASE (c_custkey % 99 + 1) % 10 WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' WHEN 4 THEN 'IV' WHEN 5 THEN 'V' WHEN 6 THEN 'VI' WHEN 7 THEN 'VII' WHEN 8 THEN 'VIII' WHEN 9 THEN 'IX' ELSE '' END AS roman FROM customer) SELECT c_custkey, roman, n::INT AS value FROM r")
@@ -136,19 +135,19 @@ def f16(spark, sf):
 
 @query("F17", duck("legal_queries") + f"SELECT query_id, regexp_matches(lower(text || ' ' || CASE WHEN query_id % 5 = 0 THEN 'Sửa đổi Điều 2' ELSE '' END), '{V.AMENDING}') AS amends FROM legal_queries")
 def f17(spark, sf):
-    return fixture(spark, sf, "legal_queries").select("query_id", L.is_amendment(TEXT, F.when(F.col("query_id") % 5 == 0, "Sửa đổi Điều 2")).alias("amends"))
+    return fixture(spark, sf, "legal_queries").select("query_id", L.is_amendment(F.col("text"), F.when(F.col("query_id") % 5 == 0, "Sửa đổi Điều 2")).alias("amends"))
 
 
 @query("F18", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, {lit(p)}) THEN {lit(p)}" for p in V.TRUNCATED) + " END AS pattern FROM (SELECT doc_id, substr(text, 1, 20 + doc_id % 40) || CASE doc_id % 6 WHEN 0 THEN ' theo quy định' WHEN 1 THEN ', ' WHEN 2 THEN ' và' WHEN 3 THEN '...' ELSE '.' END AS t FROM documents)")
 def f18(spark, sf):
     tail = F.element_at(F.array(*map(F.lit, (" theo quy định", ", ", " và", "...", ".", "."))), (F.col("doc_id") % 6 + 1).cast("int"))
-    t = F.concat(F.substr(TEXT, F.lit(1), (F.col("doc_id") % 40 + 20).cast("int")), tail)
+    t = F.concat(F.substr(F.col("text"), F.lit(1), (F.col("doc_id") % 40 + 20).cast("int")), tail)
     return table(spark, sf, "documents").select("doc_id", L.truncation_pattern(t).alias("pattern"))
 
 
 @query("F20", duck("entities") + r"SELECT entity_id, lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[.,;:!?]+|[.,;:!?]+$', '', 'g')) AS normalized FROM entities")
 def f20(spark, sf):
-    return fixture(spark, sf, "entities").select("entity_id", L.normalize_entity(TEXT).alias("normalized"))
+    return fixture(spark, sf, "entities").select("entity_id", L.normalize_entity(F.col("text")).alias("normalized"))
 
 
 @query("F21", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'IT' || p_partkey ELSE 'CNTT' END AS id FROM part")
@@ -159,7 +158,7 @@ def f21(spark, sf):
 
 @query("F24", "SELECT doc_id, greatest(1, floor(length(text) / 3000))::INT AS pages FROM documents")
 def f24(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", L.estimate_pages(TEXT).alias("pages"))
+    return table(spark, sf, "documents").select("doc_id", L.estimate_pages(F.col("text")).alias("pages"))
 
 
 @query("F25", f"SELECT l_orderkey, l_linenumber, concat_ws(' ', 'Điểm ' || point_no, 'Khoản ' || clause_no, 'Điều ' || article_no, 'Luật ' || law) AS citation FROM ({_LEVELS})")
