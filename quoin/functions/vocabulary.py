@@ -47,3 +47,11 @@ AMENDING_ARTICLE = ("cập nhật", "sửa đổi", "bổ sung", "như sau")
 #: First and last article of each chapter.
 CHAPTER_RANGES = ((1, 1, 9), (2, 10, 19), (3, 20, 27), (4, 28, 30), (5, 31, 34), (6, 35, None))
 TOPICS = (("học phí", ("học phí", "mức phí", "thanh toán", "hphk", "đóng phí", "học bổng")), ("chương trình đào tạo", ("chương trình đào tạo", "học phần", "tín chỉ", "khung chương trình")), ("tuyển sinh", ("tuyển sinh", "xét tuyển", "đăng ký xét tuyển", "hồ sơ tuyển sinh")), ("tốt nghiệp", ("tốt nghiệp", "xét tốt nghiệp", "bằng tốt nghiệp", "bảo vệ luận văn")), ("điểm số", ("điểm", "thang điểm", "điểm chữ", "điểm số", "điểm trung bình")), ("học tập", ("học tập", "sinh viên", "người học", "kết quả học tập")))
+#: The first cue that a question contains, in this order, gives its answer type and its intent.
+ANSWER_CUES = (("bao nhiêu", "amount_range"), ("mức phạt", "amount_range"), ("phạt bao nhiêu", "amount_range"), ("tiền phạt", "amount_range"), ("có được", "boolean"), ("có phải", "boolean"), ("có bị", "boolean"), ("đúng hay sai", "boolean"), ("điều nào", "article_ref"), ("khoản nào", "article_ref"), ("theo điều", "article_ref"), ("định nghĩa", "definition"), ("là gì", "definition"), ("nghĩa là gì", "definition"), ("thủ tục", "procedure"), ("trình tự", "procedure"), ("hồ sơ", "procedure"), ("hiệu lực", "temporal"), ("khi nào", "temporal"), ("từ ngày", "temporal"), ("so sánh", "comparison"), ("khác nhau", "comparison"))
+INTENT_CUES = (("phạt", "sanction_lookup"), ("mức phạt", "sanction_lookup"), ("bị xử phạt", "sanction_lookup"), ("chế tài", "sanction_lookup"), ("điều", "article_lookup"), ("khoản", "article_lookup"), ("định nghĩa", "definition_lookup"), ("là gì", "definition_lookup"), ("cấm", "prohibition_check"), ("nghiêm cấm", "prohibition_check"), ("hành vi bị cấm", "prohibition_check"), ("quyền", "right_obligation"), ("nghĩa vụ", "right_obligation"), ("trách nhiệm", "right_obligation"), ("thủ tục", "procedure_lookup"), ("trình tự", "procedure_lookup"), ("hiệu lực", "validity_check"), ("còn hiệu lực", "validity_check"))
+SCOPE_DOCUMENT, SCOPE_ARTICLE = r"((?:Luật|Nghị định|Thông tư|Quyết định)\s+[0-9A-Za-zÀ-ỹĐđ_/\-]+)", r"((?:Điều|Khoản|Điểm)\s+[0-9]+[0-9A-Za-zÀ-ỹĐđ_]*)"
+#: Edge types by the extracted relation.
+EDGE_TYPES = (("THUOC_VE", "THUOC_VE"), ("SUA_DOI", "SUA_DOI"), ("BO_SUNG", "BO_SUNG"), ("THAY_THE", "THAY_THE"), ("BAI_BO", "BAI_BO"), ("THAM_CHIEU", "THAM_CHIEU"), ("VIEN_DAN", "VIEN_DAN"), ("DINH_NGHIA", "DINH_NGHIA"), ("YEU_CAU", "YEU_CAU"), ("AP_DUNG", "AP_DUNG"), ("LIEN_QUAN", "LIEN_QUAN"), ("LIEN_QUAN_NOI_DUNG", "LIEN_QUAN"), ("QUY_DINH_DIEU_KIEN", "QUY_DINH"), ("AP_DUNG_CHO", "AP_DUNG"), ("DAT_DIEM", "LIEN_QUAN"), ("TUONG_DUONG", "DONG_NGHIA"), ("MIEN_GIAM", "LIEN_QUAN"), ("GIOI_HAN", "RANG_BUOC"), ("DIEU_KIEN_TIEN_QUYET", "YEU_CAU"), ("THUOC_KHOA", "THUOC_VE"), ("CUA_NGANH", "THUOC_VE"), ("THUOC_CHUONG_TRINH", "THUOC_VE"))
+AMENDMENT_TYPES = (("thay thế", "THAY_THE"), ("sửa đổi", "SUA_DOI"), ("bổ sung", "BO_SUNG"), ("bãi bỏ", "BAI_BO"))
+COMPLETION = ("đủ thông tin", "có thể trả lời", "kết luận", "tóm lại", "như vậy", "câu trả lời")
