@@ -36,9 +36,10 @@ def saved(df: DataFrame, release: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     del df
     if release:
-        gc.collect()
-        time.sleep(0.3)  # the gateway lets go of the collected plans in a thread of its own
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the gateway lets go of collected plans in a thread of its own
+            gc.collect()
+            time.sleep(0.4)
+            spark.sparkContext._jvm.System.gc()
     return out
 
 
