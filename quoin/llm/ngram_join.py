@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import SPACED, components, hash_words, read, saved, shingle_hashes
@@ -34,7 +34,9 @@ WORDS = 5
 #: Similarity as a fraction.
 ALIKE = (75, 100)
 #: The share of its size by which a set's prefix is extended in step 2.
-EXTRA = 0.08
+EXTRA = 0.12
+#: How readily DivideSkip sets lists aside, and the postings up to which it merges by heap.
+MU, HEAP_POSTINGS = 0.05, 4096
 #: Shingles in one side of a task of step 5.
 TASK_SHINGLES = 4_000_000
 
@@ -57,10 +59,6 @@ def _key(own: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(own.tobytes()) or 1) - (1 << 63) or 1
 
 
-def _long(values) -> pa.Array:
-    return pa.array(np.asarray(values, np.uint64).view(np.int64))
-
-
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, set_key)``; equal sets have equal keys, an empty set has none."""
 
@@ -75,80 +73,130 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key long")
 
 
-def _prefix_rows(docs: DataFrame, k: int, alike: tuple[int, int]) -> DataFrame:
-    """``(token, set_key, seen)`` of the extended prefixes.
+def _packed(tokens: np.ndarray, keys: np.ndarray, buckets: int, width: int) -> list[tuple]:
+    """Rows ``(bucket, tokens, keys, runs)`` of (token, key) pairs: the low ``width`` bytes of each token, and the
+    keys run by run. A shuffle then carries few long rows instead of many short ones."""
+    place = (tokens % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place, tokens, keys = place[order], tokens[order], keys[order]
+    out = []
+    for a, b in zip(cuts := np.flatnonzero(np.diff(place, prepend=-1)), [*cuts[1:], len(place)]):
+        own = keys[a:b]
+        begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        raw = np.ascontiguousarray(tokens[a:b]).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        out.append((int(place[a]), raw, own[begins].tobytes(), np.diff(np.append(begins, b - a)).astype(np.uint32).tobytes()))
+    return out
+
+
+def _unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (token, key) pairs of packed rows, in increasing order."""
+    raw = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    token = wide.view(np.uint64).ravel()
+    key = np.repeat(np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64), np.frombuffer(b"".join(table["runs"].to_pylist()), np.uint32))
+    return _distinct(token, key)
+
+
+def _distinct(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, token))
+    token, key = token[order], key[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    return token[new], key[new]
+
+
+def _times(token: np.ndarray) -> np.ndarray:
+    """How often each of the sorted tokens occurs."""
+    begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(token)))
+    return np.repeat(sizes, sizes)
+
+
+_PACKED = "bucket int, tokens binary, keys binary, runs binary, known binary, counts binary"
 
-    Tokens that several sets of a batch share are counted there (``seen``), and only a marker with
-    set_key 0 goes on, so a frequent token has about one row a batch.
+
+def _prefix_rows(docs: DataFrame, k: int, alike: tuple[int, int], buckets: int) -> DataFrame:
+    """Packed (token, set_key) pairs of the extended prefixes.
+
+    Tokens that several sets of a batch share are counted there (``known``, ``counts``), and only a
+    marker with key 0 goes on, so a frequent token comes about once a batch.
     """
 
     def run(batches):
         for b in batches:
-            tokens, keys = [np.zeros(0, np.uint64)], []
+            tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, own in _sets(b, k):
                 if n := len(own):
-                    cut = n - required(n, alike) + _extra(n)
-                    tokens.append(own[:cut])
-                    keys.append(np.full(min(cut, n), _key(own), np.int64))
-            token, key = np.concatenate(tokens), np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            order = np.lexsort((key, token))
-            token, key = token[order], key[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            token, key = token[new], key[new]
-            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-            sizes = np.diff(np.append(begins, len(token)))
-            shared = np.repeat(sizes > 1, sizes)
+                    cut = min(n, n - required(n, alike) + _extra(n))
+                    tokens.append(own[:cut] & np.uint64((1 << 48) - 1))
+                    keys.append(np.full(cut, _key(own), np.int64))
+            token, key = _distinct(np.concatenate(tokens), np.concatenate(keys))
+            shared = _times(token) > 1
             known, counts = np.unique(key[shared], return_counts=True)
-            marks = token[begins[sizes > 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([_long(token[~shared]), _long(marks), pa.array(known)]),
-                    pa.array(np.concatenate([key[~shared], np.zeros(len(marks), np.int64), known])),
-                    pa.array(np.concatenate([np.zeros((~shared).sum() + len(marks), np.int32), counts.astype(np.int32)])),
-                ],
-                ["token", "set_key", "seen"],
-            )
+            marks = np.unique(token[shared])
+            token, key = np.concatenate([token[~shared], marks]), np.concatenate([key[~shared], np.zeros(len(marks), np.int64)])
+            by_key = np.argsort(key, kind="stable")
+            rows = _packed(token[by_key], key[by_key], buckets, 6)
+            extra = [(known.tobytes(), counts.astype(np.int64).tobytes())] + [(b"", b"")] * (len(rows) - 1)
+            columns = list(zip(*[(*r, *x) for r, x in zip(rows, extra)])) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "tokens", "keys", "runs", "known", "counts"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, set_key long, seen int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, _PACKED)
 
 
 def _extra(n: int) -> int:
     return max(1, int(EXTRA * n))
 
 
-def _may_match(docs: DataFrame, classes: DataFrame, k: int, alike: tuple[int, int]) -> DataFrame:
+def _may_match(docs: DataFrame, classes: DataFrame, k: int, alike: tuple[int, int], buckets: int) -> DataFrame:
     """Classes ``(set_key, doc_id, n)`` that share enough of their extended prefix with other classes."""
-    rows = _prefix_rows(docs, k, alike)
-    of_token = Window.partitionBy("token")
-    real = F.when(F.col("seen") == 0, F.col("set_key"))
-    rows = rows.withColumns({"low": F.min(real).over(of_token), "high": F.max(real).over(of_token)})
-    shared = rows.where("set_key != 0 AND (seen > 0 OR low != high)").groupBy("set_key").agg(F.sum(F.greatest("seen", F.lit(1))).alias("shared"))
+
+    def run(table: pa.Table) -> pa.Table:
+        token, key = _unpacked(table, 6)
+        found = key[(_times(token) > 1) & (key != 0)]
+        keys, counts = np.unique(found, return_counts=True)
+        known = np.frombuffer(b"".join(table["known"].to_pylist()), np.int64)
+        more = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
+        return pa.table({"set_key": np.concatenate([keys, known]), "shared": np.concatenate([counts, more])})
+
+    shared = _prefix_rows(docs, k, alike, buckets).groupBy("bucket").applyInArrow(run, "set_key long, shared long").groupBy("set_key").agg(F.sum("shared").alias("shared"))
     smallest_partner = F.ceil(F.col("n") * alike[0] / alike[1])
     need = F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * smallest_partner))
     return classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", "doc_id", "n")
 
 
-def _tokens(docs: DataFrame, k: int) -> DataFrame:
-    """``(set_key, n, token)``: all shingles of the classes' representatives."""
+def _common_shingles(docs: DataFrame, may: DataFrame, k: int, alike: tuple[int, int], buckets: int) -> DataFrame:
+    """``(set_key, n, tokens)``: shingles that other classes have too, rarest first, where there are enough of them.
 
-    def run(batches):
+    A token is its classes' number (127 at most) and 56 bits of its hash, so it sorts by rarity.
+    """
+
+    def deal(batches):
         for b in batches:
-            keys = b.column("set_key").to_pylist()
+            tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            own_keys = b.column("set_key").to_pylist()
             for i, own in _sets(b, k):
-                if len(own) and _key(own) == keys[i]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), keys[i])), pa.array(np.full(len(own), len(own), np.int32)), _long(own)], ["set_key", "n", "token"])
-
-    return docs.select("set_key", F.col("text").cast("string")).mapInArrow(run, "set_key long, n int, token long")
-
-
-def _common_shingles(docs: DataFrame, may: DataFrame, k: int, alike: tuple[int, int]) -> DataFrame:
-    """``(set_key, n, tokens)``: shingles that other classes have too, rarest first, where there are enough of them."""
-    texts = docs.select("doc_id", "text").join(may.select("doc_id", "set_key"), "doc_id")
-    rows = _tokens(texts, k).distinct()
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = rows.join(df, "token").groupBy("set_key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    return own.where(F.size("t") >= F.ceil(F.col("n") * alike[0] / alike[1])).select("set_key", "n", F.col("t.token").alias("tokens"))
+                if len(own) and _key(own) == own_keys[i]:
+                    tokens.append(own & np.uint64((1 << 56) - 1))
+                    keys.append(np.full(len(own), own_keys[i], np.int64))
+            rows = list(zip(*_packed(np.concatenate(tokens), np.concatenate(keys), buckets, 7))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], ["bucket", "tokens", "keys", "runs"])
+
+    def rare(table: pa.Table) -> pa.Table:
+        token, key = _unpacked(table, 7)
+        df = _times(token)
+        token = (np.minimum(df, 127).astype(np.uint64) << np.uint64(56) | token)[df > 1].view(np.int64)
+        order = np.argsort(key[df > 1], kind="stable")
+        token, key = token[order], key[df > 1][order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(token)) if len(key) else pa.array([], pa.list_(pa.int64()))
+        return pa.table({"set_key": pa.array(key[begins]), "part": lists})
+
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(may.select("doc_id", "set_key"), "doc_id").select("set_key", "text")
+    parts = texts.mapInArrow(deal, "bucket int, tokens binary, keys binary, runs binary").groupBy("bucket").applyInArrow(rare, "set_key long, part array<long>")
+    own = parts.groupBy("set_key").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("tokens")).join(may.select("set_key", "n"), "set_key")
+    return own.where(F.size("tokens") >= F.ceil(F.col("n") * alike[0] / alike[1])).select("set_key", F.col("n").cast("int").alias("n"), "tokens")
 
 
 def _blocks(sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
@@ -213,26 +261,32 @@ def merge_skip(lists: list[np.ndarray], least: int) -> dict[int, int]:
     return out
 
 
-def divide_skip(lists: list[np.ndarray], least: int) -> dict[int, int]:
-    """Ids in at least ``least`` of the sorted ``lists`` and in how many of them.
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in at least ``least`` of the sorted ``lists``, and in how many of them.
 
     The longest lists are set aside; an id needs ``least`` minus their number among the short ones,
-    which are merged, and is then probed in the long ones by binary search.
+    which are merged, and is then probed in the long ones by binary search. Few postings are merged
+    by the skipping heap, many (a query into a group of thousands) by counting ids in one vector pass.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < least:
-        return {}
-    aside = min(least - 1, int(least / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    aside = min(least - 1, int(least / (MU * np.log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    found = merge_skip(short, least - aside)
-    if not long or not found:
-        return found
-    ids = np.array(sorted(found))
-    counts = np.array([found[i] for i in ids.tolist()])
-    for x in long:
+    if sum(map(len, short)) <= HEAP_POSTINGS:
+        found = merge_skip(short, least - aside)
+        ids = np.array(sorted(found), np.int64)
+        counts = np.array([found[i] for i in ids.tolist()], np.int64)
+    else:
+        counts = np.bincount(np.concatenate(short))
+        ids = np.flatnonzero(counts >= least - aside)
+        counts = counts[ids]
+    for k, x in enumerate(long):
         at = np.searchsorted(x, ids)
-        counts += x[np.minimum(at, len(x) - 1)] == ids
-    return {int(i): int(c) for i, c in zip(ids, counts) if c >= least}
+        counts = counts + (x[np.minimum(at, len(x) - 1)] == ids)
+        able = counts + len(long) - k - 1 >= least
+        ids, counts = ids[able], counts[able]
+    return ids, counts
 
 
 def block_links(n: np.ndarray, tokens: list[np.ndarray], indexed: np.ndarray, asking: np.ndarray, group: np.ndarray, alike: tuple[int, int]) -> list[tuple[int, int]]:
@@ -264,7 +318,7 @@ def block_links(n: np.ndarray, tokens: list[np.ndarray], indexed: np.ndarray, as
                 if len(at):
                     lists.append(at)
         # a partner may be as small as the required share of q
-        for d, both in divide_skip(lists, required(int(n[q]), alike)).items():
+        for d, both in zip(*map(np.ndarray.tolist, divide_skip(lists, required(int(n[q]), alike)))):
             if b * both >= a * (int(n[q]) + int(n[d]) - both) and found.of[q] != found.of[d]:
                 found.join(q, d)
                 links.append((q, d))
@@ -329,8 +383,9 @@ def similar_documents(docs: DataFrame, k: int = WORDS, alike: tuple[int, int] =
     docs = docs.select("doc_id", "text")
     sets = saved(shingle_sets(docs, k))
     classes = saved(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    may = saved(_may_match(docs, classes, k, alike))
-    common = saved(_common_shingles(docs, may, k, alike))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    may = saved(_may_match(docs, classes, k, alike, buckets), release=True)
+    common = saved(_common_shingles(docs, may, k, alike, buckets), release=True)
     links = set_links(common, saved(_blocks(common, alike)), alike, task_shingles)
     joined = saved(components(links))
     named = classes.join(joined, classes.set_key == joined.node, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("part"))
