@@ -37,6 +37,8 @@ ALIKE = (75, 100)
 EXTRA = 0.12
 #: How readily DivideSkip sets lists aside, and the postings up to which it merges by heap.
 MU, HEAP_POSTINGS = 0.05, 4096
+#: Classes whose ids are broadcast to the scan that reads their texts again; above, the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Shingles in one side of a task of step 5.
 TASK_SHINGLES = 4_000_000
 
@@ -158,9 +160,19 @@ def _may_match(docs: DataFrame, classes: DataFrame, k: int, alike: tuple[int, in
         keys, counts = np.unique(found, return_counts=True)
         known = np.frombuffer(b"".join(table["known"].to_pylist()), np.int64)
         more = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
-        return pa.table({"set_key": np.concatenate([keys, known]), "shared": np.concatenate([counts, more])})
-
-    shared = _prefix_rows(docs, k, alike, buckets).groupBy("bucket").applyInArrow(run, "set_key long, shared long").groupBy("set_key").agg(F.sum("shared").alias("shared"))
+        keys, counts = np.concatenate([keys, known]), np.concatenate([counts, more])
+        to = keys % buckets
+        order = np.argsort(to, kind="stable")
+        rows = [(int(to[own[0]]), keys[own].tobytes(), counts[own].astype(np.int64).tobytes()) for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(own)]
+        columns = list(zip(*rows)) or [()] * 3
+        return pa.table({"to": pa.array(columns[0], pa.int32()), "keys": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        keys, at = np.unique(np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64), return_inverse=True)
+        counts = np.bincount(at, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64), len(keys))
+        return pa.table({"set_key": keys, "shared": counts.astype(np.int64)})
+
+    shared = _prefix_rows(docs, k, alike, buckets).groupBy("bucket").applyInArrow(run, "to int, keys binary, counts binary").groupBy("to").applyInArrow(total, "set_key long, shared long")
     smallest_partner = F.ceil(F.col("n") * alike[0] / alike[1])
     need = F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * smallest_partner))
     return classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", "doc_id", "n")
@@ -187,15 +199,32 @@ def _common_shingles(docs: DataFrame, may: DataFrame, k: int, alike: tuple[int,
         token, key = _unpacked(table, 7)
         df = _times(token)
         token = (np.minimum(df, 127).astype(np.uint64) << np.uint64(56) | token)[df > 1].view(np.int64)
-        order = np.argsort(key[df > 1], kind="stable")
-        token, key = token[order], key[df > 1][order]
+        key = key[df > 1]
+        order = np.argsort(key, kind="stable")
+        token, key = token[order], key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        to, runs = key[begins] % buckets, np.diff(np.append(begins, len(key)))
+        rows = []
+        for t in np.unique(to):
+            own = np.repeat(to == t, runs)
+            rows.append((int(t), token[own].tobytes(), key[begins][to == t].tobytes(), runs[to == t].astype(np.uint32).tobytes()))
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.table({"to": pa.array(columns[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("tokens", "keys", "runs"), columns[1:])}})
+
+    def gather(table: pa.Table) -> pa.Table:
+        token = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.int64)
+        key = np.repeat(np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64), np.frombuffer(b"".join(table["runs"].to_pylist()), np.uint32))
+        order = np.lexsort((token, key))
+        token, key = token[order], key[order]
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(token)) if len(key) else pa.array([], pa.list_(pa.int64()))
-        return pa.table({"set_key": pa.array(key[begins]), "part": lists})
+        return pa.table({"set_key": pa.array(key[begins]), "tokens": lists})
 
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(may.select("doc_id", "set_key"), "doc_id").select("set_key", "text")
-    parts = texts.mapInArrow(deal, "bucket int, tokens binary, keys binary, runs binary").groupBy("bucket").applyInArrow(rare, "set_key long, part array<long>")
-    own = parts.groupBy("set_key").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("tokens")).join(may.select("set_key", "n"), "set_key")
+    ids = may.select("doc_id", "set_key")
+    ids = F.broadcast(ids) if may.count() <= BROADCAST_ROWS else ids
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(ids, "doc_id").select("set_key", "text")
+    parts = texts.mapInArrow(deal, "bucket int, tokens binary, keys binary, runs binary").groupBy("bucket").applyInArrow(rare, "to int, tokens binary, keys binary, runs binary")
+    own = parts.groupBy("to").applyInArrow(gather, "set_key long, tokens array<long>").join(may.select("set_key", "n"), "set_key")
     return own.where(F.size("tokens") >= F.ceil(F.col("n") * alike[0] / alike[1])).select("set_key", F.col("n").cast("int").alias("n"), "tokens")
 
 
