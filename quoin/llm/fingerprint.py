@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from math import inf
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from quoin.llm.common import read
 
 #: Cells of a fingerprint (a multiple of HASHES), and cells of which each paragraph is in one a third.
 CELLS, HASHES = 48, 3
+#: Documents that a task has as Python objects at a time.
+ROWS = 256
 #: A paragraph ends at a newline or after the mark that ends a sentence.
 PARAGRAPH = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 
@@ -32,7 +36,7 @@ def paragraph_digests(text: str) -> np.ndarray:
         if p:
             raw = p.encode("utf-8", "surrogatepass")
             n = seen[raw] = seen.get(raw, -1) + 1
-            out.append(xxhash.xxh3_64_intdigest(raw, n))
+            out.append(xxhash.xxh3_64_intdigest(raw + n.to_bytes(8, "little")))
     return np.array(out, np.uint64)
 
 
@@ -95,10 +99,12 @@ class Sketch:
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, sketches: tuple[Sketch, Sketch] | None = None) -> tuple[list[int], list[int]]:
     """The paragraph digests that only a, and only b, has, recovered from sketches alone; after a failure
-    from sketches of twice as many cells, which succeeds once there are cells enough."""
+    from larger sketches, first of as many cells as wholly different texts need."""
     first, second = sketches or (Sketch(a, cells), Sketch(b, cells))
     while (found := first.minus(second).peel()) is None:
-        cells = max(2 * cells, HASHES * -(-abs(len(a) - len(b)) // 2))  # as many must differ at least
+        if cells > 64 * (len(a) + len(b) + 1):  # only equal digests of different paragraphs come this far
+            return np.setdiff1d(a, b).tolist(), np.setdiff1d(b, a).tolist()
+        cells = max(2 * cells, HASHES * -(-11 * (len(a) + len(b)) // 20))  # decodes if no paragraph is common
         first, second = Sketch(a, cells), Sketch(b, cells)
     return found
 
@@ -126,14 +132,9 @@ def in_order(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(-(2**63)).to_numpy(np.int64) if ids.dtype.kind == "f" else ids.to_numpy(np.int64)
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), known, "right").astype(np.int32))
-
-    placed = docs.withColumn("place", place(F.coalesce("doc_id", F.lit(-(2**63)))))
+    least = F.coalesce("doc_id", F.lit(-(2**63))).cast("double")
+    dealer = Bucketizer(splits=[-inf, *sorted({float(c) for c in cuts}), inf], inputCol="at", outputCol="place")
+    placed = dealer.transform(docs.withColumn("at", least)).withColumn("place", F.col("place").cast("int")).drop("at")
     heads = sorted((r["place"], r["least"]) for r in placed.groupBy("place").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least")).collect())
     after = [(heads[i][0], heads[(i + 1) % len(heads)][1]) for i in range(len(heads))]  # at most one row a partition
     after = spark.createDataFrame(after, "place int, least long")
@@ -149,12 +150,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text is as empty. Documents follow each other by doc_id (null first) and, where rows repeat a
     doc_id, by text; the first follows the last, a single document itself. ``only_text`` and
     ``only_edited`` are the digests of the paragraphs in which a text and its edited text differ. A
-    task holds two documents and a batch at a time.
+    task holds an Arrow batch, and a few hundred documents of it as objects, at a time.
     """
 
     def run(batches):
         last = None
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out: list[tuple] = []
             for place, doc_id, text, border in zip(*(b.column(c).to_pylist() for c in ("place", "doc_id", "text", "border"))):
                 digests = paragraph_digests(text)
