@@ -56,7 +56,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
     t = _numeric(t)
     for name, char in NAMED:
-        t = F.regexp_replace(t, f"&{name};", char)
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
