@@ -133,7 +133,7 @@ def in_order(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     least = F.coalesce("doc_id", F.lit(-(2**63))).cast("double")
-    dealer = Bucketizer(splits=[-inf, *sorted({float(c) for c in cuts}), inf], inputCol="at", outputCol="place")
+    dealer = Bucketizer(splits=[-inf, *sorted({float(c) for c in cuts or [0]}), inf], inputCol="at", outputCol="place")
     placed = dealer.transform(docs.withColumn("at", least)).withColumn("place", F.col("place").cast("int")).drop("at")
     heads = sorted((r["place"], r["least"]) for r in placed.groupBy("place").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least")).collect())
     after = [(heads[i][0], heads[(i + 1) % len(heads)][1]) for i in range(len(heads))]  # at most one row a partition
