@@ -9,7 +9,10 @@ start after anything but a Latin letter (about one a word; scripts without space
 character), a sample that depends on the text alone, as reading all of them would cost six times as
 much. Bands of signatures give candidates, which are compared with their bucket's first line by exact
 Jaccard over all shingles; those that differ from it go on to a next round with the next line of the
-bucket, and to finer bands after that, so a bucket costs its size a round and never all its pairs.
+bucket, and to finer bands after that. These rounds settle most buckets at the cost of their size. In
+the others every line is then compared with all lines that are not yet in its component: large buckets
+are refined by further hashes, without loss to pairs that share SAME_HASHES, and what is left is dealt
+into blocks of bounded size, each compared with each.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 from quoin.llm.common import components, read, saved
 
 MIN_CHARS, SHINGLE, ALIKE = 25, 12, 0.75
-#: Bands of two hashes each: 0.984 of the pairs at a similarity of 0.75, 0.994 at 0.8, 0.9998 at 0.9, share one.
-BANDS = 5
+#: Bands of two hashes each: 0.993 of the pairs at a similarity of 0.75, 0.9999 at 0.9, share one.
+BANDS = 6
 #: Rounds at each width of the bands (hashes a band).
-ROUNDS = ((2, 2), (4, 1))
-#: Of the 10 hashes, those that candidates must share: of pairs at 0.75, four in a thousand have fewer.
+ROUNDS = ((2, 2), (4, 2), (8, 1))
+#: Of the 12 hashes, those that candidates must share: of pairs at 0.75, four in ten thousand have fewer.
 SAME_HASHES = 4
+#: Lines of a block, after the rounds; larger buckets are refined first.
+BLOCK = 512
 
 _SEEDS = [int(x) for x in np.random.RandomState(7).randint(-(2**63), 2**63 - 1, 2 * BANDS, dtype=np.int64)]
 _ANCHORED = r"(?s)(?<![a-zß-ɏ])(?=(.{%d}))"
@@ -62,10 +67,37 @@ def _jaccard(a: Column, b: Column, shingle: int) -> Column:
     return both / (F.size(sets[0]) + F.size(sets[1]) - both)
 
 
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """``(band, line_id, component)`` of the buckets with several components, with their size ``n``, the
+    largest component ``main`` and the number of lines outside it, ``others``."""
+    by = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    by = by.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    return saved(rows.join(by.select("band", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.n")).alias("others")), "band"))
+
+
+def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Smaller buckets for large ones. Two lines that share a band and SAME_HASHES in all share at least
+    one of any ``2 * BANDS - SAME_HASHES + 1`` hashes outside the band, so no candidate is lost."""
+    n = len(_SEEDS)
+    at = rows.join(signed, "line_id").withColumn("b", F.array_position(_bands(signed, 2), F.col("band")).cast("int") - 1)
+    hashes = F.array(*[F.col(f"m{i}") for i in range(n)])
+    finer = F.transform(F.sequence(F.lit(2), F.lit(2 + n - SAME_HASHES)), lambda k: F.xxhash64("band", k, F.get(hashes, F.pmod(2 * F.col("b") + k, F.lit(n)))))
+    return at.select("line_id", "component", F.explode(finer).alias("band"))
+
+
 def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
-    """Edges ``(a, b)`` between the ids of different lines that are copies."""
+    """Edges ``(a, b)`` whose components are those of the lines that are copies; the ends are ids of lines."""
     hashes = [f"m{i}" for i in range(len(_SEEDS))]
-    links = lines = signed = left = None
+    compared = lines = signed = left = buckets = None
+
+    def candidates() -> Column:
+        same = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in hashes)
+        return (F.least("size", "osize") >= alike * F.greatest("size", "osize") - 2 * shingle) & (same >= SAME_HASHES)
+
+    def verdicts(asked: DataFrame) -> DataFrame:
+        both = asked.join(lines, "line_id").join(lines.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
+        return saved(both.select(F.col("line_id").alias("a"), F.col("head").alias("b"), (_jaccard(F.col("line"), F.col("other"), shingle) >= alike).alias("ok")))
+
     for width, rounds in ROUNDS:
         source = distinct if left is None else signed.join(left.select("line_id").distinct(), "line_id")
         rows = source.select("line_id", F.explode(_bands(source, width)).alias("band"))
@@ -73,24 +105,37 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
             heads = rows.groupBy("band").agg(F.min("line_id").alias("head"), F.max("line_id").alias("last")).where("head < last").select("band", "head")
             pairs = saved(rows.join(heads, "band").where("line_id != head"), release=lines is None)
             if lines is None:  # the lines that share a bucket, once: the rounds ask for no others
+                buckets = pairs
                 shared = pairs.select("line_id").union(pairs.select("head")).distinct()
                 texts = _lines(docs, min_chars).select("line_id", "line").join(shared, "line_id").groupBy("line_id").agg(F.first("line").alias("line"))
                 lines = saved(texts, release=True)
                 signed = saved(distinct.join(lines.select("line_id", F.length("line").alias("size")), "line_id").select("line_id", "size", *hashes))
+                other = signed.select(F.col("line_id").alias("head"), F.col("size").alias("osize"), *[F.col(m).alias(f"o{m}") for m in hashes])
             # signatures and lengths first: few pairs then need their texts
-            other = signed.select(F.col("line_id").alias("head"), F.col("size").alias("osize"), *[F.col(m).alias(f"o{m}") for m in hashes])
-            same = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in hashes)
-            near = F.least("size", "osize") >= alike * F.greatest("size", "osize") - 2 * shingle
-            asked = pairs.select("line_id", "head").distinct().join(signed, "line_id").join(other, "head").where(near & (same >= SAME_HASHES)).select("line_id", "head")
-            both = asked.join(lines, "line_id").join(lines.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
-            found = saved(both.where(_jaccard(F.col("line"), F.col("other"), shingle) >= alike).select(F.col("line_id").alias("a"), F.col("head").alias("b")))
-            links = found if links is None else links.union(found)
+            told = verdicts(pairs.select("line_id", "head").distinct().join(signed, "line_id").join(other, "head").where(candidates()).select("line_id", "head"))
+            compared = told if compared is None else compared.union(told)
+            found = told.where("ok")
             # what its bucket's first line did not claim goes on, without that line
             rows = saved(pairs.join(found, [F.col("line_id") == F.col("a"), F.col("head") == F.col("b")], "left_anti").select("line_id", "band"))
         left = rows
         if rows.isEmpty():
             break
-    return links
+    joined = saved(components(compared.where("ok")))
+    # the first head of a bucket has met all its lines; of the others, those of different components have not all met
+    rest = _unsettled(buckets.join(joined, F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("component", "line_id").alias("component")))
+    large = rest.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        rest = rest.where(F.col("n") <= BLOCK).union(_unsettled(_refined(large, signed)).select(*rest.columns))
+    across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    every = rest.join(signed, "line_id").withColumns({"i": dealt(across), "j": each(down)})
+    outside = rest.where("component != main").select("band", "line_id", F.col("component").alias("ocomponent"), dealt(down).alias("j"), each(across).alias("i"))
+    outside = outside.withColumnRenamed("line_id", "head").join(other, "head")
+    differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
+    asked = every.join(outside, ["band", "i", "j"]).where(differ & candidates()).select(F.least("line_id", "head").alias("head"), F.greatest("line_id", "head").alias("line_id")).distinct()
+    told = verdicts(asked.join(compared.select(F.col("a").alias("line_id"), F.col("b").alias("head")), ["line_id", "head"], "left_anti"))
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(told.where("ok").select("a", "b"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:

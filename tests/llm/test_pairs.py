@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quoin.llm.common import SPACED, components, hash_words, shingle_hashes
+from quoin.llm import line_dedup
 from quoin.llm.line_dedup import MIN_CHARS, SHINGLE, ALIKE, dedup_lines
 from quoin.llm.ngram_join import divide_skip, merge_skip, op5_ngram_join, similar_documents
 
@@ -199,3 +200,30 @@ def test_lines_edge_cases(spark):
     docs = spark.createDataFrame([(None, line), (4, line), (4, line), (9, f"{line}\nand something that only this text has")], "doc_id long, text string")
     got = sorted((r.row.doc_id or -1, r.text, r.emptied) for r in dedup_lines(docs).collect())
     assert got == [(-1, line, False), (4, "", True), (4, "", True), (9, "and something that only this text has", False)]
+
+
+def crowded_lines():
+    """Groups of copies that share most of their text, and so their buckets, and a chain of edits whose ends differ."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = [word() for _ in range(60)]
+    lines = []
+    for _ in range(40):
+        own = [word() for _ in range(16)]
+        lines += [" ".join(common + own), " ".join(common + own[:-1] + [word()])]
+    chain = [word() for _ in range(60)]
+    for i in range(25):
+        lines.append(" ".join(chain))
+        chain[4 * i % 60 : 4 * i % 60 + 4] = [word() for _ in range(4)]
+    rng.shuffle(lines)
+    return lines
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_every_group_of_a_bucket(spark, monkeypatch, block):
+    """With blocks of 6, buckets are refined and dealt into blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    texts = crowded_lines()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
