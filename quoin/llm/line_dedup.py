@@ -61,8 +61,12 @@ def _bands(lines: DataFrame, width: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{(2 * b + j) % n}") for j in range(width)]) for b in range(BANDS)])
 
 
+def _shingles(line: Column, shingle: int) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_EVERY % shingle), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
 def _jaccard(a: Column, b: Column, shingle: int) -> Column:
-    sets = [F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(_EVERY % shingle), F.lit(1)), lambda x: F.xxhash64(x))) for x in (a, b)]
+    sets = [_shingles(x, shingle) for x in (a, b)]
     both = F.size(F.array_intersect(*sets))
     return both / (F.size(sets[0]) + F.size(sets[1]) - both)
 
@@ -92,10 +96,10 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
 
     def candidates() -> Column:
         same = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in hashes)
-        return (F.least("size", "osize") >= alike * F.greatest("size", "osize") - 2 * shingle) & (same >= SAME_HASHES)
+        return (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & (same >= SAME_HASHES)
 
     def verdicts(asked: DataFrame) -> DataFrame:
-        both = asked.join(lines, "line_id").join(lines.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
+        both = asked.join(lines.select("line_id", "line"), "line_id").join(lines.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
         return saved(both.select(F.col("line_id").alias("a"), F.col("head").alias("b"), (_jaccard(F.col("line"), F.col("other"), shingle) >= alike).alias("ok")))
 
     for width, rounds in ROUNDS:
@@ -108,10 +112,10 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
                 buckets = pairs
                 shared = pairs.select("line_id").union(pairs.select("head")).distinct()
                 texts = _lines(docs, min_chars).select("line_id", "line").join(shared, "line_id").groupBy("line_id").agg(F.first("line").alias("line"))
-                lines = saved(texts, release=True)
-                signed = saved(distinct.join(lines.select("line_id", F.length("line").alias("size")), "line_id").select("line_id", "size", *hashes))
+                lines = saved(texts.withColumn("size", F.size(_shingles(F.col("line"), shingle))), release=True)
+                signed = saved(distinct.join(lines.select("line_id", "size"), "line_id").select("line_id", "size", *hashes))
                 other = signed.select(F.col("line_id").alias("head"), F.col("size").alias("osize"), *[F.col(m).alias(f"o{m}") for m in hashes])
-            # signatures and lengths first: few pairs then need their texts
+            # signatures and numbers of shingles first: few pairs then need their texts
             told = verdicts(pairs.select("line_id", "head").distinct().join(signed, "line_id").join(other, "head").where(candidates()).select("line_id", "head"))
             compared = told if compared is None else compared.union(told)
             found = told.where("ok")

@@ -227,3 +227,13 @@ def test_every_group_of_a_bucket(spark, monkeypatch, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.row.doc_id: r.text for r in dedup_lines(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+
+
+def test_repeated_content_is_a_copy(spark):
+    """Twice the length, but nearly the same shingles."""
+    rng = random.Random(8)
+    line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(18))
+    texts = [line, f"{line} {line}", f"{line} {line} {line}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert [got[i] for i in range(3)] == brute_lines(texts) == [line, "", ""]
