@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoin.llm.common import read, saved
 from quoin.llm.decontaminate import benchmark_hits, contaminated, n_hit
 from quoin.llm.line_dedup import dedup_lines
-from quoin.llm.mixing import mixing_plan
+from quoin.llm.mixing import mix_documents, mixing_plan
 from quoin.llm.ngram_join import similar_documents
 from quoin.llm.quality import quality_scores
 
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: what the stages keep, each document as often as the last stage plans, with ``copy`` from 1."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), release=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return mix_documents(docs.select(*COLUMNS))

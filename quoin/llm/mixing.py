@@ -45,32 +45,33 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)``: how often the mix takes each document.
+def _copies(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17) -> DataFrame:
+    """``rows`` with ``mix_source_size``, ``mix_target`` and ``mix_copies``, by the sources of ``sizes``.
 
     Each document is taken floor(rate) times, and once more with probability rate - floor(rate),
-    where rate = target / source_size. Null text has size 0; rows that repeat a doc_id share its draw;
-    an empty table gives an empty plan.
+    where rate = target / source_size.
     """
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = saved(source_targets(sizes, weights, share, most))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    targets = saved(source_targets(sizes, weights, share, most)).select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "source_size", "target")])
+    rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     # one row a source against all documents: below the broadcast threshold the planner broadcasts it, above it splits skewed sources
-    joined = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies.cast("long"))
+
+
+def mixing_plan(docs: DataFrame, **how) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies)``: how often the mix takes each document.
+
+    Null text has size 0; rows that repeat a doc_id share its draw; an empty table gives an empty plan.
+    """
+    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return _copies(sizes, sizes, **how).select("doc_id", "source", "size", *[F.col(f"mix_{c}").alias(c) for c in ("source_size", "target", "copies")])
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document ``copies`` times, with ``copy`` from 1 (documents not taken are absent)."""
-    sizes = docs.withColumn("mix_size", word_count(F.col("text")))
-    how = dict(how)
-    seed, most = how.pop("seed", 17), how.get("most", 2)
-    targets = saved(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), **how)).withColumnRenamed("source", "mix_source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies).where("mix_copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns, "copy")
+    sizes = docs.select("source", word_count(F.col("text")).alias("size"))
+    taken = _copies(docs, sizes, **how).where("mix_copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns, "copy")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

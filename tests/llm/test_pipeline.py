@@ -77,3 +77,20 @@ def test_edge_rows(spark, sf):
         assert out.count() >= 3, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert C.STAGES[0][1](spark, docs.withColumn("extra", F.lit(1)), sf).columns == C.COLUMNS
+
+
+def test_run_emits_the_mix(spark, sf, monkeypatch):
+    """Each document as often as planned, with its text; those planned 0 times are absent."""
+    monkeypatch.setattr(C, "STAGES", C.STAGES[-1:])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = {r.doc_id: r.taken // r["size"] if r["size"] else None for r in C.mixed(spark, docs, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = C.run(spark, sf)
+    assert out.columns == [*C.COLUMNS, "copy"]
+    copies = {}
+    for r in out.collect():
+        assert r.text == texts[r.doc_id]
+        copies.setdefault(r.doc_id, []).append(r["copy"])
+    known = {d: n for d, n in plan.items() if n is not None}
+    assert 0 in known.values() and 2 in known.values()
+    assert {d: sorted(copies.get(d, [])) for d in known} == {d: list(range(1, n + 1)) for d, n in known.items()}
