@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +59,33 @@ def all_paths(edges: DataFrame, pairs: DataFrame, most: int = 3, direction: str
     return paths.withColumn("b", F.element_at("path", -1)).withColumnRenamed("start", "a").join(pairs.distinct(), ["a", "b"], "left_semi").select("a", "b", "path")
 
 
-def chain_end(edges: DataFrame, types: list[str], most: int = 64) -> DataFrame:
+def chain_end(edges: DataFrame, types: list[str]) -> DataFrame:
     """G21. ``(id, last, depth)``: for each node with a newer version, the end of the longest chain of changes.
 
-    Chains double at each step (a pointer jumps to where its target points), so a few joins suffice;
-    a node that several others change takes the smallest, and cycles end at ``most`` steps.
+    Chains double at each step (a pointer jumps to where its target points) until no pointer moves, so a
+    few joins suffice; a node that several others change takes the smallest. A node whose pointer never
+    comes to an end leads into a cycle, which shows by a depth above the number of nodes: its ``last`` is
+    the node after as many steps as that took, its depth their number. Steps are written to the
+    checkpoint folder.
     """
-    step = edges.where(F.col("type").isin(*types)).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("last")).withColumn("depth", F.lit(1))
-    at, length = step, 1
-    while length < most:
+    at = _kept(edges.where(F.col("type").isin(*types)).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("last")).withColumn("depth", F.lit(1).cast("long")))
+    n = at.count()
+    while True:
         on = at.select(F.col("id").alias("k"), F.col("last").alias("further"), F.col("depth").alias("more"))
-        at = at.join(on, F.col("last") == F.col("k"), "left").select("id", F.coalesce("further", "last").alias("last"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        length *= 2
-    return at
+        # a depth above the number of nodes with a newer version: the pointer goes round in a cycle
+        moves = F.col("further").isNotNull() & (F.col("depth") <= n)
+        at = _kept(at.join(on, F.col("last") == F.col("k"), "left").select("id", F.when(moves, F.col("further")).otherwise(F.col("last")).alias("last"), (F.col("depth") + F.when(moves, F.col("more")).otherwise(0)).alias("depth"), moves.alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.select("id", "last", F.col("depth").cast("int").alias("depth"))
+        at = at.drop("moved")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, and read from there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -63,3 +63,13 @@ def test_bm25_without_matches(spark):
     chunks = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "")], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, "gamma"), (2, "beta"), (3, None)], "query_id long, text string")
     assert [(r.query_id, r.chunk_id) for r in bm25_search(queries, chunks, 5).collect()] == [(2, 1)]
+
+
+def test_long_chains_and_cycles_end(spark):
+    from quoin.operators.graph import chain_end
+
+    chain = [(f"v{i + 1:04}", f"v{i:04}", "SUA_DOI") for i in range(300)]
+    cycle = [("b", "a", "SUA_DOI"), ("a", "b", "SUA_DOI")]
+    got = {r.id: (r.last, r.depth) for r in chain_end(spark.createDataFrame(chain + cycle, "src string, dst string, type string"), ["SUA_DOI"]).collect()}
+    assert all(got[f"v{i:04}"] == ("v0300", 300 - i) for i in range(300))
+    assert got["a"][1] > 300 and got["b"][1] > 300 and len(got) == 302
