@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.llm.common import read, saved
 from quoin.llm.decontaminate import benchmark_hits, contaminated, n_hit
-from quoin.llm.line_dedup import dedup_lines
+from quoin.llm.line_dedup import MIN_CHARS, _trimmed, dedup_lines
 from quoin.llm.mixing import mix_documents, mixing_plan
 from quoin.llm.ngram_join import similar_documents
 from quoin.llm.quality import quality_scores
@@ -22,8 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand elsewhere; one that has no line of its own left goes."""
-    out = dedup_lines(docs.select(*COLUMNS)).where(~F.col("emptied"))
+    """Documents without lines that stand elsewhere. One goes if no line of MIN_CHARS is left and each
+    shorter one that is not blank occurs in an earlier document too; short lines themselves always stay."""
+    out = dedup_lines(docs.select(*COLUMNS)).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))))
+    each = lambda df, doc: df.select(doc.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", _trimmed(F.col("line")).alias("line"))
+    asked = saved(each(out.where("emptied"), F.col("doc")).where("line != ''").distinct())
+    every = each(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    first = every.where(F.length("line") < MIN_CHARS).join(asked.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("doc").alias("first"))
+    own = saved(asked.join(first, "line").where("doc = first").select(F.col("doc").alias("owner")).distinct())
+    out = out.join(own, F.col("doc") == F.col("owner"), "left").where(~F.col("emptied") | F.col("owner").isNotNull())
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select("row.doc_id", "text", "row.lang", "row.source", n_chars.alias("n_chars"))
 

@@ -94,3 +94,11 @@ def test_run_emits_the_mix(spark, sf, monkeypatch):
     known = {d: n for d, n in plan.items() if n is not None}
     assert 0 in known.values() and 2 in known.values()
     assert {d: sorted(copies.get(d, [])) for d in known} == {d: list(range(1, n + 1)) for d, n in known.items()}
+
+
+def test_short_lines_of_its_own_keep_a_document(spark, sf):
+    line = "this line of boilerplate stands in every one of them"
+    texts = [line, f"{line}\nroses are red", f"{line}\nroses are red", f"{line}\n \n", f"roses are red\n{line}\nviolets blue"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in C.lines(spark, docs, sf).collect()}
+    assert got == {0: (line, len(line)), 1: ("roses are red", 13), 4: ("roses are red\nviolets blue", 26)}
