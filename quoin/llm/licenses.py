@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -38,7 +39,7 @@ TEMPLATES = (
 #: A line with one of these begins or continues a block. A block takes lines up to GAP apart.
 CUE = r"(?i)licen[cs]e|copyright|permission is hereby|permission notice|redistribut|warrant(?:y|ies)|public domain|creative commons|\bcc0?[ -]by|spdx"
 GAP = 3
-#: Templates whose wording is compared, best first, and words that may differ: this share of the template's.
+#: Templates whose wording is compared where none is confirmed, best first, and words that may differ: this share of the template's.
 WINNERS, DIFFER = 3, 0.1
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -70,15 +71,44 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int]:
     return len(template) - matched, same[-1].a + same[-1].size - same[0].a - matched
 
 
+def confirmed(own: list[str], known: dict[int, list[str]], size_of: dict[int, int]) -> list[tuple[int, int, int]]:
+    """``(template, missing, added)`` of each template whose wording stands in the words of a block, once each.
+
+    The best match is taken first, then the words before and after it are searched again. A template is
+    compared with the words around its longest run, as far as the words that may differ reach.
+    """
+    out, todo = {}, [(0, len(own))]
+    while todo:
+        a, b = todo.pop()
+        have, best = Counter(own[a:b]), None
+        for k, template in known.items():
+            slack = int(DIFFER * len(template))
+            if sum((Counter(template) & have).values()) < len(template) - slack:
+                continue
+            m = SequenceMatcher(None, own[a:b], template, autojunk=False).find_longest_match()
+            start, end = max(a, a + m.a - m.b - slack), min(b, a + m.a + len(template) - m.b + slack)
+            same = [x for x in SequenceMatcher(None, own[start:end], template, autojunk=False).get_matching_blocks() if x.size]
+            missing, added = wording(own[start:end], template)
+            if same and max(missing, added) <= DIFFER * len(template):
+                found = ((missing + added) / len(template), size_of[k], k), (start + same[0].a, start + same[-1].a + same[-1].size), (missing, added)
+                best = min(best, found) if best else found
+        if best:
+            (_, _, k), (first, last), differ = best
+            out.setdefault(k, (first, k, *differ))
+            todo += [(a, first), (last, b)]
+    return [x[1:] for x in sorted(out.values())]
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """A row ``(doc_id, first_line, last_line, license, template, plain_bytes, given_bytes, missing, added, confirmed, block)``
-    for each candidate block, with its best template.
+    for each template confirmed in a candidate block; a block without any has one row, with its best template.
 
     ``plain_bytes`` is the block compressed alone, ``given_bytes`` with the template as raw dictionary.
-    The templates with the largest reduction are compared word by word, and the one with the fewest
-    differences stands (the larger reduction among equals); it is confirmed if missing and added
-    words are at most a tenth of its words. Texts without a cue, empty or null, give no row; documents
-    without cues never leave the JVM. The result has a row a block, so repeated rows repeat theirs.
+    The templates with any reduction are compared word by word; one is confirmed if missing and added
+    words are at most a tenth of its words. Where several fit the same words, the one with the fewest
+    differences stands (the larger reduction among equals); the words outside it are searched again.
+    Of a block that confirms none, the WINNERS largest reductions are compared. Texts without a cue,
+    empty or null, give no row; documents without cues never leave the JVM. Repeated rows repeat theirs.
     """
 
     def run(batches):
@@ -94,6 +124,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                     raw = block.encode("utf-8", "surrogatepass")
                     size, own = len(plain.compress(raw)), words(block)
                     sizes = [len(c.compress(raw)) for c in given]
+                    sure = confirmed(own, {k: known[k] for k, n in enumerate(sizes) if n < size}, dict(enumerate(sizes)))
+                    out += [(doc_id, first, last, templates[k][0], k, size, sizes[k], missing, added, True, block) for k, missing, added in sure]
+                    if sure:
+                        continue
                     ranked = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))[:WINNERS]
                     differ = {k: wording(own, known[k]) for k in ranked}
                     best = min(ranked, key=lambda k: (sum(differ[k]) / len(known[k]), sizes[k], k))

@@ -206,6 +206,17 @@ def test_licenses(spark):
     assert scan_licenses(docs.limit(0)).collect() == []
 
 
+def test_every_license_of_a_block(spark):
+    """All notices one after the other, and pairs within GAP lines."""
+    names = sorted({n for n, _ in TEMPLATES})
+    longest = {n: max((t for m, t in TEMPLATES if m == n), key=len) for n in names}
+    texts = ["\n".join(longest.values()), f"{longest['MIT']}\n\n{longest['CC-BY-4.0']}", "Released under the MIT License.\nLicensed under CC BY-SA 4.0."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = scan_licenses(docs).collect()
+    got = [sorted(r["license"] for r in rows if r.doc_id == i and r.confirmed) for i in range(3)]
+    assert got == [names, ["CC-BY-4.0", "MIT"], ["CC-BY-SA-4.0", "MIT"]]
+
+
 # ------------------------------------------------------------------------------- WARC
 def test_warc_round_trip(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
