@@ -73,3 +73,8 @@ def test_long_chains_and_cycles_end(spark):
     got = {r.id: (r.last, r.depth) for r in chain_end(spark.createDataFrame(chain + cycle, "src string, dst string, type string"), ["SUA_DOI"]).collect()}
     assert all(got[f"v{i:04}"] == ("v0300", 300 - i) for i in range(300))
     assert got["a"][1] > 300 and got["b"][1] > 300 and len(got) == 302
+
+
+def test_approximate_search_asks_every_fiftieth(spark, sf):
+    asked = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    assert len(asked) > 1 and {r.query_id for r in registry.QUERIES["R06"](spark, sf).select("query_id").distinct().collect()} == asked
