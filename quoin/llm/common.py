@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- tables between steps
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session
+    gets a temporary folder of its own; on a cluster, whose machines would not share it, this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -34,6 +37,7 @@ def saved(df: DataFrame, release: bool = False) -> DataFrame:
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
     del df
     if release:
         for _ in range(2):  # the gateway lets go of collected plans in a thread of its own
@@ -43,6 +47,31 @@ def saved(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote, once no later step reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Words of 64 bits of a sieve.
+SIEVE_WORDS = 1 << 19
+
+
+def sieved(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column``, a 64-bit hash, may be in the same column of ``keys``, and few others.
+
+    A filter before a join's shuffle: the keys set bits in a bitmap whose broadcast has SIEVE_WORDS rows
+    at most, however many keys there are. With very many keys it lets more rows through, never fewer.
+    """
+    word = F.pmod(F.shiftright(column, 6), F.lit(SIEVE_WORDS)).alias("sieve_word")
+    bit = F.pmod(F.col(column), F.lit(64)).cast("int")
+    bits = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("sieve_word").agg(F.bit_or("one").alias("sieve_bits"))
+    found = df.withColumn("sieve_word", word).join(F.broadcast(bits), "sieve_word")
+    return found.where(F.bit_get("sieve_bits", bit) == 1).drop("sieve_word", "sieve_bits")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

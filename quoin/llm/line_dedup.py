@@ -4,38 +4,36 @@ A line of at least ``MIN_CHARS`` characters is a copy of another if their sets o
 shingles (trimmed, lower case) have a Jaccard similarity of ``ALIKE`` or more. Of each component of
 copies one line stays: the first by doc_id and position. Shorter lines always stay.
 
-Equal lines are gathered first, by 64-bit hash. For the others, signatures take the shingles that
-start after anything but a Latin letter (about one a word; scripts without spaces have one at every
-character), a sample that depends on the text alone, as reading all of them would cost six times as
-much. Bands of signatures give candidates, which are compared with their bucket's first line by exact
-Jaccard over all shingles; those that differ from it go on to a next round with the next line of the
-bucket, and to finer bands after that. These rounds settle most buckets at the cost of their size. In
-the others every line is then compared with all lines that are not yet in its component: large buckets
-are refined by further hashes, without loss to pairs that share SAME_HASHES, and what is left is dealt
-into blocks of bounded size, each compared with each.
+Equal lines are gathered first, by 64-bit hash: an aggregation by line that also takes the MinHash
+signature, the minimum of each seeded hash over all shingles. Bands of signatures deal the lines into
+buckets; two lines of a bucket that share SAME_HASHES are candidates, and candidates are compared by
+exact Jaccard over all shingles. Each line meets the first of its bucket, and components are formed.
+In a bucket that then still has several components, every line outside the largest one is compared with
+all lines of other components, so no candidate pair is lost; before that, large buckets have further
+rounds with another first line, are refined by further hashes, and what is left of them is dealt into
+blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import components, read, saved
+from quoin.llm.common import components, discard, read, saved, sieved
 
 MIN_CHARS, SHINGLE, ALIKE = 25, 12, 0.75
 #: Bands of two hashes each: 0.993 of the pairs at a similarity of 0.75, 0.9999 at 0.9, share one.
 BANDS = 6
-#: Rounds at each width of the bands (hashes a band).
-ROUNDS = ((2, 2), (4, 2), (8, 1))
 #: Of the 12 hashes, those that candidates must share: of pairs at 0.75, four in ten thousand have fewer.
 SAME_HASHES = 4
-#: Lines of a block, after the rounds; larger buckets are refined first.
-BLOCK = 512
+#: Lines of a block. A bucket that needs more than a block's comparisons has up to ROUNDS further first lines.
+BLOCK, ROUNDS = 512, 4
+#: Shingles hashed in one row of the signatures' aggregation.
+STRIDE = 4
 
 _SEEDS = [int(x) for x in np.random.RandomState(7).randint(-(2**63), 2**63 - 1, 2 * BANDS, dtype=np.int64)]
-_ANCHORED = r"(?s)(?<![a-zß-ɏ])(?=(.{%d}))"
-_EVERY = r"(?s)(?=(.{%d}))"
+_HASHES = [f"m{i}" for i in range(2 * BANDS)]
 
 
 def _trimmed(line: Column) -> Column:
@@ -48,27 +46,40 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.where(F.length(_trimmed(F.col("line"))) >= min_chars).withColumn("line", F.lower(_trimmed(F.col("line")))).withColumn("line_id", F.xxhash64("line"))
 
 
+def _hash(wide: Column, at: Column, shingle: int) -> Column:
+    """Hash of the shingle that begins at character ``at`` of a text in UTF-32, four bytes a character."""
+    return F.xxhash64(F.substr(wide, at * 4 + 1, F.lit(4 * shingle)))
+
+
+def _last(wide: Column, shingle: int) -> Column:
+    return F.greatest((F.octet_length(wide) / 4).cast("int") - shingle, F.lit(0))
+
+
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``lines`` with ``m``: for each seed the least of the seeded hashes of the anchored shingles."""
-    hashed = lines.withColumn("h", F.transform(F.regexp_extract_all("line", F.lit(_ANCHORED % shingle), F.lit(1)), lambda x: F.xxhash64(x)))
-    seeded = lambda s: F.transform("h", lambda x: x.bitwiseXOR(F.lit(s)))
-    least = [F.shiftright(F.array_min(seeded(s)), 32).cast("int").alias(f"m{i}") for i, s in enumerate(_SEEDS)]
-    return hashed.select("doc", "line_id", *least)
+    """``(line_id, first_doc, n, m0, ..)``: each distinct line with its number of occurrences and, for each
+    seed, the least of the seeded hashes of its shingles. Lines are aggregated where they are read."""
+    wide = lines.select("doc", "line_id", F.encode("line", "UTF-32").alias("wide")).withColumn("last", _last(F.col("wide"), shingle))
+    rows = wide.select("doc", "line_id", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STRIDE))).alias("at"))
+    hashed = rows.select("doc", "line_id", "at", *[_hash(F.col("wide"), F.least(F.col("at") + j, F.col("last")), shingle).alias(f"h{j}") for j in range(STRIDE)])
+    least = lambda seed: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(seed)) for j in range(STRIDE)]))
+    first = [F.min("doc").alias("first_doc"), F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n")]
+    return hashed.groupBy("line_id").agg(*first, *[F.shiftright(least(s), 32).cast("int").alias(m) for m, s in zip(_HASHES, _SEEDS)])
 
 
-def _bands(lines: DataFrame, width: int) -> Column:
-    n = len(_SEEDS)
-    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{(2 * b + j) % n}") for j in range(width)]) for b in range(BANDS)])
+def _bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), f"m{2 * b}", f"m{2 * b + 1}") for b in range(BANDS)])
 
 
 def _shingles(line: Column, shingle: int) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_EVERY % shingle), F.lit(1)), lambda x: F.xxhash64(x)))
+    """The distinct hashes of a line's shingles."""
+    every = lambda wide: F.transform(F.sequence(F.lit(0), _last(wide, shingle)), lambda i: _hash(wide, i, shingle))
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), every), 0))  # the line is encoded once
 
 
 def _jaccard(a: Column, b: Column, shingle: int) -> Column:
-    sets = [_shingles(x, shingle) for x in (a, b)]
-    both = F.size(F.array_intersect(*sets))
-    return both / (F.size(sets[0]) + F.size(sets[1]) - both)
+    sets = F.array(F.struct(_shingles(a, shingle).alias("a"), _shingles(b, shingle).alias("b")))
+    both = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.a, s.b)).alias("both"), (F.size(s.a) + F.size(s.b)).alias("all")))
+    return F.get(F.transform(both, lambda s: s.both / (s.all - s.both)), 0)
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -82,51 +93,57 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Smaller buckets for large ones. Two lines that share a band and SAME_HASHES in all share at least
     one of any ``2 * BANDS - SAME_HASHES + 1`` hashes outside the band, so no candidate is lost."""
-    n = len(_SEEDS)
-    at = rows.join(signed, "line_id").withColumn("b", F.array_position(_bands(signed, 2), F.col("band")).cast("int") - 1)
-    hashes = F.array(*[F.col(f"m{i}") for i in range(n)])
+    n = len(_HASHES)
+    at = rows.join(signed, "line_id").withColumn("b", F.array_position(_bands(), F.col("band")).cast("int") - 1)
+    hashes = F.array(*_HASHES)
     finer = F.transform(F.sequence(F.lit(2), F.lit(2 + n - SAME_HASHES)), lambda k: F.xxhash64("band", k, F.get(hashes, F.pmod(2 * F.col("b") + k, F.lit(n)))))
     return at.select("line_id", "component", F.explode(finer).alias("band"))
 
 
 def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of the lines that are copies; the ends are ids of lines."""
-    hashes = [f"m{i}" for i in range(len(_SEEDS))]
-    compared = lines = signed = left = buckets = None
-
-    def candidates() -> Column:
-        same = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in hashes)
-        return (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & (same >= SAME_HASHES)
-
-    def verdicts(asked: DataFrame) -> DataFrame:
-        both = asked.join(lines.select("line_id", "line"), "line_id").join(lines.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
-        return saved(both.select(F.col("line_id").alias("a"), F.col("head").alias("b"), (_jaccard(F.col("line"), F.col("other"), shingle) >= alike).alias("ok")))
-
-    for width, rounds in ROUNDS:
-        source = distinct if left is None else signed.join(left.select("line_id").distinct(), "line_id")
-        rows = source.select("line_id", F.explode(_bands(source, width)).alias("band"))
-        for _ in range(rounds):
-            heads = rows.groupBy("band").agg(F.min("line_id").alias("head"), F.max("line_id").alias("last")).where("head < last").select("band", "head")
-            pairs = saved(rows.join(heads, "band").where("line_id != head"), release=lines is None)
-            if lines is None:  # the lines that share a bucket, once: the rounds ask for no others
-                buckets = pairs
-                shared = pairs.select("line_id").union(pairs.select("head")).distinct()
-                texts = _lines(docs, min_chars).select("line_id", "line").join(shared, "line_id").groupBy("line_id").agg(F.first("line").alias("line"))
-                lines = saved(texts.withColumn("size", F.size(_shingles(F.col("line"), shingle))), release=True)
-                signed = saved(distinct.join(lines.select("line_id", "size"), "line_id").select("line_id", "size", *hashes))
-                other = signed.select(F.col("line_id").alias("head"), F.col("size").alias("osize"), *[F.col(m).alias(f"o{m}") for m in hashes])
-            # signatures and numbers of shingles first: few pairs then need their texts
-            told = verdicts(pairs.select("line_id", "head").distinct().join(signed, "line_id").join(other, "head").where(candidates()).select("line_id", "head"))
-            compared = told if compared is None else compared.union(told)
-            found = told.where("ok")
-            # what its bucket's first line did not claim goes on, without that line
-            rows = saved(pairs.join(found, [F.col("line_id") == F.col("a"), F.col("head") == F.col("b")], "left_anti").select("line_id", "band"))
-        left = rows
-        if rows.isEmpty():
+    """``(node, component)`` of the lines with copies, by id; a component is named by its smallest line.
+
+    ``distinct`` has the signatures of the lines of ``docs``.
+    """
+    rows = distinct.select("line_id", F.explode(_bands()).alias("band"))
+    firsts = saved(rows.groupBy("band").agg(F.min("line_id").alias("head"), F.max("line_id").alias("last")).where("head < last").select("band", "head"), release=True)
+    buckets = saved(sieved(rows, "band", firsts).join(firsts, "band"))
+    ids = saved(buckets.select("line_id").distinct())
+    # texts and signatures of the lines that share a bucket; the others are alone
+    texts = sieved(_lines(docs, min_chars).select("line_id", "line"), "line_id", ids).groupBy("line_id").agg(F.first("line").alias("line"))
+    texts = saved(texts.join(ids, "line_id", "left_semi"), release=True)
+    signed = saved(sieved(distinct, "line_id", ids).join(ids, "line_id", "left_semi").select("line_id", *_HASHES))
+    discard(firsts)
+    other = signed.select(F.col("line_id").alias("head"), *[F.col(m).alias(f"o{m}") for m in _HASHES])
+    candidates = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in _HASHES) >= SAME_HASHES
+
+    def confirmed(asked: DataFrame) -> DataFrame:
+        both = asked.join(texts, "line_id").join(texts.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
+        return both.where(_jaccard(F.col("line"), F.col("other"), shingle) >= alike).select(F.col("line_id").alias("a"), F.col("head").alias("b"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs.distinct().join(signed, "line_id").join(other, "head").where(candidates).select("line_id", "head"))
+
+    def by_component() -> DataFrame:
+        at = buckets.join(joined, F.col("line_id") == F.col("node"), "left")
+        return _unsettled(at.select("band", "line_id", F.coalesce("component", "line_id").alias("component")))
+
+    def extended(links: DataFrame) -> DataFrame:
+        known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return saved(components(known.union(links)))
+
+    joined = saved(components(met(buckets.where("line_id != head").select("line_id", "head"))))
+    rest = by_component()
+    for k in range(ROUNDS):
+        crowded = rest.where(F.col("n") * F.col("others") > BLOCK * BLOCK)
+        if crowded.isEmpty():
             break
-    joined = saved(components(compared.where("ok")))
-    # the first head of a bucket has met all its lines; of the others, those of different components have not all met
-    rest = _unsettled(buckets.join(joined, F.col("line_id") == F.col("node"), "left").select("band", "line_id", F.coalesce("component", "line_id").alias("component")))
+        order = F.xxhash64(F.lit(k), "line_id")
+        heads = crowded.where("component != main").groupBy("band").agg(F.max_by(F.struct("line_id", "component"), order).alias("next"))
+        asked = crowded.join(heads, "band").where("component != next.component").select("line_id", F.col("next.line_id").alias("head"))
+        joined, rest = extended(met(asked)), None
+        rest = by_component()
+    # of the lines of one bucket, those of different components have not all met
     large = rest.where(F.col("n") > BLOCK)
     if not large.isEmpty():
         rest = rest.where(F.col("n") <= BLOCK).union(_unsettled(_refined(large, signed)).select(*rest.columns))
@@ -137,25 +154,25 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     outside = rest.where("component != main").select("band", "line_id", F.col("component").alias("ocomponent"), dealt(down).alias("j"), each(across).alias("i"))
     outside = outside.withColumnRenamed("line_id", "head").join(other, "head")
     differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    asked = every.join(outside, ["band", "i", "j"]).where(differ & candidates()).select(F.least("line_id", "head").alias("head"), F.greatest("line_id", "head").alias("line_id")).distinct()
-    told = verdicts(asked.join(compared.select(F.col("a").alias("line_id"), F.col("b").alias("head")), ["line_id", "head"], "left_anti"))
-    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(told.where("ok").select("a", "b"))
+    asked = every.join(outside, ["band", "i", "j"]).where(differ & candidates)
+    return extended(confirmed(asked.select(F.least("line_id", "head").alias("head"), F.greatest("line_id", "head").alias("line_id")).distinct()))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
     """``(doc, dropped)``: the positions, from 0, of the lines of a document that are copies of lines kept elsewhere."""
-    signed = signatures(_lines(docs, min_chars), shingle)
-    distinct = saved(signed.groupBy("line_id").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(len(_SEEDS))]), release=True)
-    joined = saved(components(similar_lines(docs, distinct, min_chars, shingle, alike)))
+    if min_chars < shingle:
+        raise ValueError("lines must have a shingle: min_chars >= shingle")
+    distinct = saved(signatures(_lines(docs, min_chars), shingle), release=True)
+    joined = similar_lines(docs, distinct, min_chars, shingle, alike)
     # the lines with copies, and the document that keeps the first
     known = distinct.select("line_id", "first_doc", "n").join(joined, F.col("line_id") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
-    known = known.select("line_id", "first_doc", F.coalesce("component", "line_id").alias("component"))
+    known = saved(known.select("line_id", "first_doc", F.coalesce("component", "line_id").alias("component")))
     keepers = known.groupBy("component").agg(F.min("first_doc").alias("keeper"))
     known = saved(known.join(keepers, "component").select("line_id", "component", "keeper"))
-    at = _lines(docs, min_chars).select("doc", "pos", "line_id").join(known, "line_id")
-    first = F.min("pos").over(Window.partitionBy("doc", "component"))
-    gone = at.withColumn("first", first).where("NOT (doc = keeper AND pos = first)")
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("dropped"))
+    at = sieved(_lines(docs, min_chars).select("doc", "pos", "line_id"), "line_id", known).join(known, "line_id")
+    own = at.groupBy("doc", "component").agg(F.min("keeper").alias("keeper"), F.collect_set("pos").alias("pos"))
+    gone = F.when(F.col("doc") == F.col("keeper"), F.array_except("pos", F.array(F.array_min("pos")))).otherwise(F.col("pos"))
+    return own.select("doc", gone.alias("gone")).where(F.size("gone") > 0).groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
