@@ -6,12 +6,14 @@ copies one line stays: the first by doc_id and position. Shorter lines always st
 
 Equal lines are gathered first, by 64-bit hash: an aggregation by line that also takes the MinHash
 signature, the minimum of each seeded hash over all shingles. Bands of signatures deal the lines into
-buckets; two lines of a bucket that share SAME_HASHES are candidates, and candidates are compared by
-exact Jaccard over all shingles. Each line meets the first of its bucket, and components are formed.
-In a bucket that then still has several components, every line outside the largest one is compared with
-all lines of other components, so no candidate pair is lost; before that, large buckets have further
-rounds with another first line, are refined by further hashes, and what is left of them is dealt into
-blocks of bounded size.
+buckets; two lines of a bucket are candidates if their signatures, their numbers of shingles and a sample
+of the shingles allow for it, and candidates are compared by exact Jaccard over all shingles. Of the
+lines that it may meet first (the first of each of its buckets), each line is compared with the one most
+alike by signature, and components are formed; in buckets that stay crowded the lines outside the
+largest component meet some of its lines in a few more rounds. At last, in each bucket that still has
+several components, every line outside the largest one is compared with all candidates of other
+components, so no candidate pair is lost. For this a large bucket is dealt into blocks of bounded size,
+and a pair that shares several bands is looked at in the first of them.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ MIN_CHARS, SHINGLE, ALIKE = 25, 12, 0.75
 BANDS = 6
 #: Of the 12 hashes, those that candidates must share: of pairs at 0.75, four in ten thousand have fewer.
 SAME_HASHES = 4
-#: Lines of a block. A bucket that needs more than a block's comparisons has up to ROUNDS further first lines.
-BLOCK, ROUNDS = 512, 4
+#: Lines of a block, and the comparisons above which a bucket has up to ROUNDS more rounds with about HEADS lines to meet.
+BLOCK, CROWDED, ROUNDS, HEADS = 512, 65536, 2, 8
+#: One shingle in SAMPLE is kept to estimate similarity; candidates may fall short by DEVIATIONS standard deviations
+#: of the overlap at that union (the overlap of a pair at ALIKE varies by 0.57 of it, so two in ten thousand fall shorter).
+SAMPLE, DEVIATIONS = 4, 2
 #: Shingles hashed in one row of the signatures' aggregation.
 STRIDE = 4
 
@@ -79,7 +84,7 @@ def _shingles(line: Column, shingle: int) -> Column:
 def _jaccard(a: Column, b: Column, shingle: int) -> Column:
     sets = F.array(F.struct(_shingles(a, shingle).alias("a"), _shingles(b, shingle).alias("b")))
     both = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.a, s.b)).alias("both"), (F.size(s.a) + F.size(s.b)).alias("all")))
-    return F.get(F.transform(both, lambda s: s.both / (s.all - s.both)), 0)
+    return F.coalesce(F.get(F.transform(both, lambda s: s.both / (s.all - s.both)), 0), F.lit(0.0))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -90,14 +95,22 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(by.select("band", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.n")).alias("others")), "band"))
 
 
-def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Smaller buckets for large ones. Two lines that share a band and SAME_HASHES in all share at least
-    one of any ``2 * BANDS - SAME_HASHES + 1`` hashes outside the band, so no candidate is lost."""
-    n = len(_HASHES)
-    at = rows.join(signed, "line_id").withColumn("b", F.array_position(_bands(), F.col("band")).cast("int") - 1)
-    hashes = F.array(*_HASHES)
-    finer = F.transform(F.sequence(F.lit(2), F.lit(2 + n - SAME_HASHES)), lambda k: F.xxhash64("band", k, F.get(hashes, F.pmod(2 * F.col("b") + k, F.lit(n)))))
-    return at.select("line_id", "component", F.explode(finer).alias("band"))
+def _candidates(alike: float) -> Column:
+    """Whether the line and the other one (columns with an o) may reach the similarity."""
+    total = F.size("sample") + F.size("osample")
+    union = total / (1 + alike)  # of a pair at the similarity
+    able = F.size(F.array_intersect("sample", "osample")) >= alike * union - DEVIATIONS * F.sqrt(alike * (1 - alike) * union)
+    return (_same() >= SAME_HASHES) & (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & able
+
+
+def _first_shared(band: Column) -> Column:
+    """Whether the line and the other one share no band before this one."""
+    numbers = F.array(*[F.when((F.col(f"m{2 * b}") == F.col(f"om{2 * b}")) & (F.col(f"m{2 * b + 1}") == F.col(f"om{2 * b + 1}")), b) for b in range(BANDS)])
+    return F.array_min(numbers) == band
+
+
+def _same() -> Column:
+    return sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in _HASHES)
 
 
 def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
@@ -112,17 +125,20 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     # texts and signatures of the lines that share a bucket; the others are alone
     texts = sieved(_lines(docs, min_chars).select("line_id", "line"), "line_id", ids).groupBy("line_id").agg(F.first("line").alias("line"))
     texts = saved(texts.join(ids, "line_id", "left_semi"), release=True)
-    signed = saved(sieved(distinct, "line_id", ids).join(ids, "line_id", "left_semi").select("line_id", *_HASHES))
+    hashed = texts.select("line_id", _shingles(F.col("line"), shingle).alias("hashes"))
+    some = F.transform(F.filter("hashes", lambda h: F.pmod(h, F.lit(SAMPLE)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
+    signed = sieved(distinct, "line_id", ids).join(hashed, "line_id").select("line_id", *_HASHES, F.size("hashes").alias("size"), some.alias("sample"))
+    signed = saved(signed)
     discard(firsts)
-    other = signed.select(F.col("line_id").alias("head"), *[F.col(m).alias(f"o{m}") for m in _HASHES])
-    candidates = sum(F.when(F.col(m) == F.col(f"o{m}"), 1).otherwise(0) for m in _HASHES) >= SAME_HASHES
+    other = signed.select(F.col("line_id").alias("head"), *[F.col(c).alias(f"o{c}") for c in signed.columns[1:]])
 
     def confirmed(asked: DataFrame) -> DataFrame:
         both = asked.join(texts, "line_id").join(texts.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
         return both.where(_jaccard(F.col("line"), F.col("other"), shingle) >= alike).select(F.col("line_id").alias("a"), F.col("head").alias("b"))
 
-    def met(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs.distinct().join(signed, "line_id").join(other, "head").where(candidates).select("line_id", "head"))
+    def best(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(signed, "line_id").join(other, "head").where(_candidates(alike))
+        return saved(confirmed(both.select("line_id", "head", _same().alias("same")).groupBy("line_id").agg(F.max_by("head", F.struct("same", "head")).alias("head"))))
 
     def by_component() -> DataFrame:
         at = buckets.join(joined, F.col("line_id") == F.col("node"), "left")
@@ -132,30 +148,28 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
         known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
         return saved(components(known.union(links)))
 
-    joined = saved(components(met(buckets.where("line_id != head").select("line_id", "head"))))
+    joined = saved(components(best(buckets.where("line_id != head").select("line_id", "head"))))
     rest = by_component()
     for k in range(ROUNDS):
-        crowded = rest.where(F.col("n") * F.col("others") > BLOCK * BLOCK)
-        if crowded.isEmpty():
+        crowded = rest.where(F.col("n") * F.col("others") > CROWDED)
+        drawn = F.pmod(F.xxhash64(F.lit(k), "line_id"), F.ceil((F.col("n") - F.col("others")) / HEADS)) == 0
+        heads = crowded.where((F.col("component") == F.col("main")) & drawn).select("band", F.col("line_id").alias("head"))
+        links = best(crowded.where("component != main").select("band", "line_id").join(heads, "band").select("line_id", "head"))
+        if links.isEmpty():
             break
-        order = F.xxhash64(F.lit(k), "line_id")
-        heads = crowded.where("component != main").groupBy("band").agg(F.max_by(F.struct("line_id", "component"), order).alias("next"))
-        asked = crowded.join(heads, "band").where("component != next.component").select("line_id", F.col("next.line_id").alias("head"))
-        joined, rest = extended(met(asked)), None
+        joined = extended(links)
         rest = by_component()
     # of the lines of one bucket, those of different components have not all met
-    large = rest.where(F.col("n") > BLOCK)
-    if not large.isEmpty():
-        rest = rest.where(F.col("n") <= BLOCK).union(_unsettled(_refined(large, signed)).select(*rest.columns))
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    every = rest.join(signed, "line_id").withColumns({"i": dealt(across), "j": each(down)})
+    every = rest.join(signed, "line_id").withColumn("number", F.array_position(_bands(), F.col("band")).cast("int") - 1)
+    every = every.withColumns({"i": dealt(across), "j": each(down)})
     outside = rest.where("component != main").select("band", "line_id", F.col("component").alias("ocomponent"), dealt(down).alias("j"), each(across).alias("i"))
     outside = outside.withColumnRenamed("line_id", "head").join(other, "head")
     differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    asked = every.join(outside, ["band", "i", "j"]).where(differ & candidates)
-    return extended(confirmed(asked.select(F.least("line_id", "head").alias("head"), F.greatest("line_id", "head").alias("line_id")).distinct()))
+    asked = every.join(outside, ["band", "i", "j"]).where(differ & _first_shared(F.col("number")) & _candidates(alike))
+    return extended(confirmed(asked.select("line_id", "head")))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:

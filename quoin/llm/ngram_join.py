@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm.common import SPACED, components, hash_words, read, saved, shingle_hashes
@@ -39,6 +39,8 @@ EXTRA = 0.12
 MU, HEAP_POSTINGS = 0.05, 4096
 #: Classes whose ids are broadcast to the scan that reads their texts again; above, the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of a bucket of steps 2 and 3.
+BUCKET_SHINGLES = 2_000_000
 #: Shingles in one side of a task of step 5.
 TASK_SHINGLES = 4_000_000
 
@@ -61,8 +63,13 @@ def _key(own: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(own.tobytes()) or 1) - (1 << 63) or 1
 
 
+def row_key() -> Column:
+    """By which a document's text is found again: its id, or without one a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("row_key")
+
+
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, set_key)``; equal sets have equal keys, an empty set has none."""
+    """``(doc_id, row_key, n_shingles, set_key)``; equal sets have equal set keys, an empty set has none."""
 
     def run(batches):
         for b in batches:
@@ -70,9 +77,9 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
             for _, own in _sets(b, k):
                 n.append(len(own))
                 keys.append(_key(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "row_key", "n_shingles", "set_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_key long")
 
 
 def _packed(tokens: np.ndarray, keys: np.ndarray, buckets: int, width: int) -> list[tuple]:
@@ -152,7 +159,7 @@ def _extra(n: int) -> int:
 
 
 def _may_match(docs: DataFrame, classes: DataFrame, k: int, alike: tuple[int, int], buckets: int) -> DataFrame:
-    """Classes ``(set_key, doc_id, n)`` that share enough of their extended prefix with other classes."""
+    """Classes ``(set_key, row_key, n)`` that share enough of their extended prefix with other classes."""
 
     def run(table: pa.Table) -> pa.Table:
         token, key = _unpacked(table, 6)
@@ -175,7 +182,7 @@ def _may_match(docs: DataFrame, classes: DataFrame, k: int, alike: tuple[int, in
     shared = _prefix_rows(docs, k, alike, buckets).groupBy("bucket").applyInArrow(run, "to int, keys binary, counts binary").groupBy("to").applyInArrow(total, "set_key long, shared long")
     smallest_partner = F.ceil(F.col("n") * alike[0] / alike[1])
     need = F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * smallest_partner))
-    return classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", "doc_id", "n")
+    return classes.join(shared, "set_key").where(F.col("shared") >= need).select("set_key", "row_key", "n")
 
 
 def _common_shingles(docs: DataFrame, may: DataFrame, k: int, alike: tuple[int, int], buckets: int) -> DataFrame:
@@ -220,9 +227,10 @@ def _common_shingles(docs: DataFrame, may: DataFrame, k: int, alike: tuple[int,
         lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(token)) if len(key) else pa.array([], pa.list_(pa.int64()))
         return pa.table({"set_key": pa.array(key[begins]), "tokens": lists})
 
-    ids = may.select("doc_id", "set_key")
+    ids = may.select("row_key", "set_key")
     ids = F.broadcast(ids) if may.count() <= BROADCAST_ROWS else ids
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(ids, "doc_id").select("set_key", "text")
+    # of the rows that share a row key, those with another set drop out in ``deal``
+    texts = docs.select(row_key(), F.col("text").cast("string").alias("text")).join(ids, "row_key").select("set_key", "text")
     parts = texts.mapInArrow(deal, "bucket int, tokens binary, keys binary, runs binary").groupBy("bucket").applyInArrow(rare, "to int, tokens binary, keys binary, runs binary")
     own = parts.groupBy("to").applyInArrow(gather, "set_key long, tokens array<long>").join(may.select("set_key", "n"), "set_key")
     return own.where(F.size("tokens") >= F.ceil(F.col("n") * alike[0] / alike[1])).select("set_key", F.col("n").cast("int").alias("n"), "tokens")
@@ -411,8 +419,10 @@ def similar_documents(docs: DataFrame, k: int = WORDS, alike: tuple[int, int] =
     """
     docs = docs.select("doc_id", "text")
     sets = saved(shingle_sets(docs, k))
-    classes = saved(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = saved(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n")))
+    # enough buckets for a task to hold its shingles, and one for each of the shuffle's partitions at least
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
     may = saved(_may_match(docs, classes, k, alike, buckets), release=True)
     common = saved(_common_shingles(docs, may, k, alike, buckets), release=True)
     links = set_links(common, saved(_blocks(common, alike)), alike, task_shingles)

@@ -82,6 +82,21 @@ def test_join_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in similar_documents(docs).collect()) == [(-1, 3), (3, 3), (3, 3), (5, 5)]
 
 
+def test_null_ids_are_linked(spark):
+    """Near copies of rows without an id, and documents that only such a row connects."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        words = [rng.choice(WORDS) + str(i) for i in range(60)]
+        texts.append([" ".join(words[:50] + [f"x{j}{i}" for i in range(j, 6)] + words[50:]) for j in (0, 3, 6)])
+    rows = [(7, texts[0][0]), (None, texts[0][1]), (9, texts[1][0]), (None, texts[1][1]), (4, texts[1][2]), (None, texts[2][0]), (None, texts[2][1]), (1, "something else entirely stands in here")]
+    got = [(r.doc_id, r.component_id) for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = brute_components([shingles(t) for _, t in rows])
+    ids = {g: min((d for (d, _), h in zip(rows, groups) if h == g and d is not None), default=None) for g in groups}
+    assert sorted(got, key=str) == sorted(((d, ids[g]) for (d, _), g in zip(rows, groups)), key=str)
+    assert (None, 7) in got
+
+
 def test_t_occurrence():
     rng = np.random.RandomState(0)
     for most in (50, 3000):
@@ -229,6 +244,31 @@ def test_every_group_of_a_bucket(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+@pytest.mark.parametrize("opening", [0, 50])
+def test_recall_by_similarity(spark, opening):
+    """Pairs of every similarity, alone or 300 of them behind one long opening: all pairs are the truth."""
+    rng = random.Random(31 + opening)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    common, pairs = [word() for _ in range(opening)], []
+    for i in range(300):
+        own = [word() for _ in range(25)]
+        other = list(own)
+        for at in rng.sample(range(25), i % 4):
+            other[at] = word()
+        pairs.append((" ".join(common + own), " ".join(common + other)))
+    docs = spark.createDataFrame([(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p)], "doc_id long, text string")
+    emptied = {r.row.doc_id for r in dedup_lines(docs).where("emptied").select("row").collect()}
+    by_band = {}
+    for i, (a, b) in enumerate(pairs):
+        x, y = line_set(a), line_set(b)
+        like = len(x & y) / len(x | y)
+        if like >= ALIKE:
+            by_band.setdefault(min(int(like * 20), 19), []).append(2 * i + 1 in emptied)
+        elif not opening:
+            assert 2 * i + 1 not in emptied
+    assert by_band and all(sum(v) >= 0.95 * len(v) for v in by_band.values()), {k: (sum(v), len(v)) for k, v in by_band.items()}
+
+
 def test_repeated_content_is_a_copy(spark):
     """Twice the length, but nearly the same shingles."""
     rng = random.Random(8)
