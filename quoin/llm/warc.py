@@ -46,20 +46,27 @@ def _numeric(text: Column) -> Column:
     return F.when(F.instr(text, "&#") > 0, F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """The text of an HTML document: no comments, scripts or styles, one line a block, references decoded."""
+def _untagged(html: Column) -> Column:
+    """No comments, scripts or tags; a newline where a block begins or ends."""
     t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in SILENT:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
+    t = F.regexp_replace(t, rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"[\t\r\n\f]+", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{LINES})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
-    t = _numeric(t)
+    return F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
+
+
+def _tidy(text: Column) -> Column:
+    """Named references decoded, one space or newline at a time, none at the ends."""
     for name, char in NAMED:
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    text = F.regexp_replace(text, r" [ \t\r\f]+|[\t\r\f][ \t\r\f]*", " ")
+    text = F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n")
+    return F.trim(text, F.lit(" \n"))
+
+
+def plain_text(html: Column) -> Column:
+    """The text of an HTML document: no comments, scripts or styles, one line a block, references decoded."""
+    return _tidy(_numeric(_untagged(html)))
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     cut = F.instr(block, "\r\n\r\n")
     head = F.when(cut > 0, F.substr(block, F.lit(1), cut - 1)).otherwise(block)
     body = F.when(cut > 0, F.substr(block, cut + 4)).otherwise("")
-    r = records.withColumns({"source_headers": head, "_body": body})
+    r = records.withColumns({"source_headers": head, "_body": body}).withColumn("_untagged", _untagged(F.col("_body")))
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     title = clean(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1))
     status = F.regexp_extract("source_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
@@ -84,7 +91,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     fields = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("made_block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_body")).alias("made_block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), _tidy(_numeric(F.col("_untagged"))).alias("made_block")),
     )
     r = r.withColumn("_made", F.explode(made))
     rest = [c for c in records.columns if c not in ("record_id", "block", "payload_digest")]
