@@ -44,35 +44,36 @@ def _windows(items: list, window: int, shingle: int) -> dict:
     return {"words": words, "owners": [sorted(o) for o in owners], "size": size, "tokens": [shingle_hashes(w, k) for w, k in zip(words, size)]}
 
 
-class _Lookup:
-    """Which of many hashes are in a small sorted array: a table of low bits first, then binary search."""
+def _lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted array of hashes, and a table of the low bits that they have: plain arrays, for broadcasts."""
+    keys = np.unique(keys)
+    low = np.zeros(1 << 18, bool)
+    low[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+    return keys, low
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.low = np.zeros(1 << 18, bool)
-        self.low[(self.keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the hashes that are keys, and which keys they are."""
-        at = np.flatnonzero(self.low[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        key = np.searchsorted(self.keys, hashes[at])
-        hit = self.keys[np.minimum(key, len(self.keys) - 1)] == hashes[at] if len(self.keys) else np.zeros(len(at), bool)
-        return at[hit], key[hit]
+def _find(look: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the hashes that are keys, and which keys they are: by low bits first, then by binary search."""
+    keys, low = look
+    at = np.flatnonzero(low[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)])
+    key = np.searchsorted(keys, hashes[at])
+    hit = keys[np.minimum(key, len(keys) - 1)] == hashes[at] if len(keys) else np.zeros(len(at), bool)
+    return at[hit], key[hit]
 
 
 def _rarity(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[int, dict[int, int]]:
     """How often each of the benchmark's shingles occurs in all documents; bounded by the benchmark piece."""
-    shared = docs.sparkSession.sparkContext.broadcast({k: _Lookup(t) for k, t in tokens.items()})
+    shared = docs.sparkSession.sparkContext.broadcast({k: _lookup(t) for k, t in tokens.items()})
 
     def run(batches):
-        total = {k: np.zeros(len(x.keys), np.int64) for k, x in shared.value.items()}
+        total = {k: np.zeros(len(look[0]), np.int64) for k, look in shared.value.items()}
         for b in batches:
             words, _ = hash_words(b.column("text"), ALNUM)
-            for k, x in shared.value.items():
-                total[k] += np.bincount(x.find(shingle_hashes(words, k))[1], minlength=len(x.keys))
-        for k, x in shared.value.items():
+            for k, look in shared.value.items():
+                total[k] += np.bincount(_find(look, shingle_hashes(words, k))[1], minlength=len(look[0]))
+        for k, (keys, _) in shared.value.items():
             some = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(x.keys[some].view(np.int64)), pa.array(total[k][some])], ["k", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(keys[some].view(np.int64)), pa.array(total[k][some])], ["k", "token", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
     out: dict[int, dict[int, int]] = {k: {} for k in tokens}
@@ -94,15 +95,15 @@ def _index(found: dict, rarity: dict[int, dict[int, int]]) -> dict:
     for k, own in rows.items():
         own.sort()
         token = np.array([r[0] for r in own], np.uint64)
-        look = _Lookup(token)
-        out["by"][k] = (look, np.searchsorted(token, look.keys), np.searchsorted(token, look.keys, "right"), *[np.array([r[j] for r in own], np.int64) for j in (1, 2, 3)])
+        look = _lookup(token)
+        out["by"][k] = (look, np.searchsorted(token, look[0]), np.searchsorted(token, look[0], "right"), *[np.array([r[j] for r in own], np.int64) for j in (1, 2, 3)])
     return out
 
 
 def _occurrences(words: np.ndarray, begin: np.ndarray, index: dict):
     """``(row, start, length, window)`` of all windows that occur, ``start`` among all words of the batch."""
     for k, (look, first, last, window, offset, length) in index["by"].items():
-        at, key = look.find(shingle_hashes(words, k))
+        at, key = _find(look, shingle_hashes(words, k))
         many = last[key] - first[key]
         entry = np.repeat(first[key] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
         start = np.repeat(at, many) - offset[entry]
