@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoin.llm.common import read, saved
 from quoin.llm.decontaminate import benchmark_hits, contaminated, n_hit
 from quoin.llm.line_dedup import MIN_CHARS, _trimmed, dedup_lines
-from quoin.llm.mixing import mix_documents, mixing_plan
+from quoin.llm.mixing import mix_documents
 from quoin.llm.ngram_join import similar_documents
 from quoin.llm.quality import quality_scores
 
@@ -53,9 +53,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document, with its source's size and target in words."""
-    plan = mixing_plan(docs)
-    return plan.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    """The mix: each document as often as its source's rate and its draw say, with ``copy`` from 1; those taken 0 times are absent."""
+    return mix_documents(docs.select(*COLUMNS))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed)]
@@ -65,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix: what the stages keep, each document as often as the last stage plans, with ``copy`` from 1."""
+    """The stages one after another over documents: the columns of documents, and ``copy``.
+
+    Null texts, empty tables and repeated rows are as each stage's operator states; columns beyond those
+    of documents do not take part.
+    """
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), release=True)
-    return mix_documents(docs.select(*COLUMNS))
+    return STAGES[-1][1](spark, docs, sf_dir)
