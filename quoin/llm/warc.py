@@ -57,8 +57,10 @@ def _untagged(html: Column) -> Column:
 
 def _tidy(text: Column) -> Column:
     """Named references decoded, one space or newline at a time, none at the ends."""
+    named = text
     for name, char in NAMED:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+    text = F.when(F.instr(text, "&") > 0, named).otherwise(text)
     text = F.regexp_replace(text, r" [ \t\r\f]+|[\t\r\f][ \t\r\f]*", " ")
     text = F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n")
     return F.trim(text, F.lit(" \n"))
@@ -81,7 +83,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     cut = F.instr(block, "\r\n\r\n")
     head = F.when(cut > 0, F.substr(block, F.lit(1), cut - 1)).otherwise(block)
     body = F.when(cut > 0, F.substr(block, cut + 4)).otherwise("")
-    r = records.withColumns({"source_headers": head, "_body": body}).withColumn("_untagged", _untagged(F.col("_body")))
+    r = records.withColumns({"source_headers": head, "_body": body})
+    r = r.withColumn("_untagged", _untagged(F.col("_body"))).withColumn("_numbered", _numeric(F.col("_untagged"))).withColumn("_text", _tidy(F.col("_numbered")))
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     title = clean(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1))
     status = F.regexp_extract("source_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
@@ -91,7 +94,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     fields = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("made_block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), _tidy(_numeric(F.col("_untagged"))).alias("made_block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("made_block")),
     )
     r = r.withColumn("_made", F.explode(made))
     rest = [c for c in records.columns if c not in ("record_id", "block", "payload_digest")]
