@@ -160,9 +160,10 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, cascade: bo
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """S05. One row a key: the one with the highest version."""
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc()))
-    return target.unionByName(batch).withColumn("n", row).where("n = 1").drop("n")
+    """S05. One row a key: the one with the highest version; among equal versions the batch's stands."""
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc(), F.col("late").desc()))
+    every = target.withColumn("late", F.lit(0)).unionByName(batch.withColumn("late", F.lit(1)))
+    return every.withColumn("n", row).where("n = 1").drop("n", "late")
 
 
 def fix_relations(relations: DataFrame, renamed: DataFrame, nodes: DataFrame) -> DataFrame:

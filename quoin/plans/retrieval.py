@@ -161,7 +161,7 @@ def g26(spark, sf):
     return at.groupBy("document", "num").agg(F.count("*").alias("articles"), F.min("article").alias("first"))
 
 
-@query("G22", B_ + "SELECT e.src, e.dst, e.type FROM edges e WHERE e.src IN (SELECT src FROM edges WHERE dst = 'N3' AND type = 'THUOC_VE') OR e.dst = 'N3'")
+@query("G22", B_ + ", inside AS (SELECT DISTINCT src FROM edges WHERE dst = 'N3' AND type = 'THUOC_VE') SELECT e.src, e.dst, e.type FROM edges e JOIN inside i ON i.src = e.src UNION ALL SELECT e.src, e.dst, e.type FROM edges e ANTI JOIN inside i ON i.src = e.src WHERE e.dst = 'N3'")
 def g22(spark, sf):
     e = _edges(spark, sf)
     inside = e.where("dst = 'N3' AND type = 'THUOC_VE'").select("src").distinct()

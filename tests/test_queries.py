@@ -78,3 +78,11 @@ def test_long_chains_and_cycles_end(spark):
 def test_approximate_search_asks_every_fiftieth(spark, sf):
     asked = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
     assert len(asked) > 1 and {r.query_id for r in registry.QUERIES["R06"](spark, sf).select("query_id").distinct().collect()} == asked
+
+
+def test_batch_wins_ties(spark):
+    from quoin.operators.graph import upsert
+
+    old = spark.createDataFrame([(1, "old", 5), (2, "old", 7), (3, "old", 1)], "id long, text string, version long")
+    new = spark.createDataFrame([(1, "new", 5), (2, "new", 6), (4, "new", 1)], "id long, text string, version long")
+    assert sorted((r.id, r.text) for r in upsert(old, new, ("id",), "version").collect()) == [(1, "new"), (2, "old"), (3, "old"), (4, "new")]
