@@ -6,14 +6,14 @@ copies one line stays: the first by doc_id and position. Shorter lines always st
 
 Equal lines are gathered first, by 64-bit hash: an aggregation by line that also takes the MinHash
 signature, the minimum of each seeded hash over all shingles. Bands of signatures deal the lines into
-buckets; two lines of a bucket are candidates if their signatures, their numbers of shingles and a sample
-of the shingles allow for it, and candidates are compared by exact Jaccard over all shingles. Of the
-lines that it may meet first (the first of each of its buckets), each line is compared with the one most
-alike by signature, and components are formed; in buckets that stay crowded the lines outside the
-largest component meet some of its lines in a few more rounds. At last, in each bucket that still has
-several components, every line outside the largest one is compared with all candidates of other
-components, so no candidate pair is lost. For this a large bucket is dealt into blocks of bounded size,
-and a pair that shares several bands is looked at in the first of them.
+buckets; two lines of a bucket whose signatures share SAME_HASHES are candidates. Of the lines that it may
+meet first (the first of each of its buckets), each line is compared with the one most alike by signature,
+and components are formed; in buckets that stay crowded the lines outside the largest component meet some
+of its lines in a few more rounds. At last, in each bucket that still has several components, every line
+outside the largest one is compared with all candidates of other components, so no candidate pair is lost:
+by a sample of the shingles, then by exact Jaccard as all links are. For this a large bucket is dealt into
+blocks of bounded size, where pairs are told apart in the join itself and only links come out of it; a pair
+that shares several bands is looked at in the first of them.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BANDS = 6
 SAME_HASHES = 4
 #: Lines of a block, and the comparisons above which a bucket has up to ROUNDS more rounds with about HEADS lines to meet.
 BLOCK, CROWDED, ROUNDS, HEADS = 512, 65536, 2, 8
+#: Of the hashes, those that a line must share to be met before the blocks.
+LIKELY = 7
 #: One shingle in SAMPLE is kept to estimate similarity; candidates may fall short by DEVIATIONS standard deviations
 #: of the overlap at that union (the overlap of a pair at ALIKE varies by 0.57 of it, so two in ten thousand fall shorter).
 SAMPLE, DEVIATIONS = 4, 2
@@ -95,12 +97,11 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(by.select("band", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.n")).alias("others")), "band"))
 
 
-def _candidates(alike: float) -> Column:
-    """Whether the line and the other one (columns with an o) may reach the similarity."""
-    total = F.size("sample") + F.size("osample")
-    union = total / (1 + alike)  # of a pair at the similarity
-    able = F.size(F.array_intersect("sample", "osample")) >= alike * union - DEVIATIONS * F.sqrt(alike * (1 - alike) * union)
-    return (_same() >= SAME_HASHES) & (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & able
+def _able(alike: float) -> Column:
+    """Whether the sets may reach the similarity, by their sizes and samples."""
+    union = (F.size("sample") + F.size("osample")) / (1 + alike)  # of a pair at the similarity
+    both = F.size(F.array_intersect("sample", "osample"))
+    return (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & (both >= alike * union - DEVIATIONS * F.sqrt(alike * (1 - alike) * union))
 
 
 def _first_shared(band: Column) -> Column:
@@ -125,19 +126,16 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     # texts and signatures of the lines that share a bucket; the others are alone
     texts = sieved(_lines(docs, min_chars).select("line_id", "line"), "line_id", ids).groupBy("line_id").agg(F.first("line").alias("line"))
     texts = saved(texts.join(ids, "line_id", "left_semi"), release=True)
-    hashed = texts.select("line_id", _shingles(F.col("line"), shingle).alias("hashes"))
-    some = F.transform(F.filter("hashes", lambda h: F.pmod(h, F.lit(SAMPLE)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
-    signed = sieved(distinct, "line_id", ids).join(hashed, "line_id").select("line_id", *_HASHES, F.size("hashes").alias("size"), some.alias("sample"))
-    signed = saved(signed)
+    signed = saved(sieved(distinct, "line_id", ids).join(ids, "line_id", "left_semi").select("line_id", *_HASHES))
     discard(firsts)
-    other = signed.select(F.col("line_id").alias("head"), *[F.col(c).alias(f"o{c}") for c in signed.columns[1:]])
+    other = signed.select(F.col("line_id").alias("head"), *[F.col(m).alias(f"o{m}") for m in _HASHES])
 
     def confirmed(asked: DataFrame) -> DataFrame:
         both = asked.join(texts, "line_id").join(texts.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
         return both.where(_jaccard(F.col("line"), F.col("other"), shingle) >= alike).select(F.col("line_id").alias("a"), F.col("head").alias("b"))
 
     def best(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(signed, "line_id").join(other, "head").where(_candidates(alike))
+        both = pairs.join(signed, "line_id").join(other, "head").where(_same() >= LIKELY)
         return saved(confirmed(both.select("line_id", "head", _same().alias("same")).groupBy("line_id").agg(F.max_by("head", F.struct("same", "head")).alias("head"))))
 
     def by_component() -> DataFrame:
@@ -160,6 +158,11 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
         joined = extended(links)
         rest = by_component()
     # of the lines of one bucket, those of different components have not all met
+    hashed = texts.join(rest.select("line_id").distinct(), "line_id", "left_semi").withColumn("hashes", _shingles(F.col("line"), shingle))
+    some = F.transform(F.filter("hashes", lambda h: F.pmod(h, F.lit(SAMPLE)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
+    sets = hashed.select("line_id", "line", F.size("hashes").alias("size"), some.alias("sample"))
+    signed = saved(signed.join(sets, "line_id"), release=True)
+    other = signed.select(F.col("line_id").alias("head"), *[F.col(c).alias(f"o{c}") for c in signed.columns[1:]])
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
@@ -168,8 +171,11 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     outside = rest.where("component != main").select("band", "line_id", F.col("component").alias("ocomponent"), dealt(down).alias("j"), each(across).alias("i"))
     outside = outside.withColumnRenamed("line_id", "head").join(other, "head")
     differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    asked = every.join(outside, ["band", "i", "j"]).where(differ & _first_shared(F.col("number")) & _candidates(alike))
-    return extended(confirmed(asked.select("line_id", "head")))
+    alike_all = differ & (_same() >= SAME_HASHES) & _first_shared(F.col("number")) & _able(alike) & (_jaccard(F.col("line"), F.col("oline"), shingle) >= alike)
+    # few bytes, much to compute: by a fixed number of partitions, which are not coalesced by size
+    tasks, keys = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "i", "j"]
+    links = every.repartition(tasks, *keys).join(outside.repartition(tasks, *keys), keys).where(alike_all)
+    return extended(links.select(F.col("line_id").alias("a"), F.col("head").alias("b")))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
