@@ -6,14 +6,13 @@ copies one line stays: the first by doc_id and position. Shorter lines always st
 
 Equal lines are gathered first, by 64-bit hash: an aggregation by line that also takes the MinHash
 signature, the minimum of each seeded hash over all shingles. Bands of signatures deal the lines into
-buckets; two lines of a bucket whose signatures share SAME_HASHES are candidates. Of the lines that it may
+buckets; all lines of a bucket are candidates. Of the lines that it may
 meet first (the first of each of its buckets), each line is compared with the one most alike by signature,
 and components are formed; in buckets that stay crowded the lines outside the largest component meet some
 of its lines in a few more rounds. At last, in each bucket that still has several components, every line
 outside the largest one is compared with all candidates of other components, so no candidate pair is lost:
-by a sample of the shingles, then by exact Jaccard as all links are. For this a large bucket is dealt into
-blocks of bounded size, where pairs are told apart in the join itself and only links come out of it; a pair
-that shares several bands is looked at in the first of them.
+by a sketch that never refuses a copy, then by exact Jaccard as all links are. For this a large bucket is dealt into
+blocks of bounded size, where pairs are told apart in the join itself and only links come out of it.
 """
 
 from __future__ import annotations
@@ -27,20 +26,18 @@ from quoin.llm.common import components, discard, read, saved, sieved
 MIN_CHARS, SHINGLE, ALIKE = 25, 12, 0.75
 #: Bands of two hashes each: 0.993 of the pairs at a similarity of 0.75, 0.9999 at 0.9, share one.
 BANDS = 6
-#: Of the 12 hashes, those that candidates must share: of pairs at 0.75, four in ten thousand have fewer.
-SAME_HASHES = 4
 #: Lines of a block, and the comparisons above which a bucket has up to ROUNDS more rounds with about HEADS lines to meet.
 BLOCK, CROWDED, ROUNDS, HEADS = 512, 65536, 2, 8
 #: Of the hashes, those that a line must share to be met before the blocks.
 LIKELY = 7
-#: One shingle in SAMPLE is kept to estimate similarity; candidates may fall short by DEVIATIONS standard deviations
-#: of the overlap at that union (the overlap of a pair at ALIKE varies by 0.57 of it, so two in ten thousand fall shorter).
-SAMPLE, DEVIATIONS = 4, 2
+#: 64-bit words of a line's parity sketch.
+SKETCH = 16
 #: Shingles hashed in one row of the signatures' aggregation.
 STRIDE = 4
 
 _SEEDS = [int(x) for x in np.random.RandomState(7).randint(-(2**63), 2**63 - 1, 2 * BANDS, dtype=np.int64)]
 _HASHES = [f"m{i}" for i in range(2 * BANDS)]
+_PARITIES = [f"p{i}" for i in range(SKETCH)]
 
 
 def _trimmed(line: Column) -> Column:
@@ -97,17 +94,19 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(by.select("band", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.n")).alias("others")), "band"))
 
 
-def _able(alike: float) -> Column:
-    """Whether the sets may reach the similarity, by their sizes and samples."""
-    union = (F.size("sample") + F.size("osample")) / (1 + alike)  # of a pair at the similarity
-    both = F.size(F.array_intersect("sample", "osample"))
-    return (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & (both >= alike * union - DEVIATIONS * F.sqrt(alike * (1 - alike) * union))
+def sketches(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(line_id, size, p0, ..)``: the number of distinct shingles of each line, and for each bit whether
+    the number of shingles that fall on it is odd."""
+    each = lines.select("line_id", F.explode(_shingles(F.col("line"), shingle)).alias("h"))
+    each = each.select("line_id", F.pmod(F.shiftright("h", 6), F.lit(SKETCH)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int")).alias("one"))
+    return each.groupBy("line_id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("one")).otherwise(0)).alias(p) for k, p in enumerate(_PARITIES)])
 
 
-def _first_shared(band: Column) -> Column:
-    """Whether the line and the other one share no band before this one."""
-    numbers = F.array(*[F.when((F.col(f"m{2 * b}") == F.col(f"om{2 * b}")) & (F.col(f"m{2 * b + 1}") == F.col(f"om{2 * b + 1}")), b) for b in range(BANDS)])
-    return F.array_min(numbers) == band
+def _able(alike: float) -> Column:
+    """Whether the sets may reach the similarity: a shingle that only one line has changes one bit, so
+    sketches differ in no more bits than the sets differ in shingles."""
+    bits = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}"))) for p in _PARITIES)
+    return (F.least("size", "osize") >= alike * F.greatest("size", "osize")) & (bits * (1 + alike) <= (1 - alike) * (F.col("size") + F.col("osize")))
 
 
 def _same() -> Column:
@@ -158,23 +157,23 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
         joined = extended(links)
         rest = by_component()
     # of the lines of one bucket, those of different components have not all met
-    hashed = texts.join(rest.select("line_id").distinct(), "line_id", "left_semi").withColumn("hashes", _shingles(F.col("line"), shingle))
-    some = F.transform(F.filter("hashes", lambda h: F.pmod(h, F.lit(SAMPLE)) == 0), lambda h: F.shiftright(h, 32).cast("int"))
-    sets = hashed.select("line_id", "line", F.size("hashes").alias("size"), some.alias("sample"))
-    signed = saved(signed.join(sets, "line_id"), release=True)
-    other = signed.select(F.col("line_id").alias("head"), *[F.col(c).alias(f"o{c}") for c in signed.columns[1:]])
+    asked = texts.join(rest.select("line_id").distinct(), "line_id", "left_semi")
+    drawn = saved(asked.join(sketches(asked, shingle), "line_id"), release=True)
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    every = rest.join(signed, "line_id").withColumn("number", F.array_position(_bands(), F.col("band")).cast("int") - 1)
-    every = every.withColumns({"i": dealt(across), "j": each(down)})
-    outside = rest.where("component != main").select("band", "line_id", F.col("component").alias("ocomponent"), dealt(down).alias("j"), each(across).alias("i"))
-    outside = outside.withColumnRenamed("line_id", "head").join(other, "head")
-    differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    alike_all = differ & (_same() >= SAME_HASHES) & _first_shared(F.col("number")) & _able(alike) & (_jaccard(F.col("line"), F.col("oline"), shingle) >= alike)
     # few bytes, much to compute: by a fixed number of partitions, which are not coalesced by size
     tasks, keys = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "i", "j"]
-    links = every.repartition(tasks, *keys).join(outside.repartition(tasks, *keys), keys).where(alike_all)
+    # texts are shuffled; each row's set is made once, where it is compared
+    placed = lambda rows: rows.repartition(tasks, *keys).withColumn("hashes", _shingles(F.col("line"), shingle)).drop("line")
+    every = placed(rest.join(drawn, "line_id").withColumns({"i": dealt(across), "j": each(down)}).drop("n", "others"))
+    outside = rest.where("component != main").select("band", "line_id", "component", dealt(down).alias("j"), each(across).alias("i"))
+    outside = placed(outside.join(drawn, "line_id"))
+    outside = outside.select(*keys, *[F.col(c).alias("head" if c == "line_id" else f"o{c}") for c in outside.columns if c not in keys])
+    differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
+    both = F.size(F.array_intersect("hashes", "ohashes"))
+    alike_all = differ & _able(alike) & (both * (1 + alike) >= alike * (F.col("size") + F.col("osize")))
+    links = every.join(outside, keys).where(alike_all)
     return extended(links.select(F.col("line_id").alias("a"), F.col("head").alias("b")))
 
 
