@@ -277,3 +277,16 @@ def test_repeated_content_is_a_copy(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.row.doc_id: r.text for r in dedup_lines(docs).collect()}
     assert [got[i] for i in range(3)] == brute_lines(texts) == [line, "", ""]
+
+
+def test_sketches_never_refuse_a_copy(spark):
+    """Sketches differ in no more bits than the sets of shingles differ in; repeated shingles count once."""
+    rng = random.Random(13)
+    lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 60))) for _ in range(12)]
+    lines += [f"{x} {rng.choice(WORDS)}" for x in lines] + [f"{lines[0]} {lines[0]}", "ha " * 40, "z" * 3000]
+    got = {r.line_id: r for r in line_dedup.sketches(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")).collect()}
+    sets = [line_set(x) for x in lines]
+    assert [got[i].size for i in range(len(lines))] == [len(s) for s in sets]
+    bits = lambda i, j: sum(bin((got[i][p] ^ got[j][p]) & (2**64 - 1)).count("1") for p in line_dedup._PARITIES)
+    for i in range(len(lines)):
+        assert all(bits(i, j) <= len(sets[i] ^ sets[j]) for j in range(i))
