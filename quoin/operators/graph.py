@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.steps import kept
+
 
 def directed(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """``(a, b, type)``: edges as steps from a to b, along, against or both ways."""
@@ -68,24 +68,39 @@ def chain_end(edges: DataFrame, types: list[str]) -> DataFrame:
     the node after as many steps as that took, its depth their number. Steps are written to the
     checkpoint folder.
     """
-    at = _kept(edges.where(F.col("type").isin(*types)).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("last")).withColumn("depth", F.lit(1).cast("long")))
+    at = kept(edges.where(F.col("type").isin(*types)).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("last")).withColumn("depth", F.lit(1).cast("long")))
     n = at.count()
     while True:
         on = at.select(F.col("id").alias("k"), F.col("last").alias("further"), F.col("depth").alias("more"))
         # a depth above the number of nodes with a newer version: the pointer goes round in a cycle
         moves = F.col("further").isNotNull() & (F.col("depth") <= n)
-        at = _kept(at.join(on, F.col("last") == F.col("k"), "left").select("id", F.when(moves, F.col("further")).otherwise(F.col("last")).alias("last"), (F.col("depth") + F.when(moves, F.col("more")).otherwise(0)).alias("depth"), moves.alias("moved")))
+        at = kept(at.join(on, F.col("last") == F.col("k"), "left").select("id", F.when(moves, F.col("further")).otherwise(F.col("last")).alias("last"), (F.col("depth") + F.when(moves, F.col("more")).otherwise(0)).alias("depth"), moves.alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("id", "last", F.col("depth").cast("int").alias("depth"))
         at = at.drop("moved")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of every node of ``edges(a, b)``; a component is named by its smallest node.
+
+    Large-star and small-star steps in turn until nothing changes. Each takes minima by node and joins
+    them back; a node with very many edges is never gathered. Null ends and self loops are ignored.
+    """
+    links = kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+        small = large.join(least, "a").select(F.inline(F.array(pair(F.col("b"), F.col("m")), pair(F.col("a"), F.col("m")))))
+        links = kept(small.where("a != b").distinct())
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            roots = links.select(F.col("b").alias("node")).distinct()
+            return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        before = now
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
