@@ -55,3 +55,12 @@ SCOPE_DOCUMENT, SCOPE_ARTICLE = r"((?:Luật|Nghị định|Thông tư|Quyết 
 EDGE_TYPES = (("THUOC_VE", "THUOC_VE"), ("SUA_DOI", "SUA_DOI"), ("BO_SUNG", "BO_SUNG"), ("THAY_THE", "THAY_THE"), ("BAI_BO", "BAI_BO"), ("THAM_CHIEU", "THAM_CHIEU"), ("VIEN_DAN", "VIEN_DAN"), ("DINH_NGHIA", "DINH_NGHIA"), ("YEU_CAU", "YEU_CAU"), ("AP_DUNG", "AP_DUNG"), ("LIEN_QUAN", "LIEN_QUAN"), ("LIEN_QUAN_NOI_DUNG", "LIEN_QUAN"), ("QUY_DINH_DIEU_KIEN", "QUY_DINH"), ("AP_DUNG_CHO", "AP_DUNG"), ("DAT_DIEM", "LIEN_QUAN"), ("TUONG_DUONG", "DONG_NGHIA"), ("MIEN_GIAM", "LIEN_QUAN"), ("GIOI_HAN", "RANG_BUOC"), ("DIEU_KIEN_TIEN_QUYET", "YEU_CAU"), ("THUOC_KHOA", "THUOC_VE"), ("CUA_NGANH", "THUOC_VE"), ("THUOC_CHUONG_TRINH", "THUOC_VE"))
 AMENDMENT_TYPES = (("thay thế", "THAY_THE"), ("sửa đổi", "SUA_DOI"), ("bổ sung", "BO_SUNG"), ("bãi bỏ", "BAI_BO"))
 COMPLETION = ("đủ thông tin", "có thể trả lời", "kết luận", "tóm lại", "như vậy", "câu trả lời")
+#: Words of a graph query that show that it returns amounts, truth values, definitions, and what is in force.
+AMOUNT_FIELDS = ("AMOUNT", "PENALTY", "MỨC", "CHẾ TÀI", "PHẠT")
+BOOLEAN_FIELDS = ("EXISTS", "COUNT", "CASE WHEN")
+DEFINITION_FIELDS = ("KHÁI NIỆM", "THUẬT NGỮ", "DINH_NGHIA", "DEFINITION")
+VALIDITY_FIELDS = ("EFFECTIVE_DATE", "STATUS", "THAY_THE", "BAI_BO", "SUA_DOI", "HIEU_LUC", "CÒN HIỆU LỰC")
+#: A label that a question about prohibitions needs, and the one that must not stand in its place.
+POLARITY = (("Hành vi cấm", "Hành vi được phép"), ("Quyền", "Nghĩa vụ"), ("Chế tài", "Khái niệm"))
+WRITES = r"\b(CREATE|DELETE|DETACH\s+DELETE|SET|REMOVE|MERGE)\b"
+REVOKED = ("hết hiệu lực", "bị bãi bỏ", "bị thay thế")
