@@ -64,3 +64,6 @@ VALIDITY_FIELDS = ("EFFECTIVE_DATE", "STATUS", "THAY_THE", "BAI_BO", "SUA_DOI",
 POLARITY = (("Hành vi cấm", "Hành vi được phép"), ("Quyền", "Nghĩa vụ"), ("Chế tài", "Khái niệm"))
 WRITES = r"\b(CREATE|DELETE|DETACH\s+DELETE|SET|REMOVE|MERGE)\b"
 REVOKED = ("hết hiệu lực", "bị bãi bỏ", "bị thay thế")
+#: A label's own keys of id and name; the label whose credits have a default, their key; the status of a document by default.
+LABEL_KEYS = (("MON_HOC", "ma_mon", "ten_mon"), ("KHOA", "ma_khoa", "ten_khoa"), ("NGANH", "ma_nganh", "ten_nganh"), ("QUY_DINH", "ma_quy_dinh", "tieu_de"), ("DIEU_KIEN", "ma_dieu_kien", "mo_ta"))
+COURSE, CREDITS, IN_FORCE = "MON_HOC", "so_tin_chi", "Còn hiệu lực"

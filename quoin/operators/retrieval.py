@@ -142,3 +142,55 @@ def export_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def hop(edges: DataFrame, type: str, start: str, end: str) -> DataFrame:
     """Steps of one type with named ends, to chain lookups."""
     return edges.where(F.col("type") == type).select(F.col("src").alias(start), F.col("dst").alias(end))
+
+
+# ---------------------------------------------------------------- retrieval with settings as columns
+#: Settings of a question about an exact place, and of any other.
+EXACT = {"k": 3, "vector_n": 20, "bm25_n": 20, "vector_weight": 0.5, "bm25_weight": 0.5, "strict": True, "rerank": False, "rerank_n": 10}
+SEMANTIC = {"k": 5, "vector_n": 30, "bm25_n": 20, "vector_weight": 0.5, "bm25_weight": 0.5, "strict": False, "rerank": True, "rerank_n": 10}
+
+
+def with_settings(queries: DataFrame, exact: Column) -> DataFrame:
+    """The settings of each query as columns, by its intent."""
+    return queries.withColumns({c: F.when(exact, F.lit(EXACT[c])).otherwise(F.lit(SEMANTIC[c])) for c in EXACT})
+
+
+def citation_entry(rank: Column, title: Column, page: Column, section: Column) -> Column:
+    """F26. ``[n] title (page) - section``; what is missing or blank is left out."""
+    some = lambda before, c, after="": F.concat(F.lit(before), F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(after))
+    return F.concat_ws(" ", F.format_string("[%d]", rank), some("", title), some("(", page, ")"), some("- ", section))
+
+
+def overlap(query: Column, text: Column) -> Column:
+    """The share of a query's words that a text has; 0 without words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    return F.coalesce(F.size(F.array_intersect(words(query), words(text))) / F.nullif(F.size(words(query)), F.lit(0)), F.lit(0.0))
+
+
+def legal_retrieve(queries: DataFrame, results: DataFrame, chunks: DataFrame, rrf_k: int = 60) -> DataFrame:
+    """R16. ``(query_id, rank, chunk_id, score, citation)``: the whole retrieval for a table of queries in one plan.
+
+    ``queries(query_id, text, refs struct<law,article,clause,point>, settings..)`` brings its settings as columns, so queries of
+    any intent go through together; ``results(query_id, chunk_id, source, score)`` are vector and bm25 lists,
+    ``chunks(chunk_id, text, law, article, clause, point, title)``. In order: queries that name a place keep what stands there (P01,
+    strict or loose by query); the first ``vector_n`` and ``bm25_n`` of either list are fused by reciprocal
+    rank with the query's weights; the best of those are reranked by overlap with the question if it
+    asks for that; the first k stay, each with its citation. Ties by chunk_id.
+    """
+    refs = queries.select("query_id", "strict", "refs.*")
+    names = F.coalesce("law", "article", "clause", "point").isNotNull()
+    placed = refs.where(names)
+    allowed = legal_filter(chunks, placed.where("strict").drop("strict"), True).unionByName(legal_filter(chunks, placed.where("NOT strict").drop("strict"), False)).distinct()
+    free = results.join(placed.select("query_id"), "query_id", "left_anti")
+    lists = free.unionByName(results.join(allowed, ["query_id", "chunk_id"], "left_semi").select(*free.columns))
+    ranked = K.rank_results(lists.select("query_id", "chunk_id", "source", "score"), "source").join(queries.drop("refs", "text"), "query_id")
+    vector = F.col("source") == "vector"
+    ranked = ranked.where(F.col("rank") <= F.when(vector, F.col("vector_n")).otherwise(F.col("bm25_n")))
+    weight = F.when(vector, F.col("vector_weight")).otherwise(F.col("bm25_weight"))
+    fused = ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight / (rrf_k + F.col("rank"))), 9).alias("score"))
+    of = Window.partitionBy("query_id")
+    fused = fused.withColumn("place", F.row_number().over(of.orderBy(F.desc("score"), "chunk_id"))).join(queries.select("query_id", F.col("text").alias("question"), "k", "rerank", "rerank_n", "vector_n", "bm25_n"), "query_id")
+    best = fused.where(F.col("place") <= F.when(F.col("rerank"), F.col("rerank_n")).otherwise(F.greatest("vector_n", "bm25_n"))).join(chunks.select("chunk_id", "text", "title", "article"), "chunk_id")
+    again = F.when(F.col("rerank"), F.round(overlap(F.col("question"), F.col("text")), 6)).otherwise(0.0)
+    out = best.withColumn("again", again).withColumn("rank", F.row_number().over(of.orderBy(F.desc("again"), "place"))).where("rank <= k")
+    return out.select("query_id", "rank", "chunk_id", "score", citation_entry(F.col("rank"), F.col("title"), F.lit(None).cast("string"), F.concat(F.lit("Điều "), "article")).alias("citation"), "text")

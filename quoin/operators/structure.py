@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import legal as L
 from quoin.functions import vocabulary as V
+from quoin.operators.extraction import pack_greedily
 
 DEPTH = {"CHUONG": 1, "MUC": 2, "DIEU": 3, "KHOAN": 4, "DIEM": 5}
 
@@ -108,11 +109,12 @@ def structure_stats(lines: DataFrame) -> DataFrame:
 
 def merge_pages(page_nodes: DataFrame) -> DataFrame:
     """C14. One node an id over all pages: texts in page order, a piece that is in the text already is skipped;
-    the longest title; the pages."""
+    the longest title; the pages. A column ``sub`` (C15) orders pieces within a page."""
     def join(text: Column, piece: Column) -> Column:
         return F.when(text == "", piece).when(F.contains(text, piece), text).otherwise(F.concat(text, F.lit(" "), piece))
 
-    pieces = F.array_sort(F.collect_list(F.struct("page", "piece"))).getField("piece")
+    order = ["page", "sub", "piece"] if "sub" in page_nodes.columns else ["page", "piece"]
+    pieces = F.array_sort(F.collect_list(F.struct(*order))).getField("piece")
     out = page_nodes.groupBy("doc_id", "node_id").agg(pieces.alias("p"), F.max_by("title", F.struct(F.length("title"), "title")).alias("title"), F.array_sort(F.collect_set("page")).alias("pages"))
     return out.select("doc_id", "node_id", F.aggregate("p", F.lit(""), join).alias("text"), "title", "pages")
 
@@ -120,3 +122,57 @@ def merge_pages(page_nodes: DataFrame) -> DataFrame:
 def merge_summary(nodes: DataFrame) -> DataFrame:
     """C16. Nodes and those on several pages, by document."""
     return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if(F.size("pages") > 1).alias("multi_page"))
+
+
+def attach_pending_text(page_nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """C15. ``page_nodes`` and, before each page's own pieces, the text that ``contexts(doc_id, page, pending_node_id, pending_text)``
+    leaves for a node still open. Blank texts and those without a node add nothing."""
+    open_ = contexts.where("pending_node_id IS NOT NULL AND trim(coalesce(pending_text, '')) != ''")
+    left = open_.select("doc_id", "page", F.col("pending_node_id").alias("node_id"), F.col("pending_text").alias("piece"), F.lit("").alias("title"), F.lit(0).alias("sub"))
+    return page_nodes.select("doc_id", "page", "node_id", "piece", "title", F.lit(1).alias("sub")).unionByName(left)
+
+
+def split_long_clauses(context: DataFrame, max_tokens: int = 800) -> DataFrame:
+    """C05. ``(doc_id, seg, article_no, clause_no, part, text)``: clauses of C02's lines, cut where a point would overflow.
+
+    A point with which a clause would exceed the budget ends what was gathered and is a part of its own;
+    later lines start afresh. Parts are numbered from 1, so that no two chunks share an id. The fold runs
+    over one clause's lines and only numbers them.
+    """
+    rows = context.where("clause_no IS NOT NULL").withColumn("seg", F.sum(F.when(F.col("level") == "DIEU", 1).otherwise(0)).over(in_order()))
+    key = ["doc_id", "seg", "article_no", "clause_no"]
+    lines = F.array_sort(F.collect_list(F.struct("pos", L.count_tokens(F.col("line"), 10).alias("words"), (F.col("level") == "DIEM").alias("point"), "line")))
+    tokens = lambda words: F.floor(words * 15 / 10)
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        over = x["point"] & (tokens(acc["words"]) + tokens(x["words"]) > max_tokens)
+        part = F.when(over, acc["part"] + 1).otherwise(acc["part"])
+        return F.struct(F.when(over, 0).otherwise(acc["words"] + x["words"]).alias("words"), F.when(over, part + 1).otherwise(part).alias("part"), F.concat(acc["out"], F.array(part)).alias("out"))
+
+    parts = rows.groupBy(*key).agg(lines.alias("l")).withColumn("p", F.aggregate("l", start, step, lambda a: a["out"]))
+    each = parts.select(*key, F.explode(F.arrays_zip("l", "p")).alias("x"))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("x.l.pos", "x.l.line"))).getField("line"), " ")
+    chunks = each.groupBy(*key, F.col("x.p").alias("p")).agg(text.alias("text"))
+    return chunks.withColumn("part", F.row_number().over(Window.partitionBy(*key).orderBy("p"))).select(*key, "part", "text")
+
+
+ARTICLE_HEAD, CHAPTER_HEAD = r"Điều\s+[0-9]+[^:：]*[:：]", r"((?:Chương|CHƯƠNG)\s+[IVXLCDM]+[^:：]*[:：])"
+
+
+def article_chunks(documents: DataFrame, size: int = 2000, overlap: int = 200, least: int = 50) -> DataFrame:
+    """C10. ``(doc_id, no, kind, article, chapter, text)``: texts cut at article headings that end in a colon.
+
+    What stands before the first heading is a chunk if it is longer than ``least``, and gives the chapter
+    of all. A text that yields none is packed by paragraphs (C11).
+    """
+    rows = documents.where("text IS NOT NULL").withColumns({"gaps": F.split("text", ARTICLE_HEAD, -1), "heads": F.regexp_extract_all("text", F.lit(ARTICLE_HEAD), F.lit(0))})
+    first = F.get("gaps", 0)
+    chapter = F.nullif(F.trim(F.regexp_extract(first, CHAPTER_HEAD, 1)), F.lit(""))
+    articles = F.transform("heads", lambda h, i: F.struct(F.lit("article").alias("kind"), F.regexp_extract(h, r"Điều\s+([0-9]+)", 1).alias("article"), F.trim(F.concat(h, F.get("gaps", i + 1))).alias("text")))
+    none = F.array().cast("array<struct<kind:string,article:string,text:string>>")
+    other = lambda t: F.struct(F.lit("other").alias("kind"), F.lit(None).cast("string").alias("article"), t.alias("text"))
+    found = F.concat(F.when(F.length(F.trim(first)) > least, F.array(other(F.trim(first)))).otherwise(none), articles)
+    packed = F.transform(pack_greedily(F.split("text", r"\n\s*\n"), size, overlap), other)
+    out = rows.select("doc_id", chapter.alias("chapter"), F.when(F.size(found) > 0, found).otherwise(packed).alias("c"))
+    return out.select("doc_id", "chapter", F.posexplode("c").alias("no", "x")).select("doc_id", "no", "x.kind", "x.article", "chapter", "x.text")

@@ -28,14 +28,14 @@ def _has(text: str, words) -> str:
 
 
 _PAIRS = " OR ".join(f"(contains(g, {lit(b)}) AND NOT contains(g, {lit(a)}))" for a, b in V.POLARITY)
-_D05 = f"""WITH l AS ({_LOG.replace('{orders}', 'orders')}), x AS (SELECT *, coalesce(generated, '') AS g, lower(coalesce(generated, '') || ' ' || coalesce(params, '')) AS both, lower(document) AS d, list_filter(string_split(lower(coalesce(behaviour, '')), ' '), lambda w: w <> '') AS b FROM l),
+_D05 = f"""WITH l AS ({_LOG.replace('{orders}', 'orders')}), x AS (SELECT *, coalesce(generated, '') AS g, lower(coalesce(generated, '') || ' ' || coalesce(params, '')) AS whole, lower(document) AS d, list_filter(string_split(lower(coalesce(behaviour, '')), ' '), lambda w: w <> '') AS b FROM l),
 r AS (SELECT query_id, CASE WHEN answer_type = 'amount_range' AND NOT {_has('upper(g)', V.AMOUNT_FIELDS)} THEN 'fail' WHEN answer_type = 'boolean' AND NOT {_has('upper(g)', V.BOOLEAN_FIELDS)} THEN 'warn' WHEN answer_type = 'definition' AND NOT {_has('upper(g)', V.DEFINITION_FIELDS)} THEN 'warn' ELSE 'pass' END AS shape,
-CASE WHEN len(list_filter(b, lambda w: contains(both, w))) < len(b) * 0.3::DOUBLE OR (d <> '' AND NOT contains(both, d) AND NOT contains(both, string_split(d, ' ')[-1])) THEN 'fail' ELSE 'pass' END AS constraints,
+CASE WHEN len(list_filter(b, lambda w: contains(whole, w))) < len(b) * 0.3::DOUBLE OR (d <> '' AND NOT contains(whole, d) AND NOT contains(whole, string_split(d, ' ')[-1])) THEN 'fail' ELSE 'pass' END AS constraints,
 CASE WHEN intent IN ('prohibition_check', 'sanction_lookup') AND ({_PAIRS}) THEN 'fail' ELSE 'pass' END AS polarity,
 CASE WHEN (answer_type = 'temporal' OR time_reference IS NOT NULL OR intent = 'validity_check') AND NOT {_has('upper(g)', V.VALIDITY_FIELDS)} THEN 'warn' ELSE 'pass' END AS validity,
 CASE WHEN NOT contains(upper(g), 'MATCH') OR NOT contains(upper(g), 'RETURN') OR length(replace(g, '(', '')) <> length(replace(g, ')', '')) OR length(replace(g, '[', '')) <> length(replace(g, ']', '')) THEN 'fail' ELSE 'pass' END AS syntax,
 CASE WHEN regexp_matches(upper(g), {lit(V.WRITES)}) THEN 'fail' ELSE 'pass' END AS read_only,
-CASE WHEN d <> '' AND len(list_filter(string_split(d, '/'), lambda f: contains(both, f))) = 0 THEN 'fail' ELSE 'pass' END AS scope FROM x)
+CASE WHEN d <> '' AND len(list_filter(string_split(d, '/'), lambda f: contains(whole, f))) = 0 THEN 'fail' ELSE 'pass' END AS scope FROM x)
 SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {n} = 'fail' THEN '{n}' END" for n in A.QUERY_RULES)}], lambda v: v IS NOT NULL), ',') AS reasons, NOT ({' OR '.join(f"{n} = 'fail'" for n in A.QUERY_RULES)}) AS passed FROM r"""
 
 

@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _family in ("questions", "ranking", "structure", "graph", "extraction", "retrieval", "more", "streams", "audits"):
+for _family in ("questions", "ranking", "structure", "graph", "extraction", "retrieval", "more", "streams", "audits", "lookups", "typed"):
     importlib.import_module(f"quoin.plans.{_family}")
