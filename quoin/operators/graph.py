@@ -22,35 +22,42 @@ def neighbors(edges: DataFrame, starts: DataFrame, direction: str = "both", type
 
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-    """G07. ``(start, path, depth)``: all paths of 1 to ``depth`` steps that visit no node twice."""
-    steps = directed(edges, direction, types)
+    """G07. ``(start, path, depth)``: all paths of 1 to ``depth`` steps that visit no node twice. Each level is written out, and
+    the next starts from it."""
+    steps = directed(edges, direction, types).select("a", "b").distinct()
     front = starts.select(F.col("id").alias("start"), F.array("id").alias("path"))
     out = None
     for d in range(1, depth + 1):
         at = front.withColumn("a", F.element_at("path", -1))
-        front = at.join(steps.select("a", "b").distinct(), "a").where(~F.array_contains("path", F.col("b"))).select("start", F.concat("path", F.array("b")).alias("path"))
+        front = at.join(steps, "a").where(~F.array_contains("path", F.col("b"))).select("start", F.concat("path", F.array("b")).alias("path"))
+        front = kept(front) if d < depth else front
         level = front.withColumn("depth", F.lit(d))
         out = level if out is None else out.unionByName(level)
     return out
 
 
+def reached(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both", types: list[str] | None = None) -> DataFrame:
+    """``(start, id, depth)``: nodes within some steps and the fewest it takes, the start itself at 0. Level by level, each node
+    once a start, so nothing grows with the number of paths."""
+    steps = directed(edges, direction, types).select("a", "b").distinct()
+    seen = starts.select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0))
+    front = seen
+    for d in range(1, depth + 1):
+        new = front.select("start", F.col("id").alias("a")).join(steps, "a").select("start", F.col("b").alias("id")).distinct()
+        front = kept(new.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def subgraph(edges: DataFrame, starts: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
     """G08. ``(start, id, depth)``: nodes within some steps either way, and the fewest."""
-    reached = traverse(edges, starts, depth, "both", types).select("start", F.element_at("path", -1).alias("id"), "depth")
-    return reached.groupBy("start", "id").agg(F.min("depth").alias("depth"))
+    return reached(edges, starts, depth, "both", types).where("depth > 0")
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 5, direction: str = "both", types: list[str] | None = None) -> DataFrame:
-    """G09. ``(a, b, depth)`` of the pairs ``(a, b)`` within ``most`` steps; level by level, each node once a start."""
-    steps = directed(edges, direction, types).select("a", "b").distinct()
-    seen = pairs.select(F.col("a").alias("start"), F.col("a").alias("node")).distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, most + 1):
-        new = front.select("start", F.col("node").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct()
-        front = new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    found = pairs.distinct().join(seen, (F.col("a") == F.col("start")) & (F.col("b") == F.col("node")))
-    return found.select("a", "b", "depth")
+    """G09. ``(a, b, depth)`` of the pairs ``(a, b)`` within ``most`` steps."""
+    seen = reached(edges, pairs.select(F.col("a").alias("id")), most, direction, types)
+    return pairs.distinct().join(seen.select(F.col("start").alias("a"), F.col("id").alias("b"), "depth"), ["a", "b"])
 
 
 def all_paths(edges: DataFrame, pairs: DataFrame, most: int = 3, direction: str = "both", types: list[str] | None = None) -> DataFrame:
@@ -119,7 +126,18 @@ def nodes_by_type(nodes: DataFrame, label: str, **wanted) -> DataFrame:
 
 def below(edges: DataFrame, roots: DataFrame, depth: int, type: str = "THUOC_VE") -> DataFrame:
     """``(root, id)``: nodes under some roots, up to a depth."""
-    return traverse(edges, roots, depth, "in", [type]).select(F.col("start").alias("root"), F.element_at("path", -1).alias("id")).distinct()
+    return reached(edges, roots, depth, "in", [type]).where("depth > 0").select(F.col("start").alias("root"), "id")
+
+
+def related_articles(edges: DataFrame, articles: DataFrame | None = None, type: str = "MENTIONS") -> DataFrame:
+    """G19. ``(a, b)`` with a < b: articles that name one entity; with ``articles(id)`` only pairs that hold one of those.
+
+    Given articles go before the join, so an entity that very many name is met by theirs alone.
+    """
+    named = edges.where(F.col("type") == type).select("dst", "src").distinct()
+    own = named if articles is None else named.join(articles.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select("dst", "src")
+    pairs = own.select("dst", F.col("src").alias("x")).join(named.select("dst", F.col("src").alias("y")), "dst")
+    return pairs.where("x < y" if articles is None else "x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keyword_search_nodes(nodes: DataFrame, word: str, fields: dict[str, list[str]]) -> DataFrame:

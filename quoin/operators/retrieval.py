@@ -17,15 +17,17 @@ def legal_filter(chunks: DataFrame, refs: DataFrame, strict: bool = True) -> Dat
     """P01. ``(query_id, chunk_id)``: chunks whose law, article, clause and point are those of a query, where it names
     any. The article matches bare or with its word; loose compares the law as contained text.
 
-    Queries meet chunks by their article, or by their law if they name no article.
+    Queries meet chunks by article, by law if they name no article, and strict ones that name both by both.
     """
     same = lambda c: F.col(f"r.{c}").isNull() | F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}"))
     bare = chunks.withColumn("article", F.regexp_replace("article", "^Điều ", ""))
     law = same("law") if strict else F.col("r.law").isNull() | F.contains(F.lower("c.law"), F.lower("r.law"))
     rest = law & same("clause") & same("point")
-    by_article = bare.alias("c").join(refs.where("article IS NOT NULL").alias("r"), F.col("c.article") == F.col("r.article")).where(rest)
-    by_law = bare.alias("c").join(refs.where("article IS NULL AND law IS NOT NULL").alias("r"), F.col("c.law") == F.col("r.law")).where(rest)
-    return by_article.select("r.query_id", "c.chunk_id").union(by_law.select("r.query_id", "c.chunk_id"))
+    both = F.col("article").isNotNull() & F.col("law").isNotNull() & F.lit(strict)
+    on = lambda *c: [F.col(f"c.{x}") == F.col(f"r.{x}") for x in c]
+    parts = ((refs.where(both), on("article", "law")), (refs.where(F.col("article").isNotNull() & ~both), on("article")), (refs.where("article IS NULL AND law IS NOT NULL"), on("law")))
+    found = [bare.alias("c").join(some.alias("r"), keys).where(rest).select("r.query_id", "c.chunk_id") for some, keys in parts]
+    return found[0].union(found[1]).union(found[2])
 
 
 def expand_neighbors(results: DataFrame, chunks: DataFrame, each: int = 300, total: int = 800) -> DataFrame:
@@ -42,15 +44,9 @@ def expand_neighbors(results: DataFrame, chunks: DataFrame, each: int = 300, tot
     return rows.withColumn("used", used).where(F.col("used") <= total).select("query_id", "chunk_id", "kind", "neighbour", "tokens")
 
 
-def lexical_overlap(query: pd.Series, text: pd.Series) -> pd.Series:
-    """The default scorer: the share of a query's words that a text has."""
-    words = lambda t: set(t.lower().split()) if isinstance(t, str) else set()
-    return pd.Series([len(words(q) & words(t)) / len(words(q)) if words(q) else 0.0 for q, t in zip(query, text)], dtype="float64")
-
-
-def rerank(results: DataFrame, queries: DataFrame, top_n: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] = lexical_overlap) -> DataFrame:
-    """R13, X02. New scores for (query, text) by any vectorised scorer; the first n, old order among equals."""
-    new = F.pandas_udf(scorer, "double")
+def rerank(results: DataFrame, queries: DataFrame, top_n: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """R13, X02. New scores for (query, text) by ``overlap``, or by any vectorised scorer; the first n, old order among equals."""
+    new = F.pandas_udf(scorer, "double") if scorer else lambda q, t: overlap(F.col(q), F.col(t))
     scored = results.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").withColumn("rerank_score", F.round(new("query_text", "text"), 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("score").desc(), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_n).drop("query_text")

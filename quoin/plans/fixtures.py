@@ -54,7 +54,7 @@ FIXTURES = {
         UNION ALL SELECT src, dst, type, 1.0E0 FROM amendments""",
     "amendments": """SELECT 'O' || o_orderkey AS src, 'O' || prev AS dst, CASE o_orderkey % 4 WHEN 0 THEN 'THAY_THE' WHEN 1 THEN 'SUA_DOI' WHEN 2 THEN 'BO_SUNG' ELSE 'BAI_BO' END AS type, o_orderdate AS effective
         FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}) o WHERE prev IS NOT NULL""",
-    "page_nodes": """SELECT doc_id % 50 AS doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS page, 'n' || (doc_id % 7) AS node_id, substr(text, 1, 60) AS piece, 'T' || (doc_id % 13) AS title FROM {documents}""",
+    "page_nodes": """SELECT doc_id % 50 AS doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS page, 'n' || (doc_id % 7) AS node_id, text AS piece, 'T' || (doc_id % 13) AS title FROM {documents}""",
 }
 NEEDS = {"clauses": ["articles"], "statute_lines": ["articles", "clauses"], "numbered_lines": ["articles", "clauses", "statute_lines"], "edges": ["amendments"]}
 

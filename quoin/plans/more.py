@@ -79,9 +79,9 @@ def n10(spark, sf):
     return table(spark, sf, "documents").select("doc_id", parse_step_reply(reply).alias("s")).select("doc_id", "s.*")
 
 
-@query("S02", "SELECT url, 'T' || page_id AS title, length(html) AS length, substr(html, 1, 200) AS body FROM pages")
+@query("S02", "SELECT url, 'T' || page_id AS title, length(html) AS length, html AS body FROM pages")
 def s02(spark, sf):
-    body = F.substring("html", 1, 200)
+    body = F.col("html")
     text = F.concat(F.lit("URL: "), "url", F.lit("\nTitle: T"), "page_id", F.lit("\nCrawled: 2024-05-01 10:00:00\nLength: "), F.length("html"), F.lit(" characters\n" + "=" * 100 + "\n"), body)
     return parse_crawled(table(spark, sf, "pages").select(text.alias("text"))).select("url", "title", "length", "body")
 

@@ -44,9 +44,9 @@ def w07(spark, sf):
     return K.dedup_first_seen(rows, "arrival").select("query_id", "chunk_id", "text")
 
 
-@query("U01", R_ + "SELECT DISTINCT substr(text, 1, 200) AS text, first_value(chunk_id) OVER (PARTITION BY substr(text, 1, 200) ORDER BY query_id, chunk_id) AS chunk_id FROM results WHERE source = 'vector' AND query_id < 10")
+@query("U01", R_ + "SELECT DISTINCT substr(text, 1, 200) AS text, first_value(chunk_id) OVER (PARTITION BY substr(text, 1, 200) ORDER BY query_id, chunk_id) AS chunk_id FROM results WHERE source = 'vector'")
 def u01(spark, sf):
-    rows = _results(spark, sf).where("source = 'vector' AND query_id < 10").withColumn("arrival", F.struct("query_id", "chunk_id"))
+    rows = _results(spark, sf).where("source = 'vector'").withColumn("arrival", F.struct("query_id", "chunk_id"))
     return K.dedup_first_seen(rows, "arrival", 200).select("text", "chunk_id")
 
 
