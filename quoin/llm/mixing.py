@@ -40,20 +40,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return by.select("source", "source_size", target.alias("target"))
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """What a document draws by: its id and its text, so that rows without an id or with a repeated one draw apart."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def draw(key: Column, seed: int) -> Column:
     """A number in [0, 1) from a document's key; the same in every run."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
 def _copies(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 17) -> DataFrame:
-    """``rows`` with ``mix_source_size``, ``mix_target`` and ``mix_copies``, by the sources of ``sizes``.
+    """``rows(source, mix_key, ..)`` with ``mix_source_size``, ``mix_target`` and ``mix_copies``, by the sources of ``sizes``.
 
     Each document is taken floor(rate) times, and once more with probability rate - floor(rate),
     where rate = target / source_size.
     """
     targets = saved(source_targets(sizes, weights, share, most)).select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "source_size", "target")])
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(F.col("mix_key"), seed) < rate - F.floor(rate), 1).otherwise(0)
     # one row a source against all documents: below the broadcast threshold the planner broadcasts it, above it splits skewed sources
     return rows.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies.cast("long"))
 
@@ -61,26 +66,33 @@ def _copies(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...] = WEIGHT
 def mixing_plan(docs: DataFrame, **how) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)``: how often the mix takes each document.
 
-    Null text has size 0; rows that repeat a doc_id share its draw; an empty table gives an empty plan.
+    Null text has size 0; rows that repeat both id and text share a draw, and no others do, with an id or
+    without; extra columns take no part; an empty table gives an empty plan.
     """
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_key(F.col("doc_id"), F.col("text")).alias("mix_key")))
     return _copies(sizes, sizes, **how).select("doc_id", "source", "size", *[F.col(f"mix_{c}").alias(c) for c in ("source_size", "target", "copies")])
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document ``copies`` times, with ``copy`` from 1 (documents not taken are absent)."""
+    """The mix itself: every document as often as planned, with ``copy`` from 1 (documents not taken are absent).
+    All columns stay; where one is named ``copy`` already, the number is ``copy_``."""
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    taken = _copies(docs, sizes, **how).where("mix_copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns, "copy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), "source", document_key(F.col("doc_id"), F.col("text")).alias("mix_key"))
+    taken = _copies(rows, sizes, **how).where("mix_copies > 0")
+    return taken.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias(number)).select("mix_row.*", number)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of mixing all ``documents``; see ``mixing_plan``."""
     plan = mixing_plan(read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 o AS (SELECT *, row_number() OVER r AS place, sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open,
@@ -92,7 +104,7 @@ t AS (SELECT source, source_size, CASE WHEN (SELECT first FROM f) IS NULL OR pla
         ELSE (SELECT unit FROM u WHERE place = (SELECT first FROM f)) * weight END AS target FROM u),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0.0 END AS rate,
-        ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+        ('0x' || substr(md5('17:' || d.key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """

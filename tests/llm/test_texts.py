@@ -50,6 +50,23 @@ def test_mixing_edge_cases(spark):
     assert mixing_plan(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_mixing_without_ids_comes_near_its_targets(spark):
+    """Rows without an id and rows that share one draw apart; copies of a row in every respect draw together."""
+    rows = [(None if i % 2 else 7, f"w{i} a b c", "en", "s", 9) for i in range(2000)] + [(i, "x y", "en", "t", 3) for i in range(1000)]
+    plan = mixing_plan(spark.createDataFrame(rows, DOCS)).collect()
+    for source in ("s", "t"):
+        mine = [r for r in plan if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) < 0.05 * mine[0].target
+    same = mixing_plan(spark.createDataFrame([rows[1]] * 5 + rows[:500], DOCS)).where("size = 4 AND doc_id IS NULL").collect()
+    assert len({r.copies for r in same}) > 1
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b", "en", "s", 3, "mine", "key", 5) for i in range(9)], DOCS + ", copy string, mix_key string, size int")
+    got = mix_documents(docs).collect()
+    assert got and {(r.copy, r.mix_key, r.size) for r in got} == {("mine", "key", 5)} and {r.copy_ for r in got} <= {1, 2}
+
+
 # ------------------------------------------------------------------------------- decontamination
 def brute_hits(text, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
