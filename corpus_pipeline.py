@@ -36,14 +36,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id; rows that repeat a doc_id count once."""
-    groups = similar_documents(docs)
-    gone = saved(groups.where("component_id < doc_id").select("doc_id").distinct())
-    once = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    twice = saved(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    """Of each component of similar documents the one with the smallest doc_id (those without an id last, then by hash of
+    id and text). Different texts under one id are documents of their own; rows equal in both count once,
+    the least by their other columns."""
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))).alias("own")
+    rows = docs.select(*COLUMNS, own)
+    groups = similar_documents(rows.select(F.col("own").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    named = rows.select("own", "doc_id").join(groups, "own")
+    stays = saved(named.groupBy("component_id").agg(F.min_by("own", F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("own")).select("own"))
+    once = rows.join(stays, "own", "left_semi")
+    twice = saved(rows.groupBy("own").count().where("count > 1").select("own"))
     if twice.isEmpty():
-        return once
-    return once.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+        return once.select(*COLUMNS)
+    least = once.join(twice, "own", "left_semi").groupBy("own").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.join(twice, "own", "left_anti").select(*COLUMNS).unionByName(least.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
