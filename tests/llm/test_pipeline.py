@@ -49,6 +49,18 @@ def test_near_duplicates(stages):
     assert set(stages[3].doc_id) == {d for i, d in enumerate(before.doc_id) if groups[i] == i}
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark, sf):
+    words = lambda seed, n=60: " ".join(f"w{(seed * 7919 + i * i) % 997}" for i in range(n))
+    rows = [(None, words(1)), (None, words(1) + " end"), (5, words(2)), (5, words(3)), (5, words(3)), (9, words(3)), (None, words(4)), (3, words(4)), (None, words(5)), (None, None), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, docs, sf).collect()), key=repr)
+    either = [(None, words(1)) in got, (None, words(1) + " end") in got]
+    assert sum(either) == 1
+    got = [g for g in got if g[1] not in (words(1), words(1) + " end")]
+    assert got == sorted([(5, words(2)), (5, words(3)), (3, words(4)), (None, words(5)), (None, None), (4, None)], key=repr)
+    assert C.near_duplicates(spark, docs.union(docs), sf).count() == 7
+
+
 def test_decontamination(spark, sf, stages):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     keep = set()
