@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +123,14 @@ class Counts:
         return rows.observe(self.seen[name], (F.count("*") if condition is None else F.count_if(condition)).alias("n"))
 
     def read(self) -> dict[str, int]:
-        return {name: o.get["n"] for name, o in self.seen.items()}
+        return {name: self._count(o) for name, o in self.seen.items()}
+
+    @staticmethod
+    def _count(observation: Observation) -> int:
+        try:
+            return observation.get["n"]
+        except Py4JJavaError:  # of a table known to be empty Spark plans no rows and no observation
+            return 0
 
 
 def clean_extraction(nodes: DataFrame, relations: DataFrame, changes: DataFrame, documents: DataFrame) -> tuple[dict[str, DataFrame], Counts]:
