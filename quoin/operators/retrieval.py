@@ -30,14 +30,15 @@ def legal_filter(chunks: DataFrame, refs: DataFrame, strict: bool = True) -> Dat
     return found[0].union(found[1]).union(found[2])
 
 
-def expand_neighbors(results: DataFrame, chunks: DataFrame, each: int = 300, total: int = 800) -> DataFrame:
-    """J02. ``(query_id, chunk_id, kind, neighbour, tokens)``: parent, previous and next of each result by id, unless it is a
-    result itself; a parent over ``each`` tokens is left out, siblings are cut; as long as the budget of a result lasts."""
+def expand_neighbors(results: DataFrame, chunks: DataFrame, each: int = 300, total: int = 800, tokens: Callable[[Column], Column] = lambda text: count_tokens(text, 13)) -> DataFrame:
+    """J02, X02. ``(query_id, chunk_id, kind, neighbour, tokens)``: parent, previous and next of each result by id, unless it is a
+    result itself; a parent over ``each`` tokens is left out, siblings are cut; as long as the budget of a result lasts.
+    ``tokens`` estimates the tokens of a text."""
     kinds = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(k).alias("kind"), F.col(f"{k}_id").alias("neighbour")) for i, k in enumerate(("parent", "prev", "next"))])
     links = results.join(chunks.select("chunk_id", "parent_id", "prev_id", "next_id"), "chunk_id").select("query_id", "chunk_id", F.explode(kinds).alias("k")).select("query_id", "chunk_id", "k.*").where("neighbour IS NOT NULL")
     known = results.select("query_id", F.col("chunk_id").alias("neighbour")).distinct()
     links = links.join(known, ["query_id", "neighbour"], "left_anti")
-    texts = chunks.select(F.col("chunk_id").alias("neighbour"), count_tokens(F.col("text"), 13).alias("n"))
+    texts = chunks.select(F.col("chunk_id").alias("neighbour"), tokens(F.col("text")).alias("n"))
     rows = links.join(texts, "neighbour").where((F.col("kind") != "parent") | (F.col("n") <= each)).withColumn("tokens", F.least("n", F.lit(each)))
     w = Window.partitionBy("query_id", "chunk_id").orderBy("order")
     used = F.sum("tokens").over(w)

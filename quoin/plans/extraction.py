@@ -9,7 +9,6 @@ from quoin.operators import extraction as X
 from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.questions import any_of, lit
 from quoin.plans.registry import query
-from quoin.streaming import live
 
 REPLIES = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Here: ```json{body}``` done' WHEN 1 THEN '{body}' WHEN 2 THEN 'x {trail} y' ELSE 'no json here' END AS reply FROM documents"""
 
@@ -175,15 +174,3 @@ def r23(spark, sf):
 def a18(spark, sf):
     calls = F.lit(1) + F.when(F.col("event_type") != "error", 1).otherwise(0) + F.col("event_id") % 3
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("requests"), F.sum(calls).alias("calls"))
-
-
-@query("T04", duck("job_events") + "SELECT job_id, arg_max(status, (ts, seq)) AS status, arg_max(percentage, (ts, seq)) AS percentage, count(*) AS n_events FROM job_events GROUP BY job_id")
-def t04(spark, sf):
-    return live.stream_job_status(fixture(spark, sf, "job_events"))
-
-
-@query("T05", "SELECT event_type AS key, count(*) AS executions, round(avg(event_id % 100), 6) AS mean_ms, count(*) FILTER (event_id % 3 = 0) AS hits FROM events GROUP BY event_type")
-def t05(spark, sf):
-    e = F.col("event_id")
-    log = table(spark, sf, "events").select(F.col("event_type").alias("key"), (e % 100).alias("ms"), (e % 3 == 0).alias("hit"))
-    return live.stream_query_statistics(log).withColumn("mean_ms", F.round("mean_ms", 6))

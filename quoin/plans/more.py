@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import legal as L
@@ -14,7 +14,8 @@ from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.questions import LOW, any_of, lit
 from quoin.plans.registry import query
 from quoin.plans.structure import L_, _lines
-from quoin.sources.files import parse_crawled
+from quoin.sources.files import parse_crawled, read_extraction_json, read_plain_documents
+from quoin.steps import shared_dir
 
 
 def _first_cue(text: Column, cues, default: str) -> Column:
@@ -114,3 +115,38 @@ def g01(spark, sf):
     node = lambda c: F.concat_ws(":", F.col("doc_id").cast("string"), F.col(c).cast("string"))  # noqa: E731  a null parent: the document
     up = tree.select(node("pos").alias("src"), node("parent").alias("dst"), F.lit("THUOC_VE").alias("type"))
     return up.unionByName(tree.where("next IS NOT NULL").select(node("pos").alias("src"), node("next").alias("dst"), F.lit("KE_TIEP").alias("type")))
+
+
+def _filed(rows: DataFrame, form: str = "text") -> str:
+    """A folder with a file for each ``rows(key, value)``."""
+    path = shared_dir(rows.sparkSession)
+    rows.repartition("key").write.partitionBy("key").format(form).save(path)
+    return path
+
+
+_SUPPLIES = "SELECT l_suppkey, s_name, count(*) AS n, min(l_partkey) AS part FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey, s_name"
+
+
+@query("S01", f"SELECT 'Điều ' || l_suppkey || '. ' || s_name || chr(10) || '1. Mặt hàng ' || part || ', ' || n || chr(10) AS text, NULL AS error, 'txt' AS suffix FROM ({_SUPPLIES}) UNION ALL SELECT NULL, 'unsupported suffix', 'csv' FROM ({_SUPPLIES}) WHERE l_suppkey % 3 = 0")
+def s01(spark, sf):
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    made = joined.groupBy(F.col("l_suppkey").alias("key"), "s_name").agg(F.count("*").alias("n"), F.min("l_partkey").alias("part"))
+    made = made.select("key", F.concat(F.lit("Điều "), "key", F.lit(". "), "s_name", F.lit("\n1. Mặt hàng "), "part", F.lit(", "), "n").alias("value"))
+    rows = read_plain_documents(spark, _filed(made)).unionByName(read_plain_documents(spark, _filed(made.where("key % 3 = 0"), "csv")))
+    return rows.select("text", "error", F.element_at(F.split("file_name", r"\."), -1).alias("suffix"))
+
+
+@query("S03", """WITH k AS (SELECT l_suppkey AS s, l_returnflag AS f, l_linestatus AS st, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT s, f, 'Điều ' || f AS title, 'gồm ' || sum(n) AS body FROM k GROUP BY s, f)
+    SELECT 'a' || s || f AS article_id, NULL AS clause_id, title, title || chr(10) || body AS text FROM a WHERE f = 'R'
+    UNION ALL SELECT 'a' || s || f, 'k' || s || f || st, t, t || chr(10) || 'số ' || n FROM (SELECT k.*, CASE st WHEN 'F' THEN title ELSE title || chr(10) || 'Khoản ' || st END AS t FROM k JOIN a USING (s, f) WHERE f <> 'R')
+    UNION ALL SELECT NULL, 'r' || s_suppkey, s_name, s_name || chr(10) || 'nước ' || s_nationkey FROM supplier WHERE s_suppkey IN (SELECT s FROM k)""")
+def s03(spark, sf):
+    title = F.concat(F.lit("Điều "), "f")
+    counted = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("st")).agg(F.count("*").alias("n"))
+    clause = F.struct(F.concat(F.lit("k"), "key", "f", "st").alias("id"), F.when(F.col("st") == "F", title).otherwise(F.concat(F.lit("Khoản "), "st")).alias("title"), F.concat(F.lit("số "), "n").alias("full_text"))
+    own = counted.groupBy("key", "f").agg(F.sort_array(F.collect_list(F.when(F.col("f") != "R", clause))).alias("clauses"), F.sum("n").alias("n"))
+    article = F.struct(F.concat(F.lit("a"), "key", "f").alias("id"), title.alias("title"), F.concat(F.lit("gồm "), "n").alias("full_text"), "clauses")
+    alone = F.struct(F.concat(F.lit("r"), "key").alias("id"), F.col("s_name").alias("title"), F.concat(F.lit("nước "), "s_nationkey").alias("full_text"))
+    docs = own.groupBy("key").agg(F.sort_array(F.collect_list(article)).alias("articles")).join(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "key"), "key")
+    value = F.to_json(F.struct(F.struct("articles", F.array(alone).alias("clauses")).alias("stage1_structure")))
+    return read_extraction_json(spark, _filed(docs.select("key", value.alias("value"))))

@@ -33,13 +33,16 @@ _TOK = r"floor(len(list_filter(string_split(trim(regexp_replace({t}, '\s+', ' ',
 _CH = "SELECT doc_id AS chunk_id, text, CASE WHEN doc_id % 10 <> 0 THEN doc_id - doc_id % 10 END AS parent_id, CASE WHEN doc_id > 0 THEN doc_id - 1 END AS prev_id, doc_id + 1 AS next_id FROM documents"
 
 
-@query("J02", f"WITH c AS ({_CH}), r AS (SELECT doc_id % 7 AS query_id, doc_id AS chunk_id FROM documents WHERE doc_id % 3 = 0), l AS (SELECT query_id, chunk_id, 0 AS o, 'parent' AS kind, parent_id AS neighbour FROM r JOIN c USING (chunk_id) UNION ALL SELECT query_id, chunk_id, 1, 'prev', prev_id FROM r JOIN c USING (chunk_id) UNION ALL SELECT query_id, chunk_id, 2, 'next', next_id FROM r JOIN c USING (chunk_id)), k AS (SELECT l.*, {_TOK.format(t='c.text')} AS n FROM l JOIN c ON c.chunk_id = l.neighbour WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = l.query_id AND r.chunk_id = l.neighbour)), u AS (SELECT *, least(n, 300) AS tokens, sum(least(n, 300)) OVER (PARTITION BY query_id, chunk_id ORDER BY o) AS used FROM k WHERE kind <> 'parent' OR n <= 300) SELECT query_id, chunk_id, kind, neighbour, tokens FROM u WHERE used <= 800")
-def j02(spark, sf):
+def _neighbours(spark, sf):
     d = F.col("doc_id")
     docs = table(spark, sf, "documents")
     chunks = docs.select(d.alias("chunk_id"), "text", F.when(d % 10 != 0, d - d % 10).alias("parent_id"), F.when(d > 0, d - 1).alias("prev_id"), (d + 1).alias("next_id"))
-    results = docs.where("doc_id % 3 = 0").select((d % 7).alias("query_id"), d.alias("chunk_id"))
-    return R.expand_neighbors(results, chunks)
+    return docs.where("doc_id % 3 = 0").select((d % 7).alias("query_id"), d.alias("chunk_id")), chunks
+
+
+@query("J02", f"WITH c AS ({_CH}), r AS (SELECT doc_id % 7 AS query_id, doc_id AS chunk_id FROM documents WHERE doc_id % 3 = 0), l AS (SELECT query_id, chunk_id, 0 AS o, 'parent' AS kind, parent_id AS neighbour FROM r JOIN c USING (chunk_id) UNION ALL SELECT query_id, chunk_id, 1, 'prev', prev_id FROM r JOIN c USING (chunk_id) UNION ALL SELECT query_id, chunk_id, 2, 'next', next_id FROM r JOIN c USING (chunk_id)), k AS (SELECT l.*, {_TOK.format(t='c.text')} AS n FROM l JOIN c ON c.chunk_id = l.neighbour WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = l.query_id AND r.chunk_id = l.neighbour)), u AS (SELECT *, least(n, 300) AS tokens, sum(least(n, 300)) OVER (PARTITION BY query_id, chunk_id ORDER BY o) AS used FROM k WHERE kind <> 'parent' OR n <= 300) SELECT query_id, chunk_id, kind, neighbour, tokens FROM u WHERE used <= 800")
+def j02(spark, sf):
+    return R.expand_neighbors(*_neighbours(spark, sf))
 
 
 @query("R13", RES + ", q AS (SELECT DISTINCT query_id, 'Đoạn ' || query_id || ' nội dung ' || (query_id % 11) AS qt FROM results), s AS (SELECT r.*, round(len(list_distinct(list_intersect(string_split(lower(qt), ' '), string_split(lower(r.text), ' '))))::DOUBLE / len(list_distinct(string_split(lower(qt), ' '))), 6) AS rerank_score FROM results r JOIN q USING (query_id) WHERE source = 'vector') SELECT query_id, chunk_id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5")
@@ -49,6 +52,26 @@ def r13(spark, sf):
     return R.rerank(rows, q, 5).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
+@query("X02", RES + f""", c AS ({_CH}), q AS (SELECT DISTINCT query_id, 'Đoạn ' || query_id AS qt FROM results),
+    s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, score DESC, chunk_id) AS rank FROM (SELECT r.*, -abs(length(qt) - length(r.text))::DOUBLE AS v FROM results r JOIN q USING (query_id) WHERE source = 'vector')),
+    l AS (SELECT c.chunk_id, k.kind, n.chunk_id AS neighbour, length(n.text) % 50 AS t, k.o FROM c, (VALUES (0, 'parent'), (1, 'prev'), (2, 'next')) AS k(o, kind) JOIN c n ON n.chunk_id = CASE k.kind WHEN 'parent' THEN c.parent_id WHEN 'prev' THEN c.prev_id ELSE c.next_id END WHERE c.chunk_id % 3 = 0 AND NOT (n.chunk_id % 3 = 0 AND n.chunk_id % 7 = c.chunk_id % 7)),
+    u AS (SELECT *, sum(least(t, 40)) OVER (PARTITION BY chunk_id ORDER BY o) AS used FROM l WHERE kind <> 'parent' OR t <= 40)
+    SELECT 'encoder' AS hook, doc_id::VARCHAR AS id, length(concat_ws(' ', source, text))::DOUBLE AS value FROM documents
+    UNION ALL SELECT 'scorer', query_id || '/' || chunk_id, v FROM s WHERE rank <= 3
+    UNION ALL SELECT 'tokens', chunk_id || '/' || kind, least(t, 40)::DOUBLE FROM u WHERE used <= 70""")
+def x02(spark, sf):
+    """An encoder, a scorer and an estimator of tokens of the caller's own."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("prefix"), "text")
+    encoded = R.embed(docs, lambda text: text.map(lambda t: [float(len(t))]))
+    rows = _results(spark, sf).where("source = 'vector'")
+    asked = rows.select("query_id").distinct().select("query_id", F.concat(F.lit("Đoạn "), "query_id").alias("text"))
+    near = R.rerank(rows, asked, 3, lambda q, t: -(q.str.len() - t.str.len()).abs().astype("float64"))
+    around = R.expand_neighbors(*_neighbours(spark, sf), each=40, total=70, tokens=lambda text: F.length(text) % 50)
+    out = encoded.select(F.lit("encoder").alias("hook"), F.col("doc_id").cast("string").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    out = out.union(near.select(F.lit("scorer"), F.concat_ws("/", F.col("query_id").cast("string"), "chunk_id"), "rerank_score"))
+    return out.union(around.select(F.lit("tokens"), F.concat_ws("/", F.col("chunk_id").cast("string"), "kind"), F.col("tokens").cast("double")))
+
+
 @query("R14", RES + f", k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY {BEST}) AS r FROM results), f AS (SELECT query_id, chunk_id, round(sum(CASE source WHEN 'vector' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (60 + r)), 9) AS score FROM k GROUP BY ALL) SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10")
 def r14(spark, sf):
     rows = _results(spark, sf)
