@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ FETCHED = "2024-01-01T00:00:00Z"
 #: Elements whose content is not text, and elements that begin a new line.
 SILENT = ("script", "style", "noscript", "template")
 LINES = "p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|header|footer|nav|main|aside|title|blockquote|pre|hr|form|body|head|html"
-#: Named character references that are decoded, ampersand last. Fixed values of HTML.
-NAMED = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("copy", "©"), ("middot", "·"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"), ("amp", "&"))
+#: Code points of the named character references of HTML 4, and ``apos``; a no-break space is a space.
+NAMED = name2codepoint | {"apos": ord("'"), "nbsp": ord(" ")}
+#: What may stand between & and ; of a reference, and the destination of a link in the three ways to write it.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`]+)"""
 
 
 def urn(*parts: Column) -> Column:
@@ -36,14 +41,17 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", urn(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(FETCHED).alias("warc_date"), digest(body).alias("payload_digest"), F.concat(head, body).alias("block"))
 
 
-def _numeric(text: Column) -> Column:
-    """Decodes &#n; and &#xh; references to valid code points; others stay."""
-    parts = F.split(text, "&#")
-    number = lambda p: F.when(p.rlike(r"^[0-9]{1,7};"), F.regexp_extract(p, r"^([0-9]{1,7});", 1).cast("int")).when(p.rlike(r"^[xX][0-9a-fA-F]{1,6};"), F.conv(F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1), 16, 10).cast("int"))
-    valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+def decoded(text: Column) -> Column:
+    """Decodes ``&name;``, ``&#n;`` and ``&#xh;`` once, from left to right; unknown names and invalid code points stay."""
+    points = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+    number = lambda n: F.when(n.rlike("^#[xX]"), F.conv(F.substr(n, F.lit(3)), 16, 10).cast("int")).when(n.startswith("#"), F.substr(n, F.lit(2)).cast("int")).when(n != "", F.try_element_at(points, n))
+    valid = lambda n: F.coalesce(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.lit(False))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    decoded = lambda p: F.when(F.coalesce(valid(number(p)), F.lit(False)), F.concat(char(number(p)), F.regexp_replace(p, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
-    return F.when(F.instr(text, "&#") > 0, F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))).otherwise(text)
+    parts = F.split(text, "&")
+    named = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, REFERENCE, 1).alias("name")))
+    known = F.transform(named, lambda s: F.struct(s["p"].alias("p"), s["name"].alias("name"), number(s["name"]).alias("n")))
+    pieces = F.transform(known, lambda s: F.when(valid(s["n"]), F.concat(char(s["n"]), F.substr(s["p"], F.length(s["name"]) + 2))).otherwise(F.concat(F.lit("&"), s["p"])))
+    return F.when(F.instr(text, "&") > 0, F.concat(F.get(parts, 0), F.array_join(pieces, ""))).otherwise(text)
 
 
 def _untagged(html: Column) -> Column:
@@ -56,11 +64,7 @@ def _untagged(html: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    """Named references decoded, one space or newline at a time, none at the ends."""
-    named = text
-    for name, char in NAMED:
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    text = F.when(F.instr(text, "&") > 0, named).otherwise(text)
+    """One space or newline at a time, none at the ends."""
     text = F.regexp_replace(text, r" [ \t\r\f]+|[\t\r\f][ \t\r\f]*", " ")
     text = F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n")
     return F.trim(text, F.lit(" \n"))
@@ -68,7 +72,11 @@ def _tidy(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """The text of an HTML document: no comments, scripts or styles, one line a block, references decoded."""
-    return _tidy(_numeric(_untagged(html)))
+    return _tidy(decoded(_untagged(html)))
+
+
+#: Columns of a derivative; of the source record, these and its block do not stay under their names.
+MADE = ("warc_type", "record_id", "refers_to", "source_digest", "source_headers", "content_type", "content_length", "block_digest", "block")
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -76,39 +84,48 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     ``metadata`` (application/warc-fields: title, status, type, outlinks) and ``conversion`` (text/plain), each
     with ``refers_to`` the response's id, its target, date, HTTP headers and payload digest, and digest
-    and length of its own block. Other columns stay. A null block is an empty message; a block without an
-    empty line is all headers.
+    and length of its own block. Other columns stay; one that has a name of MADE comes with ``_`` after it, as often
+    as makes it new. A null block is an empty message; a block without an empty line is all headers.
     """
+    rest, taken = [], {c.lower() for c in (*MADE, *records.columns)} - {"payload_digest"}
+    for c in records.columns:
+        if c in ("record_id", "block", "payload_digest"):
+            continue
+        name = c
+        while c.lower() in MADE and name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        rest.append((c, name))
     block = F.coalesce(F.col("block"), F.lit(""))
     cut = F.instr(block, "\r\n\r\n")
     head = F.when(cut > 0, F.substr(block, F.lit(1), cut - 1)).otherwise(block)
     body = F.when(cut > 0, F.substr(block, cut + 4)).otherwise("")
-    r = records.withColumns({"source_headers": head, "_body": body})
-    r = r.withColumn("_untagged", _untagged(F.col("_body"))).withColumn("_numbered", _numeric(F.col("_untagged"))).withColumn("_text", _tidy(F.col("_numbered")))
+    row = F.struct(F.lit(0), *[F.col(f"`{c}`").alias(name) for c, name in rest])
+    r = records.select(row.alias("row"), "record_id", F.col("payload_digest").alias("source_digest"), head.alias("source_headers"), body.alias("body"))
+    r = r.withColumn("untagged", _untagged(F.col("body"))).withColumn("decoded", decoded(F.col("untagged"))).withColumn("text", _tidy(F.col("decoded")))
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    title = clean(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1))
+    title = clean(decoded(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)))
     status = F.regexp_extract("source_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     kind = clean(F.regexp_extract("source_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1))
-    links = F.regexp_extract_all("_body", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    lines = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("http-status: "), status), F.concat(F.lit("source-content-type: "), kind)), F.transform(links, lambda x: F.concat(F.lit("outlink: "), clean(x))))
+    links = F.transform(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), lambda x: clean(decoded(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
+    lines = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("http-status: "), status), F.concat(F.lit("source-content-type: "), kind)), F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)))
     fields = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     made = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("made_block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("made_block")),
+        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    r = r.withColumn("_made", F.explode(made))
-    rest = [c for c in records.columns if c not in ("record_id", "block", "payload_digest")]
+    r = r.withColumn("made", F.explode(made))
     return r.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.col("_made.warc_type").alias("warc_type"),
-        urn(F.col("_made.warc_type"), F.col("record_id")).alias("record_id"),
+        *[F.col(f"row.`{name}`") for _, name in rest],
+        F.col("made.warc_type").alias("warc_type"),
+        urn(F.col("made.warc_type"), F.col("record_id")).alias("record_id"),
         F.col("record_id").alias("refers_to"),
-        F.col("payload_digest").alias("source_digest"),
+        "source_digest",
         "source_headers",
-        F.col("_made.content_type").alias("content_type"),
-        F.octet_length("_made.made_block").cast("long").alias("content_length"),
-        digest(F.col("_made.made_block")).alias("block_digest"),
-        F.col("_made.made_block").alias("block"),
+        F.col("made.content_type").alias("content_type"),
+        F.octet_length("made.block").cast("long").alias("content_length"),
+        digest(F.col("made.block")).alias("block_digest"),
+        F.col("made.block").alias("block"),
     )
 
 
@@ -142,26 +159,28 @@ def _sql_text(t: str) -> str:
 
 
 def _sql_rest(t: str) -> str:
-    for name, char in NAMED:
-        t = f"replace({t}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
     t = rf"regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
 
 
+def _sql_decoded(t: str) -> str:
+    name = f"regexp_extract(p, '{REFERENCE}', 1)"
+    points = ", ".join(f"'{k}': {v}" for k, v in sorted(NAMED.items()))
+    n = f"CASE WHEN {name} ILIKE '#x%' THEN ('0x' || {name}[3:])::INT WHEN {name} LIKE '#%' THEN {name}[2:]::INT WHEN {name} <> '' THEN map_extract_value(MAP {{{points}}}, {name}) END"
+    return f"string_split({t}, '&')[1] || array_to_string(list_transform(string_split({t}, '&')[2:], lambda p: CASE WHEN coalesce(({n}) BETWEEN 1 AND 55295 OR ({n}) BETWEEN 57344 AND 1114111, false) THEN chr({n}) || p[length({name}) + 2:] ELSE '&' || p END), '')"
+
+
 _URN = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
-_NUMBER = r"CASE WHEN regexp_matches(p, '^[0-9]{1,7};') THEN regexp_extract(p, '^([0-9]{1,7});', 1)::INT WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,6};') THEN ('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1))::INT END"
 OP2_SQL = rf"""
 WITH r AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS body, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h FROM pages),
 i AS (SELECT *, {_URN.format(h="h")} AS refers_to, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) AS source_headers FROM r),
 t AS (SELECT *, {_sql_text("body")} AS t FROM i),
-n AS (SELECT *, list_transform(string_split(t, '&#')[2:], lambda p: CASE WHEN coalesce(({_NUMBER}) BETWEEN 1 AND 55295 OR ({_NUMBER}) BETWEEN 57344 AND 1114111, false)
-        THEN chr({_NUMBER}) || regexp_replace(p, '^[^;]*;', '') ELSE '&#' || p END) AS parts FROM t),
-c AS (SELECT *, string_split(t, '&#')[1] || array_to_string(parts, '') AS u FROM n),
+c AS (SELECT *, {_sql_decoded("t")} AS u FROM t),
 m AS (SELECT page_id, target_uri, refers_to, source_headers, 'sha256:' || sha256(body) AS source_digest, 'conversion' AS warc_type, 'text/plain; charset=utf-8' AS content_type, {_sql_rest("u")} AS block FROM c
   UNION ALL SELECT page_id, target_uri, refers_to, source_headers, 'sha256:' || sha256(body), 'metadata', 'application/warc-fields',
-    array_to_string(list_concat(['title: ' || trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')), 'http-status: 200', 'source-content-type: text/html; charset=utf-8'],
-      list_transform(regexp_extract_all(body, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: 'outlink: ' || trim(regexp_replace(x, '\s+', ' ', 'g')))), chr(13) || chr(10)) || chr(13) || chr(10) FROM i),
+    array_to_string(list_concat(['title: ' || trim(regexp_replace({_sql_decoded("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g')), 'http-status: 200', 'source-content-type: text/html; charset=utf-8'],
+      list_transform(regexp_extract_all(body, '{LINK.replace("'", "''")}', 1), lambda x: 'outlink: ' || trim(regexp_replace({_sql_decoded("regexp_replace(x, '^[" + chr(34) + "'']|[" + chr(34) + "'']$', '', 'g')")}, '\s+', ' ', 'g')))), chr(13) || chr(10)) || chr(13) || chr(10) FROM i),
 k AS (SELECT *, md5(warc_type || '|' || refers_to) AS h FROM m)
 SELECT page_id, target_uri, '{FETCHED}' AS warc_date, warc_type, {_URN.format(h="h")} AS record_id, refers_to, source_digest, source_headers, content_type,
   strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM k
