@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 
 import numpy as np
@@ -25,21 +26,24 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     """Flat files of little-endian 16-bit tokens in ``path``, one for each partition of ``docs(doc_id, text)``,
     each document followed by the separator. Returns ``(file, place, doc_id)``: which document stands where.
 
-    A task writes under a name of its own and renames at its end, so a repeated task replaces its file
-    by an equal one. Null text is a document without tokens.
+    Each attempt of a task writes a file of its own name and returns it in its rows, so the rows that
+    Spark keeps name the file that belongs to them, and files of attempts that were lost are in no row:
+    ``count_tokens`` takes the files to read. Null text is a document without tokens. ``vocabulary`` is a path that every machine has.
     """
 
     def run(batches):
         import tiktoken
         from pyspark import TaskContext
 
+        if not os.path.exists(vocabulary):
+            raise FileNotFoundError(f"no vocabulary {vocabulary} on this machine: pass a path that every executor has")
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.tok"
-        draft, place = f"{folder}/.{name}.{uuid.uuid4().hex}", 0
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.tok"
+        draft, place = f"{folder}/.{name}", 0
         with store.open_output_stream(draft) as out:
             for b in batches:
                 for text in b.column("text").to_pylist():
@@ -105,12 +109,15 @@ def stitched(scanned: DataFrame, scan_blocks: int = SCAN_BLOCKS) -> DataFrame:
     return docs.select("file", (F.col("places") + F.col("i")).alias("place"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
 
 
-def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``(file, place, start, n_tokens)`` of every document in the flat token files of a folder."""
-    return stitched(saved(separator_positions(token_blocks(spark, path, block_tokens), separator)))
+def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, files: DataFrame | None = None) -> DataFrame:
+    """``(file, place, start, n_tokens)`` of every document in the flat token files of a folder, or in ``files(file)`` of it."""
+    blocks = token_blocks(spark, path, block_tokens)
+    if files is not None:
+        blocks = blocks.join(files.select("file").distinct(), "file", "left_semi")
+    return stitched(saved(separator_positions(blocks, separator)))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     written = saved(write_token_files(read(spark, sf_dir, "documents"), path))
-    return written.join(count_tokens(spark, path), ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")
+    return written.join(count_tokens(spark, path, files=written), ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")
