@@ -247,6 +247,8 @@ def test_warc_round_trip(spark, sf):
 def test_plain_text(spark):
     cases = {
         "<p>a<b>b</b> &amp; c</p><script>x<p></script><!-- no --><div>d&#233;&#x41;&#0;</div>": "ab & c\ndéA&#0;",
+        "caf&eacute; &Alpha;&alpha; &amp;eacute; &nosuch; &apos; a&nbsp;b &#38;lt; &": "café Αα &eacute; &nosuch; ' a b &lt; &",
+        "&#xD800; &#1114112; &#x10FFFF; & &; &amp": "&#xD800; &#1114112; \U0010ffff & &; &amp",
         "": "", "no tags  at\n all": "no tags at all", "&lt;p&gt;": "<p>",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "html string").select("html", plain_text(F.col("html")).alias("t")).collect()
@@ -256,7 +258,42 @@ def test_plain_text(spark):
     assert [(r.warc_type, r.content_length) for r in got] == [("metadata", 74), ("conversion", 0)]
 
 
+def test_outlinks_and_titles(spark):
+    html = """<title>A &amp; B&eacute;</title><a href="/x?a=1&amp;b=2">1</a><a class=c HREF = '/it"s'>2</a><a href=/bare>3</a>
+    <a data-href="/no" id="i">4</a><a\nhref="/two
+    lines">5</a><abbr href="/no">6</abbr><a href="">7</a>"""
+    rows = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    block = derivatives(responses(rows)).where("warc_type = 'metadata'").first().block
+    lines = block.split("\r\n")
+    assert lines[0] == "title: A & Bé"
+    assert [x[9:] for x in lines if x.startswith("outlink: ")] == ["/x?a=1&b=2", '/it"s', "/bare", "/two lines", ""]
+
+
+def test_derivatives_of_clashing_columns_and_of_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "<p>x", "mine", "own", 3, "b", "t")], "page_id long, url string, html string, content_type string, Refers_To string, content_type_ int, body string, text string")
+    records = responses(rows).withColumn("page_id", F.col("page_id")).crossJoin(rows.select("content_type", "Refers_To", "content_type_", "body", "text"))
+    made = derivatives(records)
+    made.write.parquet(f"{tmp_path}/made")  # no two columns of one name
+    got = spark.read.parquet(f"{tmp_path}/made").where("warc_type = 'conversion'").first()
+    assert (got.content_type, got.content_type__, got.content_type_, got.Refers_To_, got.body, got.text, got.block) == ("text/plain; charset=utf-8", "mine", 3, "own", "b", "t", "x")
+    assert derivatives(records.limit(0)).collect() == []
+
+
 # ------------------------------------------------------------------------------- tokens
+def test_files_of_lost_attempts_do_not_count(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}"
+    T.write_token_files(docs, path).collect()  # an attempt whose rows are lost
+    kept = spark.createDataFrame(T.write_token_files(docs, path).collect())
+    assert len(list(tmp_path.glob("*.tok"))) == 2
+    got = kept.join(T.count_tokens(spark, path, files=kept), ["file", "place"]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 2), (2, 0), (3, 0)]
+    assert T.count_tokens(spark, path).count() == 6
+    assert T.count_tokens(spark, path, files=kept.limit(0)).collect() == []
+    with pytest.raises(Exception, match="every executor"):
+        T.write_token_files(docs, path, "/no/such/vocabulary").collect()
+
+
 def test_separator_scan(spark, tmp_path):
     rng = np.random.RandomState(1)
     expected = {}
