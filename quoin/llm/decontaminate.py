@@ -7,23 +7,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import ALNUM, hash_words, read, saved, shingle_hashes
+from quoin.llm.common import ALNUM, discard, hash_words, read, saved, shingle_hashes
 
 #: Words of a window, and words of the shingles by which windows are found.
 WINDOW, SHINGLE = 13, 3
-#: Benchmark words in one index; a larger benchmark is taken in several such pieces, in one scan.
+#: Benchmark words in one index; a larger benchmark is taken in several such pieces, one pass after another.
 INDEX_WORDS = 2_000_000
+#: Words by which a long item moves on from one segment to the next, and bits of the sieve of its shingles.
+SEGMENT, SIEVE_BITS = 4096, 26
 
 
-def _item_words(benchmark: DataFrame) -> DataFrame:
+def _segments(benchmark: DataFrame, window: int) -> DataFrame:
+    """``(item, segment, n, words)``: an item's words, of long items in segments that share all but one word of a window."""
+
     def run(batches):
         for b in batches:
             words, begin = hash_words(b.column("text"), ALNUM)
-            rows = [words[begin[i] : begin[i + 1]].view(np.int64) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["item", "n", "words"])
+            ids = b.column("item").to_pylist()
+            for i in range(b.num_rows):
+                own = words[begin[i] : begin[i + 1]].view(np.int64)
+                starts = range(0, max(1, len(own) - window + 1), SEGMENT) if len(own) else []
+                rows = [own[at : at + SEGMENT + window - 1] for at in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["item", "segment", "n", "words"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item IS NOT NULL AND text IS NOT NULL")
-    return items.mapInArrow(run, "item string, n int, words array<long>").where("n > 0")
+    return items.mapInArrow(run, "item string, segment int, n int, words array<long>")
 
 
 def _windows(items: list, window: int, shingle: int) -> dict:
@@ -61,25 +69,48 @@ def _find(look: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.n
     return at[hit], key[hit]
 
 
-def _rarity(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[int, dict[int, int]]:
-    """How often each of the benchmark's shingles occurs in all documents; bounded by the benchmark piece."""
-    shared = docs.sparkSession.sparkContext.broadcast({k: _lookup(t) for k, t in tokens.items()})
+def _tokens(segments: DataFrame, window: int, shingle: int) -> DataFrame:
+    """``(piece, k, token)``: the different shingles of each piece's windows, and how many words they have."""
+
+    def run(batches):
+        for b in batches:
+            for piece, seq in zip(b.column("piece").to_pylist(), b.column("words")):
+                own = np.asarray(seq.values, np.int64).view(np.uint64)
+                k = min(window, shingle, len(own))
+                token = np.unique(shingle_hashes(own, k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), piece, np.int64)), pa.array(np.full(len(token), k, np.int32)), pa.array(token)], ["piece", "k", "token"])
+
+    return segments.select("piece", "words").mapInArrow(run, "piece long, k int, token long").distinct()
+
+
+def _rarity(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(piece, k, token, n)``: how often each of the benchmark's shingles occurs in all documents, in one scan.
+
+    Shingles go through a bitmap of SIEVE_BITS bits first, whatever the benchmark's size; those that
+    pass are counted in each batch, and then by key.
+    """
+    place = F.col("token").bitwiseAND((1 << SIEVE_BITS) - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    bits = tokens.groupBy("k", F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    sieves = {}
+    for k in sorted(set(bits["k"].to_pylist())):
+        own = bits["k"].to_numpy() == k
+        sieves[k] = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+        sieves[k][bits["word"].to_numpy()[own]] = bits["bits"].to_numpy()[own].view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches):
-        total = {k: np.zeros(len(look[0]), np.int64) for k, look in shared.value.items()}
         for b in batches:
             words, _ = hash_words(b.column("text"), ALNUM)
-            for k, look in shared.value.items():
-                total[k] += np.bincount(_find(look, shingle_hashes(words, k))[1], minlength=len(look[0]))
-        for k, (keys, _) in shared.value.items():
-            some = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(keys[some].view(np.int64)), pa.array(total[k][some])], ["k", "token", "n"])
+            for k, sieve in shared.value.items():
+                h = shingle_hashes(words, k)
+                at = h & np.uint64((1 << SIEVE_BITS) - 1)
+                passed = (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                keys, n = np.unique(h[passed.astype(bool)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["k", "token", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
-    out: dict[int, dict[int, int]] = {k: {} for k in tokens}
-    for k, token, n in counts.toArrow().to_pandas().itertuples(index=False):
-        out[k][int(np.int64(token).view(np.uint64))] = n
-    return out
+    return tokens.join(counts, ["k", "token"]).select("piece", "k", "token", "n")
 
 
 def _index(found: dict, rarity: dict[int, dict[int, int]]) -> dict:
@@ -152,20 +183,32 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     ``runs`` are disjoint [start, end) word positions, flat and sorted; ``items`` the ids, as strings,
     of items with an occurring window. Null texts have no words; null item ids and items without
-    words are ignored; repeated items count once. The index of a benchmark piece is broadcast: its
-    size is bounded by ``index_words``, and further pieces follow one another within the scan.
+    words are ignored; repeated items count once. The benchmark is cut into pieces of ``index_words`` words
+    (by hash of item and segment, so about as many). Each piece is a pass of its own over what the pass before
+    it wrote, so a task holds one index at a time, however large the benchmark is.
     """
     spark = docs.sparkSession
-    items = saved(_item_words(benchmark))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    pieces = -(-total // index_words)
+    segments = saved(_segments(benchmark, window))
+    pieces = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // index_words))
+    segments = segments.withColumn("piece", F.pmod(F.xxhash64("item", "segment"), F.lit(pieces)))
+    rarity = saved(_rarity(docs, saved(_tokens(segments, window, shingle))))
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
-    for p in range(max(1, pieces)):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(max(1, pieces))) == p).select("item", "words").toArrow()
+    before = None
+    for p in range(pieces):
+        own = segments.where(F.col("piece") == p).select("item", "words").toArrow()
         found = _windows(list(zip(own["item"].to_pylist(), own["words"].to_pylist())), window, shingle)
-        tokens = {int(k): np.concatenate([t for t, size in zip(found["tokens"], found["size"]) if size == k]) for k in np.unique(found["size"])}
-        rows = _search(rows, spark.sparkContext.broadcast(_index(found, _rarity(docs, tokens) if tokens else {})))
+        seen: dict[int, dict[int, int]] = {int(k): {} for k in set(found["size"].tolist())}
+        for k, token, n in rarity.where(F.col("piece") == p).select("k", "token", "n").toArrow().to_pandas().itertuples(index=False):
+            seen[k][int(np.int64(token).view(np.uint64))] = n
+        index = spark.sparkContext.broadcast(_index(found, seen))
+        rows = _search(rows, index)
+        if p < pieces - 1:
+            rows = saved(rows)
+            index.unpersist()
+            if before is not None:
+                discard(before)
+            before = rows
     return rows.select("row", "n_words", "runs", "items")
 
 
