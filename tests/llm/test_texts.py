@@ -82,7 +82,7 @@ def brute_hits(text, items, window=13):
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 40])
+@pytest.mark.parametrize("bound", [2_000_000, 40, 4])
 def test_hits_like_brute_force(spark, bound):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "of", "A1", "straße", "x", "yes"])
@@ -95,6 +95,24 @@ def test_hits_like_brute_force(spark, bound):
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
 
 
+def test_one_index_at_a_time_and_one_scan_for_rarity(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    item = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    items = [(str(i), item(20)) for i in range(60)] + [("long", item(300))]
+    texts = [item(30) + " " + items[i][1] + " " + item(9) for i in range(60)] + [items[60][1][200:900], item(500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, scans = spark.read.parquet(f"{tmp_path}/docs"), []
+    monkeypatch.setattr(D, "SEGMENT", 50)
+    kept = D.saved
+    monkeypatch.setattr(D, "saved", lambda df: (scans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    out = D.benchmark_hits(docs, spark.createDataFrame(items, "item_id string, text string"), index_words=30)
+    plans = [*scans, out._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) > 50 and max(p.count("MapInArrow") for p in plans if "runs" in p) == 1
+    assert sum(p.count(f"{tmp_path}/docs") > 0 for p in plans) == 2  # for rarity, and for the first pass
+    got = {r.row.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in out.withColumn("n_hit", D.n_hit()).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+
+
 def test_no_benchmark_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -271,7 +289,7 @@ def test_outlinks_and_titles(spark):
 
 def test_derivatives_of_clashing_columns_and_of_nothing(spark, tmp_path):
     rows = spark.createDataFrame([(1, "u", "<p>x", "mine", "own", 3, "b", "t")], "page_id long, url string, html string, content_type string, Refers_To string, content_type_ int, body string, text string")
-    records = responses(rows).withColumn("page_id", F.col("page_id")).crossJoin(rows.select("content_type", "Refers_To", "content_type_", "body", "text"))
+    records = responses(rows).crossJoin(rows.select("content_type", "Refers_To", "content_type_", "body", "text"))
     made = derivatives(records)
     made.write.parquet(f"{tmp_path}/made")  # no two columns of one name
     got = spark.read.parquet(f"{tmp_path}/made").where("warc_type = 'conversion'").first()
