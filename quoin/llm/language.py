@@ -5,18 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import read, saved
+from quoin.llm.common import discard, read, saved
 from quoin.llm.quality import fold
 
 #: Characters of the longest n-gram. A character takes 16 bits of a 64-bit key.
 ORDER = 4
-#: n-grams in one broadcast model; more languages than fit are scored in several pieces of a scan.
-MODEL_ROWS = 6_000_000
-#: Training documents a language by which rejection is calibrated, and how far in the tail a text must be.
-CALIBRATION_ROWS, TAIL = 500, 4.0
+#: Values (n-grams times languages) in one broadcast piece of the models; each piece is a pass of its own.
+MODEL_ROWS = 48_000_000
+#: Languages with so many training texts keep one in HELD_BACK of them for calibrating rejection; how far in the tail a text must be.
+HELD_BACK_FROM, HELD_BACK, TAIL = 20, 10, 4.0
 #: Probability of a character that no text of the language has.
 UNSEEN = 1e-6
 
@@ -101,9 +101,30 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
+def with_pivot(model: DataFrame) -> DataFrame:
+    """Adds the character before the last one of an n-gram, and the last one of a context: all that the score
+    of one character asks for has the same. Null where there is none; such rows belong to every piece."""
+    char = lambda c: c.bitwiseAND(0xFFFF).cast("int")
+    own = F.when(F.col("logback").isNull(), char(F.shiftrightunsigned("gram", 16))).otherwise(char(F.col("gram")))
+    return model.withColumn("pivot", F.when(F.col("size") > 1, own))
+
+
+def dealt(weights: dict[int, int], bound: int) -> list[list[int]]:
+    """Characters dealt to pieces of about ``bound`` values, the heaviest first; one that is heavier has a piece of its own."""
+    pieces: list[list[int]] = []
+    room = 0
+    for pivot, n in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        if not pieces or room + n > bound:
+            pieces.append([])
+            room = 0
+        pieces[-1].append(pivot)
+        room += n
+    return pieces
+
+
 def sorted_arrays(model: DataFrame, langs: list[str], order: int = ORDER) -> dict:
-    """The model of some languages: for each size, keys in increasing order and a column a language."""
-    pdf = model.where(F.col("lang").isin(langs)).toArrow().to_pandas()
+    """Models as arrays: for each size, keys in increasing order and a column a language."""
+    pdf = model.toArrow().to_pandas()
     of = {x: i for i, x in enumerate(langs)}
     out: dict = {"langs": langs, "p": {}, "back": {}}
     for size in range(1, order + 1):
@@ -137,27 +158,37 @@ def log_probabilities(keys: np.ndarray, model: dict, order: int) -> np.ndarray:
 
 
 def _entropies(rows: DataFrame, model, order: int) -> DataFrame:
-    """Adds to ``(row, text, h)`` each language's cross-entropy a character, in nats; h stays empty without letters."""
+    """Adds to ``(row, text, n, h)`` what one piece of the models gives: each language's sum of minus log probabilities
+    over the characters after the piece's. ``n`` counts all characters; h stays empty without letters."""
 
     def run(batches):
         letters = _letters()
+        pivots = np.zeros(1 << 16, bool)
+        pivots[model.value["pivots"]] = True
         for b in batches:
             before, texts, at = b.column("h").to_pylist(), b.column("text").to_pylist(), 0
-            out = []
+            out, chars = [], []
             while at < len(texts):  # about a million characters at a time
                 own, size = [], 0
                 while at + len(own) < len(texts) and size < 1_000_000:
                     own.append(grams(codes(texts[at + len(own)] or "", letters), order))
                     size += len(own[-1])
                 ids, keys = pd.factorize(np.concatenate(own).view(np.int64))
-                table = log_probabilities(keys.view(np.uint64), model.value, order)
+                keys = keys.view(np.uint64)
+                here = pivots[((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
+                table = np.zeros((len(keys), len(model.value["langs"])), np.float64)
+                table[here] = log_probabilities(keys[here], model.value, order)
                 ends = np.cumsum([len(x) for x in own])
                 for i, x in enumerate(own):
                     mine = ids[ends[i] - len(x) : ends[i]]
-                    h = [] if not len(x) else (-(np.bincount(mine, minlength=len(keys)) @ table) / len(x) if len(x) > 4 * len(keys) else -table[mine].mean(0)).astype(float).tolist()
-                    out.append((before[at + i] or []) + h)
+                    if len(x):
+                        total = -(np.bincount(mine, minlength=len(keys)) @ table) if len(x) > 4 * len(keys) else -table[mine].sum(0)
+                        out.append((total + (before[at + i] or 0.0)).tolist())
+                    else:
+                        out.append([])
+                    chars.append(len(x))
                 at += len(own)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(out, pa.list_(pa.float64()))], ["row", "text", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(chars, pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["row", "text", "n", "h"])
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -169,44 +200,48 @@ def identify_languages(docs: DataFrame, training: DataFrame, order: int = ORDER,
     The language with the least cross-entropy a character is chosen, the first by name among equals;
     ``und`` with score 0 for texts that are null or have no letter, and if nothing was learned. ``score`` is the share of the
     chosen language if each weighs as its likelihood over 25 characters. ``rejected`` marks texts whose
-    cross-entropy is ``tail`` standard deviations or more above the mean of its language's own texts,
-    which a bounded sample of the training rows gives. Rows with null text or lang teach nothing.
+    cross-entropy is ``tail`` standard deviations or more above the mean of texts of their language that its
+    model has not seen: one in HELD_BACK of the training texts, by hash. A language of fewer than
+    HELD_BACK_FROM texts learns from all of them and is calibrated on them. Rows with null text or lang teach nothing.
+
+    Models larger than ``model_rows`` values are cut by the character before the one that is scored. Each
+    piece is a pass of its own over what the pass before it wrote, so a task and the driver hold one piece at a time.
     """
     spark = docs.sparkSession
-    training = training.select("doc_id", "text", "lang")
-    model = saved(kneser_ney(saved(gram_counts(training, order)), order))
-    sizes = sorted((r["lang"], r["count"]) for r in model.groupBy("lang").count().collect())  # a row a language
-    pieces: list[list[str]] = []
-    room = 0
-    for lang, n in sizes:
-        if not pieces or room + n > model_rows:
-            pieces.append([])
-            room = 0
-        pieces[-1].append(lang)
-        room += n
-    langs = [x for p in pieces for x in p]
-    models = [spark.sparkContext.broadcast(sorted_arrays(model, p, order)) for p in pieces]
-
-    def scored(frame: DataFrame) -> DataFrame:
-        rows = frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.array().cast("array<double>").alias("h"))
-        for m in models:
-            rows = _entropies(rows, m, order)
-        return rows
-
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = training.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    sample = sample.withColumn("rank", rank).where(F.col("rank") <= CALIBRATION_ROWS).select("doc_id")
-    own = scored(training.join(F.broadcast(sample.distinct()), "doc_id")).where("size(h) > 0")
-    place = F.array_position(F.lit(langs) if langs else F.array().cast("array<string>"), F.col("row.lang"))
-    spread = own.withColumn("e", F.get("h", (place - 1).cast("int"))).groupBy(F.col("row.lang").alias("lang")).agg(F.avg("e").alias("m"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("s"))
-    limit = {r["lang"]: r["m"] + tail * max(r["s"], 0.02) for r in spread.collect()} if langs else {}
+    training = training.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    many = [r["lang"] for r in training.groupBy("lang").count().collect() if r["count"] >= HELD_BACK_FROM]  # a row a language
+    held = F.col("lang").isin(many) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_BACK)) == 0)
+    model = saved(with_pivot(kneser_ney(saved(gram_counts(training.where(~held), order)), order)))
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())
+    weights = model.groupBy("pivot").agg(F.count_distinct("size", "gram").alias("n")).where("pivot IS NOT NULL").collect()  # a row a 16-bit code
+    pieces = dealt({r["pivot"]: r["n"] * len(langs) for r in weights}, model_rows) or [[0]]
+
+    def index(piece: list[int]):
+        own = model.where(F.col("pivot").isNull() | F.col("pivot").isin(piece)) if len(pieces) > 1 else model
+        return spark.sparkContext.broadcast(sorted_arrays(own, langs, order) | {"pivots": np.array(piece if len(pieces) > 1 else range(1 << 16))})
+
+    rows = lambda frame: frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("h"))
+    asked = rows(docs)
+    own = rows(training.where(held | ~F.col("lang").isin(many)).select("lang", "text"))
+    before: list[DataFrame] = []
+    for i, piece in enumerate(pieces if langs else []):
+        shared = index(piece)
+        asked, own = _entropies(asked, shared, order), _entropies(own, shared, order)
+        if i < len(pieces) - 1:
+            asked, own = saved(asked), saved(own)
+            shared.unpersist()
+            discard(*before)
+            before = [asked, own]
+    mean = F.transform("h", lambda x: x / F.col("n"))
     names = F.lit(langs) if langs else F.array().cast("array<string>")
+    spread = own.where("n > 0").select("row.lang", F.get(mean, (F.array_position(names, F.col("row.lang")) - 1).cast("int")).alias("e")).groupBy("lang").agg(F.avg("e").alias("m"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("s"))
+    limit = {r["lang"]: r["m"] + tail * max(r["s"], 0.02) for r in spread.collect()} if langs else {}
     limits = F.array(*[F.lit(float(limit.get(x, 99.0))) for x in langs]) if langs else F.array().cast("array<double>")
+    out = asked.select("row", mean.alias("h"))
     least = F.array_min("h")
     best = F.array_position("h", least).cast("int")
     known = F.size("h") > 0
     weight = F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(25 * (F.array_min("h") - x)))
-    out = scored(docs)
     return out.select(
         "row",
         F.when(known, F.get(names, best - 1)).otherwise("und").alias("lang_pred"),
