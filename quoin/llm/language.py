@@ -216,16 +216,17 @@ def identify_languages(docs: DataFrame, training: DataFrame, order: int = ORDER,
     weights = model.groupBy("pivot").agg(F.count_distinct("size", "gram").alias("n")).where("pivot IS NOT NULL").collect()  # a row a 16-bit code
     pieces = dealt({r["pivot"]: r["n"] * len(langs) for r in weights}, model_rows) or [[0]]
 
-    def index(piece: list[int]):
-        own = model.where(F.col("pivot").isNull() | F.col("pivot").isin(piece)) if len(pieces) > 1 else model
-        return spark.sparkContext.broadcast(sorted_arrays(own, langs, order) | {"pivots": np.array(piece if len(pieces) > 1 else range(1 << 16))})
+    def index(i: int):
+        own = model.where(F.col("pivot").isNull() | F.col("pivot").isin(pieces[i])) if len(pieces) > 1 else model
+        rest = np.setdiff1d(np.arange(1 << 16), [x for p in pieces[1:] for x in p])  # the first piece also scores what no text has
+        return spark.sparkContext.broadcast(sorted_arrays(own, langs, order) | {"pivots": np.array(pieces[i]) if i else rest})
 
     rows = lambda frame: frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("h"))
     asked = rows(docs)
     own = rows(training.where(held | ~F.col("lang").isin(many)).select("lang", "text"))
     before: list[DataFrame] = []
-    for i, piece in enumerate(pieces if langs else []):
-        shared = index(piece)
+    for i in range(len(pieces) if langs else 0):
+        shared = index(i)
         asked, own = _entropies(asked, shared, order), _entropies(own, shared, order)
         if i < len(pieces) - 1:
             asked, own = saved(asked), saved(own)
