@@ -227,6 +227,32 @@ def test_language_edge_cases(spark):
     assert parts == {k: v[0] for k, v in got.items()}
 
 
+def test_language_pieces_and_rejection_of_unseen_texts(spark):
+    """Scores do not depend on the pieces; texts like the training's are kept, other ones rejected, whether or not learned from."""
+    rng = random.Random(3)
+    words = {"aa": ["tara", "mili", "sono", "reda", "kilo", "nuta"], "bb": ["xwq", "zrk", "wxz", "qqr", "kzw", "rrz"]}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    train = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(["aa", "bb"] * 60)] + [(900 + i, "ooo uuu " * 5, "few") for i in range(3)], "doc_id long, text string, lang string")
+    fresh = [(i, text(("aa", "bb")[i % 2])) for i in range(40)] + [(100, "tjfd vbpc hgys " * 9), (101, "ooo uuu ooo"), (102, None)]
+    docs = spark.createDataFrame(fresh, "doc_id long, text string")
+    whole = {r.row.doc_id: r for r in N.identify_languages(docs, train).collect()}
+    assert all(whole[i].lang_pred == ("aa", "bb")[i % 2] for i in range(40))
+    assert sum(whole[i].rejected for i in range(40)) <= 2
+    assert whole[100].rejected and whole[102].rejected and whole[101].lang_pred == "few"
+    cut = {r.row.doc_id: r for r in N.identify_languages(docs, train, model_rows=300).collect()}
+    for k, r in whole.items():
+        assert (cut[k].lang_pred, cut[k].rejected) == (r.lang_pred, r.rejected)
+        assert cut[k].score == pytest.approx(r.score) and (cut[k].entropy is None) == (r.entropy is None)
+        assert r.entropy is None or cut[k].entropy == pytest.approx(r.entropy)
+
+
+def test_characters_dealt_to_pieces():
+    weights = {i: (i * 37) % 100 + 1 for i in range(500)} | {999: 5000}
+    pieces = N.dealt(weights, 400)
+    assert sorted(x for p in pieces for x in p) == sorted(weights) and [999] in pieces
+    assert all(sum(weights[x] for x in p) <= 400 for p in pieces if p != [999])
+
+
 # ------------------------------------------------------------------------------- licenses
 def test_licenses(spark):
     rng = random.Random(6)
