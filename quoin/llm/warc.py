@@ -102,12 +102,14 @@ def derivatives(records: DataFrame) -> DataFrame:
     body = F.when(cut > 0, F.substr(block, cut + 4)).otherwise("")
     row = F.struct(F.lit(0), *[F.col(f"`{c}`").alias(name) for c, name in rest])
     r = records.select(row.alias("row"), "record_id", F.col("payload_digest").alias("source_digest"), head.alias("source_headers"), body.alias("body"))
+    raw = F.transform(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
+    r = r.withColumn("title", F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)).withColumn("links", raw)  # each searched for once
     r = r.withColumn("untagged", _untagged(F.col("body"))).withColumn("decoded", decoded(F.col("untagged"))).withColumn("text", _tidy(F.col("decoded")))
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    title = clean(decoded(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)))
+    title = clean(decoded(F.col("title")))
     status = F.regexp_extract("source_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     kind = clean(F.regexp_extract("source_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1))
-    links = F.transform(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), lambda x: clean(decoded(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
+    links = F.transform("links", lambda x: clean(decoded(x)))
     lines = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("http-status: "), status), F.concat(F.lit("source-content-type: "), kind)), F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)))
     fields = F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n"))
     made = F.array(
