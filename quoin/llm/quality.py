@@ -30,6 +30,7 @@ def features(texts: pa.Array, bits: int = BITS):
     mark, mark_at = hash_words(texts, MARKS)
     same = np.zeros(len(word), np.int64)
     same[1:] = word[1:] == word[:-1]
+    same[at[at < len(word)]] = 0  # the first word of a text repeats none
     shape = np.where(caps == 0, 0, np.where(caps == size, 2, 1)) + 3 * same + 6 * np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), 6)
     shape = mixed(shape.astype(np.uint64) + np.uint64(1 << 40))
     top = np.uint64((1 << bits) - 1)
