@@ -1,8 +1,10 @@
 """Mixing, decontamination, fingerprints, licenses, WARC records, tokens, quality and language."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -131,6 +133,27 @@ def test_sketches_give_differences_back():
         assert sorted(only_a) == sorted(pool[:n].tolist()) and sorted(only_b) == sorted(pool[n + both :].tolist())
 
 
+def test_sketches_of_several_pairs_at_once():
+    rng = np.random.RandomState(5)
+    sets = [[np.unique(rng.randint(1, 2**62, n)).astype(np.uint64) for n in (a, b, both)] for a, b, both in ((0, 0, 0), (3, 2, 40), (0, 900, 5), (700, 0, 0), (1, 1, 0), (15, 15, 2000))]
+    a, b = [np.concatenate([x, both]) for x, _, both in sets], [np.concatenate([y, both]) for _, y, both in sets]
+    of_a, of_b = (np.repeat(np.arange(len(sets)), list(map(len, side))) for side in (a, b))
+    minus = P.Sketches(np.full(len(sets), P.CELLS)).add(np.concatenate(a), of_a).add(np.concatenate(b), of_b, -1)
+    pair, digest, sign = P.differences(np.concatenate(a), of_a, np.concatenate(b), of_b, minus)
+    for i, (x, y, _) in enumerate(sets):
+        assert sorted(digest[(pair == i) & (sign > 0)].tolist()) == x.tolist() and sorted(digest[(pair == i) & (sign < 0)].tolist()) == y.tolist()
+
+
+def test_paragraphs_that_an_edit_keeps():
+    rng = random.Random(1)
+    piece = ["a", "b", "\n", " ", ". ", "! ", "?\t", "\n\n", ".", "  ", "é"]
+    for _ in range(5000):
+        text, following = ("".join(rng.choice(piece) for _ in range(rng.randint(0, 60))) for _ in range(2))
+        same, new = P._same_until(text), P.edited(text, following)
+        for t in (text, new):
+            assert sorted(P._digests([P._hashes(t[:same]) + P._hashes(t[same:])])[0].tolist()) == sorted(P.paragraph_digests(t).tolist())
+
+
 def test_fingerprints_like_brute_force(spark):
     rng = random.Random(8)
     line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(6)) + rng.choice([".", "\n", "! "])
@@ -160,6 +183,78 @@ def test_fingerprints_edge_cases(spark):
 
 
 # ------------------------------------------------------------------------------- quality
+def test_ftrl_by_hand():
+    """Weights and sums of the published update, coordinate by coordinate, against the vector form."""
+    rng = np.random.RandomState(3)
+    rows = [(np.sort(rng.choice(30, rng.randint(1, 8), replace=False)), int(rng.randint(2))) for _ in range(300)]
+    model, z, n = Q.Ftrl(5), [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        if abs(z[i]) <= Q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for index, y in rows:
+        x = rng.rand(len(index))
+        w = [weight(i) for i in index]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        for i, v, wi in zip(index, x, w):
+            g = (p - y) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / Q.ALPHA
+            z[i] += g - sigma * wi
+            n[i] += g * g
+        model.update(index, x, y)
+    assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
+    assert model.weights(np.arange(33)) == pytest.approx([weight(i) for i in range(33)])
+
+
+def test_quality_like_brute_force(spark):
+    """Training on all rows outside the fold and scoring, with n-grams in dictionaries instead of a hashed space."""
+    words = ["good", "Fine", "plain", "BAD", "worse", "x"]
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(120):
+        y = i % 2
+        mark = rng.choice([".", ";", ","]) if y else rng.choice(["!!", "?!", "##"])
+        docs.append((i, " ".join(rng.choice(words[:4] if y else words[2:]) + rng.choice(["", mark]) for _ in range(rng.randint(3, 30)))))
+        labels.append((i, y))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["row"].doc_id: r.score for r in Q.quality_scores(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def grams(text):
+        tokens, marks = re.findall(r"[0-9A-Za-z]+", text), re.findall(r"[^0-9A-Za-z\s]+", text)
+        low = [t.lower() for t in tokens]
+        shape = [(0 if t == t.lower() else 2 if t == t.upper() else 1, j > 0 and low[j] == low[j - 1], min(len(t).bit_length() - 1, 6)) for j, t in enumerate(tokens)]
+        count: dict = {}
+        for kind, (stream, most) in enumerate(((low, 2), (marks, 2), (shape, 3))):
+            for k in range(1, most + 1):
+                for j in range(len(stream) - k + 1):
+                    key = (kind, *stream[j : j + k])
+                    count[key] = count.get(key, 0) + 1
+        norm = max(1.0, math.sqrt(sum(v * v for v in count.values())))
+        return {k: v / norm for k, v in count.items()} | {"constant": 0.5}
+
+    x = {i: grams(t) for i, t in docs}
+    z, n = {}, {}
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        return 0.0 if abs(a) <= Q.L1 else (math.copysign(Q.L1, a) - a) / ((Q.BETA + math.sqrt(n[k])) / Q.ALPHA + Q.L2)
+
+    scored = lambda row: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in row.items())))
+    fit = [(x[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    for epoch in range(Q.EPOCHS):
+        for j in np.random.RandomState(epoch).permutation(len(fit)):
+            row, y = fit[j]
+            p, w = scored(row), {k: weight(k) for k in row}
+            for k, v in row.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / Q.ALPHA * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    assert len(got) == len(docs)
+    assert max(abs(got[i] - scored(x[i])) for i, _ in docs) < 1e-4
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
