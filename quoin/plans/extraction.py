@@ -10,40 +10,33 @@ from quoin.plans.fixtures import duck, fixture, table
 from quoin.plans.questions import any_of, lit
 from quoin.plans.registry import query
 
-REPLIES = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Here: ```json{body}``` done' WHEN 1 THEN '{body}' WHEN 2 THEN 'x {trail} y' ELSE 'no json here' END AS reply FROM documents"""
-
-
-def _body(trailing: str = "") -> list:
-    return ['{"entities":[{"id":"e', '","type":"LUAT","text":"t', '","confidence":0.5}], "relations":[{"source":"e', f'","target":"x","type":"REF"}}]{trailing}}}']
-
-
 def _replies(spark, sf):
-    d = F.col("doc_id").cast("string")
-    make = lambda t: F.concat(*[x for i, p in enumerate(_body(t)) for x in ([F.lit(p)] if i == 3 else [F.lit(p), d])])
-    k = F.col("doc_id") % 4
-    reply = F.when(k == 0, F.concat(F.lit("Here: ```json"), make(""), F.lit("``` done"))).when(k == 1, make("")).when(k == 2, F.concat(F.lit("x "), make(","), F.lit(" y"))).otherwise("no json here")
-    return table(spark, sf, "documents").select("doc_id", reply.alias("reply"))
+    return fixture(spark, sf, "replies").select("doc_id", "reply")
 
 
-@query("N01", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'no json here' ELSE '{\"entities\":[{\"id\":\"e' || doc_id || '\",\"type\":\"LUAT\",\"text\":\"t' || doc_id || '\",\"confidence\":0.5}], \"relations\":[{\"source\":\"e' || doc_id || '\",\"target\":\"x\",\"type\":\"REF\"}]' || CASE doc_id % 4 WHEN 2 THEN ',' ELSE '' END || '}' END AS json FROM documents")
+@query("N01", duck("replies") + "SELECT doc_id, CASE style WHEN 2 THEN left(object, -1) || ', }' WHEN 3 THEN replace(object, chr(34), chr(39)) WHEN 5 THEN reply ELSE object END AS json FROM replies")
 def n01(spark, sf):
     return _replies(spark, sf).select("doc_id", X.clean_json_text(F.col("reply")).alias("json"))
 
 
-@query("N02", "SELECT doc_id, '{\"a\": [' || doc_id || ', 2], \"b\": \"c\"}' AS json FROM documents")
+@query("N02", duck("replies") + "SELECT doc_id, object AS json FROM replies")
 def n02(spark, sf):
-    raw = F.concat(F.lit("{'a': ["), "doc_id", F.lit(", 2, ], 'b': 'c',\n}"))
-    return table(spark, sf, "documents").select("doc_id", X.fix_json(raw).alias("json"))
+    # a comma and a line end before each bracket; every other object in single quotes
+    loose = F.replace("object", F.lit("]"), F.lit(",\n ]"))
+    loose = F.when(F.col("style") % 2 == 0, F.replace(loose, F.lit('"'), F.lit("'"))).otherwise(loose)
+    return fixture(spark, sf, "replies").select("doc_id", X.fix_json(loose).alias("json"))
 
 
-@query("N03", "SELECT doc_id, doc_id % 4 = 3 AS error, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS n FROM documents")
+@query("N03", duck("replies") + "SELECT doc_id, style = 5 AS error, CASE WHEN style = 5 THEN 0 ELSE n END AS n FROM replies")
 def n03(spark, sf):
     return X.parse_replies(_replies(spark, sf)).select("doc_id", "error", F.coalesce(F.nullif(F.size("parsed.entities"), F.lit(-1)), F.lit(0)).alias("n"))
 
 
-@query("N04", "SELECT doc_id, doc_id || '_e' || doc_id AS id, 'LUAT' AS type, 't' || doc_id AS text, 0.5::DOUBLE AS confidence FROM documents WHERE doc_id % 4 <> 3")
+@query("N04", duck("reply_items") + "SELECT doc_id, 'entity' AS part, doc_id || '_' || id AS id, type, text, confidence::DOUBLE AS confidence FROM reply_items WHERE style < 5 UNION ALL SELECT doc_id, 'relation', doc_id || '_' || id, 'REF', doc_id || '_' || target, NULL FROM reply_items WHERE style < 5 AND related")
 def n04(spark, sf):
-    return X.explode_extractions(X.parse_replies(_replies(spark, sf)))[0]
+    entities, relations = X.explode_extractions(X.parse_replies(_replies(spark, sf)))
+    relations = relations.select("doc_id", F.lit("relation").alias("part"), F.col("src").alias("id"), "type", F.col("dst").alias("text"), F.lit(None).cast("double").alias("confidence"))
+    return entities.select("doc_id", F.lit("entity").alias("part"), "id", "type", "text", "confidence").unionByName(relations)
 
 
 @query("N05", "SELECT doc_id, lang, source FROM documents")
@@ -53,32 +46,39 @@ def n05(spark, sf):
     return out.select("doc_id", F.col("u")["lang"].alias("lang"), F.col("u")["source"].alias("source"))
 
 
+SECOND = " UNION ALL SELECT DISTINCT doc_id, 1, {} FROM reply_items WHERE style % 2 = 0"
+
+
 def _tabled(spark, sf):
-    d = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("before\n| tên | giá |\n|---|---|\n| a"), d, F.lit(" | 1 |\n| b |\nend\n| x |\n|---|\n| y |\nz"))
-    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return fixture(spark, sf, "piped").select("doc_id", "text")
 
 
-@query("N06", "SELECT doc_id, 0 AS no, 'tên|giá' AS columns, 2 AS n_rows FROM documents UNION ALL SELECT doc_id, 1, 'x', 1 FROM documents")
+@query("N06", duck("reply_items") + "SELECT doc_id, 0 AS no, CASE WHEN style < 3 THEN 'Mã|Tên|Giá' ELSE 'Mã|Tên' END AS columns, count(*) AS n_rows FROM reply_items GROUP BY doc_id, style" + SECOND.format("'Ghi chú', 1"))
 def n06(spark, sf):
     return X.extract_tables(_tabled(spark, sf)).select("doc_id", "no", F.array_join("columns", "|").alias("columns"), F.size("rows").alias("n_rows"))
 
 
-@query("N07", "SELECT doc_id, 0 AS no, 0 AS row, 'tên' AS \"column\", 'a' || doc_id AS cell FROM documents UNION ALL SELECT doc_id, 0, 0, 'giá', '1' FROM documents UNION ALL SELECT doc_id, 0, 1, 'tên', 'b' FROM documents UNION ALL SELECT doc_id, 0, 1, 'giá', '' FROM documents UNION ALL SELECT doc_id, 1, 0, 'x', 'y' FROM documents")
+@query("N07", duck("reply_items") + """SELECT doc_id, 0 AS no, i AS row, c AS "column", CASE c WHEN 'Mã' THEN id WHEN 'Tên' THEN CASE WHEN short THEN '' ELSE text END ELSE CASE WHEN short THEN '' ELSE price::VARCHAR END END AS cell
+        FROM (SELECT *, unnest(CASE WHEN style < 3 THEN ['Mã', 'Tên', 'Giá'] ELSE ['Mã', 'Tên'] END) AS c FROM reply_items)""" + SECOND.format("0, 'Ghi chú', 'n' || doc_id"))
 def n07(spark, sf):
     return X.tables_as_records(X.extract_tables(_tabled(spark, sf)))
 
 
-@query("N08", "SELECT doc_id, 0 AS no, '| tên | giá |' || chr(10) || '|---|---|' || chr(10) || '| a' || doc_id || ' | 1 |' || chr(10) || '| b |' AS markdown FROM documents UNION ALL SELECT doc_id, 1, '| x |' || chr(10) || '|---|' || chr(10) || '| y |' FROM documents")
+@query("N08", duck("reply_items") + """SELECT doc_id, 0 AS no, CASE WHEN style < 3 THEN '| Mã | Tên | Giá |' || chr(10) || '|---|---|---|' ELSE '| Mã | Tên |' || chr(10) || '|---|---|' END || chr(10)
+        || string_agg(CASE WHEN short THEN '| ' || id || ' |' WHEN style < 3 THEN '| ' || id || ' | ' || text || ' | ' || price || ' |' ELSE '| ' || id || ' | ' || text || ' |' END, chr(10) ORDER BY i) AS markdown FROM reply_items GROUP BY doc_id, style""" + SECOND.format("'| Ghi chú |' || chr(10) || '|---|' || chr(10) || '| n' || doc_id || ' |'"))
 def n08(spark, sf):
     return X.table_to_markdown(X.extract_tables(_tabled(spark, sf)))
 
 
-@query("N09", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'yes' || doc_id WHEN 1 THEN 'Dựa trên thông tin có sẵn: short' ELSE repeat('long ', 12) || 'x' END AS answer FROM documents")
+LEAD = "'Dựa trên thông tin có sẵn: ' || "
+
+
+@query("N09", duck("answers") + f"SELECT doc_id, CASE WHEN style < 2 THEN t WHEN style = 3 THEN {LEAD}brief WHEN length(bare) < 50 THEN {LEAD}bare ELSE bare END AS answer FROM (SELECT *, regexp_replace(t || chr(10), '\\n\\s*$', '') AS bare FROM answers)")
 def n09(spark, sf):
-    d, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('```json\n{"answer": "yes'), d, F.lit('"}\n```'))).when(k == 1, "```\nshort\n```").otherwise(F.concat(F.repeat(F.lit("long "), F.lit(12)), F.lit("x")))
-    return table(spark, sf, "documents").select("doc_id", X.json_answer(raw).alias("answer"))
+    fenced = lambda c: F.concat(F.lit("```\n"), c, F.lit("\n```"))
+    k, body = F.col("style"), F.concat(F.lit('"answer": "'), "escaped", F.lit('"}'))
+    raw = F.when(k == 0, F.concat(F.lit("```json\n{"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit('Vâng: {"n": 1, '), body, F.lit(" hết"))).when(k == 2, fenced(F.col("t"))).otherwise(fenced(F.col("brief")))
+    return fixture(spark, sf, "answers").select("doc_id", X.json_answer(raw).alias("answer"))
 
 
 @query("N12", "SELECT DISTINCT 'O' || l_orderkey AS src, 'P' || l_partkey AS dst, upper(CASE WHEN l_linenumber % 2 = 0 THEN 'ref' ELSE 'has' END) AS type FROM lineitem")
@@ -129,13 +129,32 @@ def d01(spark, sf):
     return X.remove_invalid_changes(changes, documents).select(F.col("doc_id").alias("src"), F.col("target_article").alias("dst"))
 
 
-@query("D02", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'chapter' ELSE 'topic' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN '77' WHEN 1 THEN '' ELSE 'tuyển sinh' END AS detected FROM orders WHERE o_orderkey % 4 < 3")
+_WORDS = [w for _, words in V.TOPICS for w in words]
+_TITLES = [t for t, _ in V.TOPICS] + ["Khác"]
+
+
+def _hits(words) -> str:
+    return "(" + " + ".join(f"contains(head, {lit(w)})::INT" for w in words) + ")"
+
+
+_EXPECTED = "CASE " + " ".join(f"WHEN {any_of('title', words)} THEN {lit(t)}" for t, words in V.TOPICS) + " END"
+_OWN = "CASE expected " + " ".join(f"WHEN {lit(t)} THEN {_hits(words)}" for t, words in V.TOPICS) + " END"
+_OTHER = "CASE " + " ".join(f"WHEN expected <> {lit(t)} AND {_hits(words)} >= 2 AND {_hits(words)} > own THEN {lit(t)}" for t, words in V.TOPICS) + " END"
+#: A clause's line: another article's heading, an article named within it, a chapter's heading, or words of two topics.
+_LINE = f"CASE WHEN l_partkey % 31 = 0 THEN 'Chương II. Của ' || doc_id WHEN l_partkey % 6 = 0 THEN '  Điều ' || l_partkey % 20 || '. Khác' WHEN l_partkey % 6 = 1 THEN 'theo Điều ' || l_partkey % 20 || '. Như trên' ELSE {{}} END"
+
+
+@query("D02", duck("clauses") + f"""SELECT DISTINCT id, 'article' AS kind, (l_partkey % 20)::VARCHAR AS detected FROM (SELECT *, 'dieu_' || article || '_' || doc_id AS id FROM clauses) WHERE l_partkey % 31 > 0 AND l_partkey % 6 = 0 AND l_partkey % 20 <> article
+        UNION ALL SELECT DISTINCT 'dieu_' || article || '_' || doc_id, 'chapter', '' FROM clauses WHERE l_partkey % 31 = 0
+        UNION ALL SELECT id, 'topic', other FROM (SELECT id, {_OTHER} AS other FROM (SELECT *, {_OWN} AS own FROM (SELECT *, {_EXPECTED} AS expected FROM
+            (SELECT 'dieu_' || article || '_' || doc_id AS id, lower([{', '.join(map(lit, _TITLES))}][(doc_id + article) % {len(_TITLES)} + 1]) AS title, lower(substr(string_agg({_LINE.format(f"[{', '.join(map(lit, _WORDS))}][l_partkey % {len(_WORDS)} + 1] || ', ' || [{', '.join(map(lit, _WORDS))}][l_partkey * 7 % {len(_WORDS)} + 1]")}, chr(10) ORDER BY clause), 1, 500)) AS head FROM clauses GROUP BY doc_id, article)))) WHERE other IS NOT NULL""")
 def d02(spark, sf):
-    k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, "abc\nĐiều 77. xyz").when(k % 4 == 1, "văn bản CHƯƠNG II. khác").when(k % 4 == 2, "xét tuyển và tuyển sinh, nộp hồ sơ tuyển sinh").otherwise("không có gì")
-    title = F.when(k % 4 == 2, "Học phí").otherwise("Khác")
-    a = table(spark, sf, "orders").select(k, F.concat(F.lit("dieu_"), k % 50).alias("id"), title.alias("title"), text.alias("text"))
-    return X.content_bleeding(a.withColumn("id", F.concat("id", F.lit("_"), k))).select(F.element_at(F.split("id", "_"), -1).cast("long").alias("o_orderkey"), "kind", "detected")
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
+    k = F.col("l_partkey")
+    rows = fixture(spark, sf, "clauses").withColumn("words", F.concat(pick(_WORDS, k), F.lit(", "), pick(_WORDS, k * 7))).withColumn("line", F.expr(_LINE.format("words")))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("clause", "line"))).getField("line"), "\n")
+    articles = rows.groupBy("doc_id", "article").agg(text.alias("text"))
+    return X.content_bleeding(articles.select(F.concat(F.lit("dieu_"), "article", F.lit("_"), "doc_id").alias("id"), pick(_TITLES, F.col("doc_id") + F.col("article")).alias("title"), "text"))
 
 
 _ANS = "SELECT doc_id, text AS answer, doc_id % 6 AS n, (doc_id % 10) / 10.0::DOUBLE AS s FROM documents"

@@ -6,6 +6,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+def _joined(item: str) -> str:
+    """The items of a group, by number, with commas between."""
+    return "substr(" + " || ".join(f"coalesce(max(CASE WHEN i = {i} THEN ',' || {item} END), '')" for i in range(4)) + ", 2)"
+
+
+def _escaped(text: str) -> str:
+    """A text as it stands in a JSON string."""
+    for code, mark in ((92, "chr(92)"), (34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+        text = f"replace({text}, chr({code}), chr(92) || {mark})"
+    return text
+
+
 FIXTURES = {
     # questions about statutes, one an order, in ten spellings
     "legal_queries": """SELECT o_orderkey AS query_id, CASE o_orderkey % 10
@@ -54,9 +66,26 @@ FIXTURES = {
         UNION ALL SELECT src, dst, type, 1.0E0 FROM amendments""",
     "amendments": """SELECT 'O' || o_orderkey AS src, 'O' || prev AS dst, CASE o_orderkey % 4 WHEN 0 THEN 'THAY_THE' WHEN 1 THEN 'SUA_DOI' WHEN 2 THEN 'BO_SUNG' ELSE 'BAI_BO' END AS type, o_orderdate AS effective
         FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}) o WHERE prev IS NOT NULL""",
+    # what a model extracted from each four lines of an order
+    "reply_items": """SELECT l_orderkey * 100 + CAST(floor(k / 4) AS BIGINT) AS doc_id, l_orderkey % 6 AS style, k % 4 AS i, 'e' || l_partkey || '_' || k AS id,
+        CASE l_returnflag WHEN 'A' THEN 'LUAT' WHEN 'R' THEN 'DIEU' ELSE 'KHAI_NIEM' END AS type, 'Mặt ' || chr(123) || 'hàng ' || l_partkey || chr(125) || ', số ' || CAST(l_quantity AS BIGINT) AS text,
+        '0.' || l_partkey % 10 AS confidence, 'p' || l_suppkey AS target, l_partkey % 3 = 0 AS related, l_partkey % 5 = 0 AS short, CAST(l_quantity AS BIGINT) AS price
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS k FROM {lineitem}) x""",
+    "reply_objects": f"""SELECT doc_id, style, count(*) AS n, chr(123) || '"entities": [' || {_joined("""chr(123) || '"id": "' || id || '", "type": "' || type || '", "text": "' || text || '", "confidence": ' || confidence || chr(125)""")}
+        || '], "relations": [' || coalesce({_joined("""CASE WHEN related THEN chr(123) || '"source": "' || id || '", "target": "' || target || '", "type": "REF"' || chr(125) END""")}, '') || ']' AS body FROM reply_items GROUP BY doc_id, style""",
+    # replies around these objects: fenced, bare, with a comma too many, with single quotes, without an object
+    "replies": """SELECT doc_id, style, n, body || chr(125) AS object, CASE style WHEN 0 THEN 'Kết quả: ```json' || chr(10) || body || chr(125) || chr(10) || '``` xong ' || doc_id WHEN 1 THEN '  ' || body || chr(125) || ' '
+        WHEN 2 THEN 'Đây là ' || body || ', ' || chr(125) || ' hết' WHEN 3 THEN replace(body || chr(125), chr(34), chr(39)) WHEN 4 THEN '```' || chr(10) || body || chr(125) || chr(10) || '```'
+        ELSE 'không có dữ liệu cho đơn ' || doc_id END AS reply FROM reply_objects""",
+    # a pipe table of the same lines, for half of them with a column less, for half a second table
+    "piped": f"""SELECT doc_id, style, 'Đoạn ' || doc_id || chr(10) || CASE WHEN style < 3 THEN '| Mã | Tên|Giá |' || chr(10) || '|---|:---|---:|' ELSE '|Mã | Tên |' || chr(10) || '| --- | --- |' END || chr(10)
+        || replace({_joined("""'| ' || id || CASE WHEN short THEN ' |' ELSE ' |' || text || CASE WHEN style < 3 THEN ' |  ' || price || ' |' ELSE '|' END END || chr(10)""")}, chr(10) || ',', chr(10))
+        || 'hết | không phải bảng' || chr(10) || CASE WHEN style % 2 = 0 THEN '| Ghi chú |' || chr(10) || '|---|' || chr(10) || '| n' || doc_id || ' |' || chr(10) || 'z' ELSE '' END AS text FROM reply_items GROUP BY doc_id, style""",
+    "answers": f"""SELECT doc_id, doc_id % 4 AS style, t, {_escaped("t")} AS escaped, coalesce(source, '?') || ' ' || doc_id AS brief
+        FROM (SELECT doc_id, source, replace(text, chr(125), ')') AS t FROM {{documents}}) x""",
     "page_nodes": """SELECT doc_id % 50 AS doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS page, 'n' || (doc_id % 7) AS node_id, text AS piece, 'T' || (doc_id % 13) AS title FROM {documents}""",
 }
-NEEDS = {"clauses": ["articles"], "statute_lines": ["articles", "clauses"], "numbered_lines": ["articles", "clauses", "statute_lines"], "edges": ["amendments"]}
+NEEDS = {"reply_objects": ["reply_items"], "replies": ["reply_objects"], "piped": ["reply_items"], "clauses": ["articles"], "statute_lines": ["articles", "clauses"], "numbered_lines": ["articles", "clauses", "statute_lines"], "edges": ["amendments"]}
 
 
 def _with(*names: str) -> list[str]:

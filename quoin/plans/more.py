@@ -73,11 +73,16 @@ def f30(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", mapped(word, V.AMENDMENT_TYPES, "SUA_DOI").alias("type"))
 
 
-@query("N10", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 's' || doc_id WHEN 1 THEN 'Tóm lại, xong' ELSE 'chưa rõ' END AS step, CASE doc_id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS confidence, doc_id % 3 < 2 AS answerable FROM documents")
+_DONE = f"regexp_matches(lower(reply), {lit('|'.join(V.COMPLETION))})"
+
+
+@query("N10", duck("answers") + f"SELECT doc_id, CASE WHEN style < 2 THEN t ELSE substr(reply, 1, 500) END AS step, CASE WHEN style = 0 THEN ('0.' || doc_id % 10)::DOUBLE WHEN style = 1 THEN 0.5 WHEN {_DONE} THEN 0.75 ELSE 0.5 END AS confidence, CASE style WHEN 0 THEN doc_id % 3 = 0 WHEN 1 THEN false ELSE {_DONE} END AS answerable FROM (SELECT *, CASE style WHEN 2 THEN t || ' Tóm lại, xong.' ELSE brief END AS reply FROM answers WHERE t IS NOT NULL)")
 def n10(spark, sf):
-    k = F.col("doc_id") % 3
-    reply = F.when(k == 0, F.concat(F.lit('so: {"reasoning_step": "s'), F.col("doc_id"), F.lit('", "confidence": 0.9, "can_answer_now": true} end'))).when(k == 1, "Tóm lại, xong").otherwise("chưa rõ")
-    return table(spark, sf, "documents").select("doc_id", parse_step_reply(reply).alias("s")).select("doc_id", "s.*")
+    k = F.col("style")
+    step = F.concat(F.lit('{"reasoning_step": "'), "escaped", F.lit('"'))
+    sure = F.concat(F.lit(', "confidence": 0.'), F.col("doc_id") % 10, F.lit(', "can_answer_now": '), (F.col("doc_id") % 3 == 0).cast("string"))
+    reply = F.when(k == 0, F.concat(F.lit("so: "), step, sure, F.lit("} end"))).when(k == 1, F.concat(step, F.lit("}"))).when(k == 2, F.concat("t", F.lit(" Tóm lại, xong."))).otherwise(F.col("brief"))
+    return fixture(spark, sf, "answers").where("t IS NOT NULL").select("doc_id", parse_step_reply(reply).alias("s")).select("doc_id", "s.*")
 
 
 @query("S02", "SELECT url, 'T' || page_id AS title, length(html) AS length, html AS body FROM pages")

@@ -90,10 +90,13 @@ def r20(spark, sf):
     return R.source_list(rows, F.when(d % 3 == 0, F.array(F.concat(F.lit("m"), d))).otherwise(none), F.when(d % 3 == 1, F.array(F.concat(F.lit("s"), d))).otherwise(none))
 
 
-@query("P08", "SELECT 'O' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'number' WHEN o_orderkey % 3 = 1 THEN 'number,title' ELSE '' END AS missing FROM orders")
+@query("P08", "SELECT 'O' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN concat_ws(',', CASE WHEN o_custkey % 3 = 0 THEN 'number' END, CASE WHEN o_orderkey % 2 = 0 THEN 'title' END) WHEN 'O' THEN CASE WHEN o_custkey % 5 > 0 THEN 'id' ELSE '' END ELSE '' END AS missing FROM orders")
 def p08(spark, sf):
-    k = F.col("o_orderkey")
-    nodes = table(spark, sf, "orders").select(F.concat(F.lit("O"), k).alias("id"), F.when(k % 3 == 2, "OTHER").otherwise("DIEU").alias("label"), F.when(k % 3 == 0, F.create_map(F.lit("title"), F.lit("x"))).otherwise(F.create_map(F.lit("y"), F.lit("x"))).alias("props"))
+    k, c, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    has = lambda name, when, value: F.when(when, F.create_map(F.lit(name), value.cast("string"))).otherwise(F.create_map())
+    props = F.map_concat(has("title", k % 2 > 0, F.col("o_orderpriority")), has("number", c % 3 > 0, k), has("id", c % 5 == 0, c), has("y", k % 7 == 0, c))
+    label = F.when(status == "F", "DIEU").when(status == "O", "LUAT").otherwise("OTHER")
+    nodes = table(spark, sf, "orders").select(F.concat(F.lit("O"), k).alias("id"), label.alias("label"), props.alias("props"))
     return R.missing_properties(nodes, {"DIEU": ["title", "number"], "LUAT": ["id"]}).select("id", F.array_join("missing", ",").alias("missing"))
 
 
@@ -152,11 +155,11 @@ def c17(spark, sf):
     return R.embed(docs, R.feature_vector()).select("doc_id", "embedding")
 
 
-@query("F19", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Tiêu đề' WHEN 1 THEN repeat('mở đầu ', 20)[:139] WHEN 2 THEN repeat('x', 500) || '...' ELSE 'không có gì' END AS intro FROM orders")
+@query("F19", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN text WHEN length(intro) < 50 THEN 'Chương ' || source WHEN length(intro) > 500 THEN substr(intro, 1, 500) || '...' ELSE intro END AS intro FROM (SELECT *, trim(CASE doc_id % 3 WHEN 0 THEN text ELSE substr(text, 1, doc_id % 120) END) AS intro FROM documents)")
 def f19(spark, sf):
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, "Ngắn. Điều 1. abc").when(k == 1, F.concat(F.repeat(F.lit("mở đầu "), F.lit(20)), F.lit("Điều 7 xyz"))).when(k == 2, F.concat(F.repeat(F.lit("x"), F.lit(700)), F.lit(" Điều 9"))).otherwise("không có gì")
-    return table(spark, sf, "orders").select("o_orderkey", L.chapter_intro(text, F.lit("Tiêu đề")).alias("intro"))
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat("text", F.lit(" Điều "), F.col("doc_id"), F.lit(". Phạm vi. Điều 2."))).when(k == 1, F.concat(F.substr("text", F.lit(1), F.col("doc_id") % 120), F.lit("Điều  12 x"))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", L.chapter_intro(text, F.concat(F.lit("Chương "), "source")).alias("intro"))
 
 
 # Lookups: concepts and their articles, documents and amendments.

@@ -126,11 +126,14 @@ def f15(spark, sf):
     return table(spark, sf, "part").select("p_partkey", L.normalize_node_id(raw).alias("node"))
 
 
-@query("F16", "SELECT o_orderkey, o_orderkey || '/QĐ-ĐHCNTT' AS signature FROM orders")
+@query("F16", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN o_custkey ELSE o_orderkey END || '/QĐ-ĐHCNTT' AS signature FROM orders")
 def f16(spark, sf):
-    k = F.col("o_orderkey").cast("string")
-    title = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Quyết định số "), k)).when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit("/QĐ-ĐHCNTT về việc")))
-    return table(spark, sf, "orders").select("o_orderkey", L.document_signature(title, F.concat(k, F.lit("-qd-dhcntt.pdf"))).alias("signature"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    year = F.year("o_orderdate")  # numbers that are none of a decision
+    spelt = [F.concat(F.lit("Quyết định số "), k, F.lit(" năm "), year), F.concat(k, F.lit("/QĐ-ĐHCNTT về việc "), c), F.concat(F.lit("Ban hành kèm "), k, F.lit("/qd-dhcntt ngày "), year), F.concat(F.lit("QUYẾT ĐỊNH "), k), F.concat(F.lit("Theo QĐ-"), k, F.lit(" và năm "), year), F.concat(F.lit("Thông báo "), year)]
+    title = F.element_at(F.array(*spelt), (k % 6 + 1).cast("int"))
+    files = F.when(k % 2 == 0, F.concat(c, F.lit("_QD_DHCNTT.docx"))).otherwise(F.concat(c, F.lit("-qd-dhcntt.pdf")))
+    return table(spark, sf, "orders").select("o_orderkey", L.document_signature(title, files).alias("signature"))
 
 
 @query("F17", duck("legal_queries") + f"SELECT query_id, regexp_matches(lower(text || ' ' || CASE WHEN query_id % 5 = 0 THEN 'Sửa đổi Điều 2' ELSE '' END), '{V.AMENDING}') AS amends FROM legal_queries")
@@ -150,10 +153,13 @@ def f20(spark, sf):
     return fixture(spark, sf, "entities").select("entity_id", L.normalize_entity(F.col("text")).alias("normalized"))
 
 
-@query("F21", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'IT' || p_partkey ELSE 'CNTT' END AS id FROM part")
+@query("F21", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 'HOC_KY_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_partkey AS id FROM part")
 def f21(spark, sf):
-    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("MON_HOC_(IT"), "p_partkey", F.lit(")_"))).otherwise("KHOA_CNTT")
-    return table(spark, sf, "part").select("p_partkey", L.clean_entity_id(raw).alias("id"))
+    k = F.col("p_partkey")
+    prefix = F.element_at(F.array(*map(F.lit, (*V.ID_PREFIXES, "HOC_KY_"))), (k % 6 + 1).cast("int"))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k)
+    name = F.when(k % 6 == 5, name).when(k % 4 == 0, F.concat(F.lit("("), name, F.lit(")_"))).when(k % 4 == 1, F.concat(F.lit("__"), name)).otherwise(name)
+    return table(spark, sf, "part").select("p_partkey", L.clean_entity_id(F.concat(prefix, name)).alias("id"))
 
 
 @query("F24", "SELECT doc_id, greatest(1, floor(length(text) / 3000))::INT AS pages FROM documents")
