@@ -1,10 +1,13 @@
 """Steps that were made more often than once, or grew faster than their input."""
 
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from quoin.functions import questions as Q
+from quoin.functions import texts as T
 from quoin.functions import vocabulary as V
 from quoin.operators import structure as C
 from quoin.plans import registry
@@ -28,10 +31,35 @@ def test_abbreviations_are_looked_up_once(spark, sf):
 
 def test_article_chunks_are_cut_once(spark):
     colon = "Mở đầu có hơn năm mươi ký tự để làm một đoạn riêng, Chương I. Chung: x Điều 1. Một: a：b Điều 12. Hai： c Điều 3. Ba không có"
-    rows = [(1, colon), (2, "Điều 1. Không có dấu " * 9), (3, None), (4, ""), (5, "Điều 7: bảy")]
+    rows = [(1, colon), (2, "Điều 1. Không có dấu " * 9), (3, None), (5, "Điều 7: bảy")]
     chunks = C.article_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted((r.doc_id, r.no, r.kind, r.article, r.chapter, r.text) for r in chunks.collect())
     first = colon[: colon.index("Điều 1.")].strip()
     assert got[:3] == [(1, 0, "other", None, "Chương I. Chung:", first), (1, 1, "article", "1", "Chương I. Chung:", "Điều 1. Một: a：b"), (1, 2, "article", "12", "Chương I. Chung:", "Điều 12. Hai： c Điều 3. Ba không có")]
     assert got[3:] == [(2, 0, "other", None, None, rows[1][1].strip()), (5, 0, "article", "7", None, "Điều 7: bảy")]
     assert optimized(chunks).count("regexp_extract_all") == 1
+
+
+def test_pieces_are_joined_as_one_by_one(spark):
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("ab đ") for _ in range(n))
+    for _ in range(40):
+        base, pieces = [word(draw.choice((1, 9, 30, 90, 200))) for _ in range(30)], []
+        for _ in range(60):  # whole ones, parts of them, and parts across the blank between two
+            of = draw.choice((draw.choice(base), " ".join(pieces[-3:])))
+            start = draw.randint(0, len(of))
+            pieces.append(draw.choice((of, of[start : draw.randint(start, len(of))])))
+        text = ""
+        for piece in pieces:
+            text = piece if text == "" else text if piece in text else f"{text} {piece}"
+        assert T.joined_once(pieces) == text
+    rows = [(1, 1, "n", "", "a"), (1, 2, "n", "xy", "bb"), (1, 3, "n", "x", "c"), (1, 4, "n", "z", "d"), (1, 5, "n", "y z", "e"), (2, 1, "n", None, "f"), (2, 2, "n", "q", "g")]
+    merged = C.merge_pages(spark.createDataFrame(rows, "doc_id long, page long, node_id string, piece string, title string"))
+    assert {(r.doc_id, r.text, r.title) for r in merged.collect()} == {(1, "xy z", "bb"), (2, None, "g")}
+
+
+def test_joining_grows_with_the_text():
+    pieces = [f"{i} " + "x" * 2000 for i in range(4000)]  # a search a piece would go through 16 GB
+    start = time.process_time()
+    assert T.joined_once(pieces) == " ".join(pieces)
+    assert time.process_time() - start < 15
