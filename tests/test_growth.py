@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quoin.functions import questions as Q
 from quoin.functions import texts as T
 from quoin.functions import vocabulary as V
+from quoin.operators import extraction as X
 from quoin.operators import structure as C
 from quoin.plans import registry
 
@@ -63,3 +64,14 @@ def test_joining_grows_with_the_text():
     start = time.process_time()
     assert T.joined_once(pieces) == " ".join(pieces)
     assert time.process_time() - start < 15
+
+
+def test_replies_are_parsed_once(spark, sf):
+    rows = [(1, '{"entities": [{"id": "a", "type": "T", "text": "x", "confidence": 0.5}], "relations": [{"source": "a", "target": "b", "type": "REF"}]}'), (2, "{'entities': [{'id': 'c', 'type': 'T'}],}"), (3, "nothing"), (4, None), (5, '{"relations": []}')]
+    parsed = X.parse_replies(spark.createDataFrame(rows, "doc_id long, reply string"))
+    assert {(r.doc_id, r.error) for r in parsed.collect()} == {(1, False), (2, False), (3, True), (4, True), (5, False)}
+    got = {tuple(r) for r in X.extraction_parts(parsed).collect()}
+    assert got == {(1, "entity", "1_a", "T", "x", 0.5), (1, "relation", "1_a", "REF", "1_b", None), (2, "entity", "2_c", "T", None, None)}
+    entities, relations = X.explode_extractions(parsed)
+    assert entities.count() == 2 and relations.count() == 1
+    assert optimized(registry.QUERIES["N04"](spark, sf)).count("from_json") == 2 and optimized(registry.QUERIES["N03"](spark, sf)).count("from_json") == 2
