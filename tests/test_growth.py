@@ -1,17 +1,23 @@
 """Steps that were made more often than once, or grew faster than their input."""
 
+import os
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quoin.functions import questions as Q
 from quoin.functions import texts as T
 from quoin.functions import vocabulary as V
 from quoin.operators import extraction as X
+from quoin.operators import search as S
 from quoin.operators import structure as C
 from quoin.plans import registry
+from quoin.plans import more  # registry loads it
 
 
 def optimized(df):
@@ -75,3 +81,28 @@ def test_replies_are_parsed_once(spark, sf):
     entities, relations = X.explode_extractions(parsed)
     assert entities.count() == 2 and relations.count() == 1
     assert optimized(registry.QUERIES["N04"](spark, sf)).count("from_json") == 2 and optimized(registry.QUERIES["N03"](spark, sf)).count("from_json") == 2
+
+
+def test_vectors_are_multiplied_in_blocks():
+    draw = np.random.RandomState(5)
+    q, rows = S._unit(draw.standard_normal((3000, 8)).round(1)), draw.standard_normal((3000, 8)).round(1)
+    rows[7], rows[100:140] = np.nan, rows[0]  # ties, and one that is no vector
+    vec = draw.permutation(3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(vec), pa.array(list(rows))], ["vec_id", "embedding"])
+    tracemalloc.start()
+    at, found, score = S._best(q, 10, [batch.slice(0, 2900), batch.slice(2900)])
+    assert tracemalloc.get_traced_memory()[1] < 72e6  # all products at once would take that much
+    tracemalloc.stop()
+    scores = np.round(q @ S._unit(rows).T, 6)
+    for i in range(0, 3000, 97):
+        order = np.lexsort((vec, -scores[i]))[:10]
+        assert found[at == i].tolist() == vec[order].tolist() and np.allclose(score[at == i], scores[i][order], atol=2e-6)
+    few = [batch.slice(0, 4), batch.slice(5, 4)]  # fewer than k, with the one that is none as the last
+    at, found, score = S._best(q[:2], 10, few)
+    assert len(found) == 16 and np.isnan(score[at == 0][-1]) and found[7] == vec[7]
+
+
+def test_files_stand_in_one_folder(spark):
+    path = more._filed(spark.range(40).selectExpr("id AS key", "concat('v', id, chr(10), 'w') AS value"))
+    assert {r.value for r in spark.read.text(path, wholetext=True).collect()} == {f"v{i}\nw\n" for i in range(40)}
+    assert not [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("key=")]
