@@ -123,9 +123,9 @@ def g01(spark, sf):
 
 
 def _filed(rows: DataFrame, form: str = "text") -> str:
-    """A folder with a file for each ``rows(key, value)``."""
+    """A folder with a file for each ``rows(key, value)``; without folders in it, which Spark would list one by one."""
     path = shared_dir(rows.sparkSession)
-    rows.repartition("key").write.partitionBy("key").format(form).save(path)
+    rows.repartition("key").select("value").write.option("maxRecordsPerFile", 1).format(form).save(path)
     return path
 
 
