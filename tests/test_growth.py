@@ -106,3 +106,8 @@ def test_files_stand_in_one_folder(spark):
     path = more._filed(spark.range(40).selectExpr("id AS key", "concat('v', id, chr(10), 'w') AS value"))
     assert {r.value for r in spark.read.text(path, wholetext=True).collect()} == {f"v{i}\nw\n" for i in range(40)}
     assert not [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("key=")]
+
+
+def test_shared_fixture_steps_are_made_once(spark, sf):
+    plan = optimized(registry.QUERIES["C01"](spark, sf))
+    assert "dense_rank" not in plan and plan.count("Join") == 0  # articles and clauses are read, not made for each reader
