@@ -131,7 +131,8 @@ def hash_words(texts: pa.Array, inside: np.ndarray, shapes: bool = False) -> tup
     data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if rows and buffer is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     value = np.where(inside, _byte_values(), np.uint64(0))
-    power, inverse = _powers(_POWER, _CHUNK), _powers(_INVERSE, _CHUNK)
+    most = max(1, min(_CHUNK, len(data)))
+    power, inverse = _powers(_POWER, most), _powers(_INVERSE, most)
     found, starts, sizes, capitals, at = [], [], [], [], 0
     while at < len(data):
         end = min(at + _CHUNK, len(data))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ BITS = 20
 #: Labelled rows that training takes at most (those with the smallest hash of doc_id), and rows of one learner.
 TRAIN_ROWS, LEARNER_ROWS = 20_000, 5_000
 EPOCHS = 4
+#: Bytes of text whose words are held at a time.
+SLICE = 1 << 20
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 strength.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 #: Bytes of runs of ASCII punctuation.
@@ -24,8 +27,18 @@ def features(texts: pa.Array, bits: int = BITS):
     """For each text its feature numbers and values (of length 1 together; 0 is the constant feature).
 
     n-grams of three streams: words (1, 2), runs of punctuation (1, 2) and word shapes (1 to 3): how a
-    word is capitalised, its length class, and whether it repeats the word before it.
+    word is capitalised, its length class, and whether it repeats the word before it. Texts are taken
+    ``SLICE`` bytes at a time, so memory does not grow with their number.
     """
+    until = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + SLICE, "right")))
+        yield from _features(texts.slice(at, end - at), bits)
+        at = end
+
+
+def _features(texts: pa.Array, bits: int):
     word, at, size, caps = hash_words(texts, ALNUM, shapes=True)
     mark, mark_at = hash_words(texts, MARKS)
     same = np.zeros(len(word), np.int64)

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +257,30 @@ def test_quality_like_brute_force(spark):
     assert max(abs(got[i] - scored(x[i])) for i, _ in docs) < 1e-4
 
 
+def test_features_take_texts_in_slices(monkeypatch):
+    draw = random.Random(12)
+    texts = ["A long word-list " + " ".join(draw.choice(("Ab", "cd!", "éf", "...", "x1")) for _ in range(draw.randint(0, 400))) for _ in range(800)]
+    texts[5:9] = [None, "", "y " * 3000, None]
+
+    monkeypatch.setattr(Q, "SLICE", 1 << 17, raising=False)
+
+    def peak(column):
+        tracemalloc.start()
+        found = sum(len(i) for i, _ in Q.features(column))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, most
+
+    once, often = pa.array(texts), pa.array(texts * 6)
+    (n, small), (m, large) = peak(once), peak(often)
+    assert m == 6 * n and large < 1.5 * small
+    whole = list(Q.features(once))
+    monkeypatch.setattr(Q, "SLICE", 700)
+    for (i, x), (j, y) in zip(whole, Q.features(once.slice(0)), strict=True):
+        assert (i == j).all() and (x == y).all()
+    assert list(Q.features(pa.array([], pa.string()))) == []
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
