@@ -111,3 +111,33 @@ def test_files_stand_in_one_folder(spark):
 def test_shared_fixture_steps_are_made_once(spark, sf):
     plan = optimized(registry.QUERIES["C01"](spark, sf))
     assert "dense_rank" not in plan and plan.count("Join") == 0  # articles and clauses are read, not made for each reader
+
+
+def test_scores_are_summed_where_chunks_are(spark, sf):
+    plan = registry.QUERIES["R02"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan)))
+    assert not any("query_id" in keys and "chunk_id" in keys or "chunk_id" in keys and "term" in keys for keys in dealt)
+
+
+def test_buckets_are_compared_without_rows_of_pairs(spark):
+    draw = np.random.RandomState(8)
+    rows = [(i, [float(x) for x in draw.standard_normal(6).round(2)]) for i in range(300)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = S.approx_vector_search(e.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), e, 5, 6, tables=2, bits=3)
+    assert " join" not in optimized(found).lower()
+    planes = np.random.RandomState(3).standard_normal((2, 3, 6)).round(4)
+    m = np.array([v for _, v in rows], np.float32).astype(float)
+    bucket = [[tuple(t @ v > 0) for t in planes] for v in m]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(20):
+        near = [i for i in range(300) if any(a == b for a, b in zip(bucket[q], bucket[i]))]
+        best = sorted(near, key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5]
+        assert [r.chunk_id for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == best
+
+
+def test_queries_stay_out_of_the_shuffle_of_words(spark):
+    pairs = spark.createDataFrame([(1, "a b, c. B", "b c")], "id long, text string, query string")
+    out = S.highlight(pairs)
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange") == 1 and not re.search(r"Sort \[.*\n.*Exchange.*\n.*Project \[[^]]*\bq\b", plan)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, "a <mark>b</mark>, <mark>c</mark>. <mark>B</mark>", 2)]
