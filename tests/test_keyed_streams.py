@@ -57,6 +57,24 @@ def test_sessions_end_and_leave_no_state(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # of session 5 alone: facts, messages, timer
 
 
+def test_a_new_session_asks_little_of_its_state():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            return lambda *a: calls.append(f"{self.name}.{what}")
+
+    memory = T.SessionMemory("string", 2, 24)
+    memory.handle, memory.facts, memory.system, memory.others = map(State, ("handle", "facts", "system", "others"))
+    rows = [{"at": 3_600_000 * h, "turn": h, "role": role, "text": "x"} for h, role in ((5, "user"), (1, "user"), (3, "system"), (4, "user"))]
+    (row,) = memory.handleInputRows(("a",), iter(rows), None)
+    assert sorted(calls) == ["facts.get", "facts.update", "handle.registerTimer", "others.put", "system.appendList"]
+    assert (row.conv_id, row.seen, row.expired, row.created.hour, [m.turn for m in row.messages]) == ("a", 4, False, 1, [3, 5])
+
+
 def test_batch_filter_of_sessions(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01 09:00:00")], "conv_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.conv_id for r in T.sessions_left(df, 24, F.to_timestamp(F.lit("2024-01-02 08:00:00"))).collect()] == [2]
