@@ -11,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     builder = SparkSession.builder.master("local[4]").appName("tests")
-    for k, v in {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": own, "spark.sql.warehouse.dir": f"{own}/warehouse"}.items():
+    for k, v in {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.maxMetadataStringLength": "1000", "spark.local.dir": own, "spark.sql.warehouse.dir": f"{own}/warehouse"}.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
