@@ -138,6 +138,7 @@ def test_buckets_are_compared_without_rows_of_pairs(spark):
 def test_queries_stay_out_of_the_shuffle_of_words(spark):
     pairs = spark.createDataFrame([(1, "a b, c. B", "b c")], "id long, text string, query string")
     out = S.highlight(pairs)
-    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().executedPlan().toString())
-    assert plan.count("Exchange") == 1 and not re.search(r"Sort \[.*\n.*Exchange.*\n.*Project \[[^]]*\bq\b", plan)
+    lines = re.sub(r"#\d+L?", "", optimized(out)).split("\n")
+    last = max(i for i, line in enumerate(lines) if "windowspecdefinition(id, i" in line)
+    assert "Project" in lines[last + 1] and not re.search(r"\bq\b", lines[last + 1])
     assert [tuple(r) for r in out.collect()] == [(1, 1, "a <mark>b</mark>, <mark>c</mark>. <mark>B</mark>", 2)]
