@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand elsewhere. One goes if no line of MIN_CHARS is left and each
     shorter one that is not blank occurs in an earlier document too; short lines themselves always stay."""
     out = dedup_lines(docs.select(*COLUMNS)).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))))
-    each = lambda df, doc: df.select(doc.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", _trimmed(F.col("line")).alias("line"))
+    each = lambda df, doc: df.select(doc.alias("doc"), F.explode_outer(F.split("text", "\n")).alias("line")).select("doc", _trimmed(F.col("line")).alias("line"))
     asked = saved(each(out.where("emptied"), F.col("doc")).where("line != ''").distinct())
     every = each(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     first = every.where(F.length("line") < MIN_CHARS).join(asked.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("doc").alias("first"))

@@ -11,12 +11,14 @@ meet first (the first of each of its buckets), each line is compared with the on
 and components are formed; in buckets that stay crowded the lines outside the largest component meet some
 of its lines in a few more rounds. At last, in each bucket that still has several components, every line
 outside the largest one is compared with all candidates of other components, so no candidate pair is lost:
-by a sketch that never refuses a copy, then by exact Jaccard as all links are. For this a large bucket is dealt into
-blocks of bounded size, where pairs are told apart in the join itself and only links come out of it.
+by a sketch that never refuses a copy, for which a large bucket is dealt into blocks of bounded size. What the
+sketch lets through is told apart by exact Jaccard, as all links are; texts are shuffled for such pairs alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +42,19 @@ _HASHES = [f"m{i}" for i in range(2 * BANDS)]
 _PARITIES = [f"p{i}" for i in range(SKETCH)]
 
 
+_BLANKS = " \t\r\f\u00a0"
+
+
 def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\f\u00a0"))
+    # trim looks at every character, so only lines with a blank at an end are given to it
+    ends = [at(line, F.lit(c)) for c in _BLANKS for at in (F.startswith, F.endswith)]
+    return F.when(reduce(Column.__or__, ends), F.trim(line, F.lit(_BLANKS))).otherwise(line)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``(doc, pos, line, line_id)`` of the lines that may be copies; a null doc_id counts as the least."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # outer: for the inner form Spark would split all texts once more, to ask whether there are any lines
+    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     return lines.where(F.length(_trimmed(F.col("line"))) >= min_chars).withColumn("line", F.lower(_trimmed(F.col("line")))).withColumn("line_id", F.xxhash64("line"))
 
 
@@ -63,7 +71,7 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(line_id, first_doc, n, m0, ..)``: each distinct line with its number of occurrences and, for each
     seed, the least of the seeded hashes of its shingles. Lines are aggregated where they are read."""
     wide = lines.select("doc", "line_id", F.encode("line", "UTF-32").alias("wide")).withColumn("last", _last(F.col("wide"), shingle))
-    rows = wide.select("doc", "line_id", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STRIDE))).alias("at"))
+    rows = wide.select("doc", "line_id", "wide", "last", F.explode_outer(F.sequence(F.lit(0), "last", F.lit(STRIDE))).alias("at"))
     hashed = rows.select("doc", "line_id", "at", *[_hash(F.col("wide"), F.least(F.col("at") + j, F.col("last")), shingle).alias(f"h{j}") for j in range(STRIDE)])
     least = lambda seed: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(seed)) for j in range(STRIDE)]))
     first = [F.min("doc").alias("first_doc"), F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n")]
@@ -80,10 +88,9 @@ def _shingles(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), every), 0))  # the line is encoded once
 
 
-def _jaccard(a: Column, b: Column, shingle: int) -> Column:
-    sets = F.array(F.struct(_shingles(a, shingle).alias("a"), _shingles(b, shingle).alias("b")))
-    both = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s.a, s.b)).alias("both"), (F.size(s.a) + F.size(s.b)).alias("all")))
-    return F.coalesce(F.get(F.transform(both, lambda s: s.both / (s.all - s.both)), 0), F.lit(0.0))
+def _alike(both: Column, a: Column, b: Column, alike: float) -> Column:
+    """Whether sets of ``a`` and ``b`` elements that share ``both`` reach the similarity."""
+    return both * (1 + alike) >= alike * (a + b)
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
@@ -97,7 +104,7 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 def sketches(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(line_id, size, p0, ..)``: the number of distinct shingles of each line, and for each bit whether
     the number of shingles that fall on it is odd."""
-    each = lines.select("line_id", F.explode(_shingles(F.col("line"), shingle)).alias("h"))
+    each = lines.select("line_id", F.explode_outer(_shingles(F.col("line"), shingle)).alias("h"))
     each = each.select("line_id", F.pmod(F.shiftright("h", 6), F.lit(SKETCH)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int")).alias("one"))
     return each.groupBy("line_id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("one")).otherwise(0)).alias(p) for k, p in enumerate(_PARITIES)])
 
@@ -118,7 +125,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
 
     ``distinct`` has the signatures of the lines of ``docs``.
     """
-    rows = distinct.select("line_id", F.explode(_bands()).alias("band"))
+    rows = distinct.select("line_id", F.explode_outer(_bands()).alias("band"))
     firsts = saved(rows.groupBy("band").agg(F.min("line_id").alias("head"), F.max("line_id").alias("last")).where("head < last").select("band", "head"), release=True)
     buckets = saved(sieved(rows, "band", firsts).join(firsts, "band"))
     ids = saved(buckets.select("line_id").distinct())
@@ -129,16 +136,25 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     discard(firsts)
     other = signed.select(F.col("line_id").alias("head"), *[F.col(m).alias(f"o{m}") for m in _HASHES])
 
-    def confirmed(asked: DataFrame) -> DataFrame:
-        both = asked.join(texts, "line_id").join(texts.select(F.col("line_id").alias("head"), F.col("line").alias("other")), "head")
-        return both.where(_jaccard(F.col("line"), F.col("other"), shingle) >= alike).select(F.col("line_id").alias("a"), F.col("head").alias("b"))
+    # few bytes, much to compute: by a fixed number of partitions, which are not coalesced by size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The ``(a, b)`` of ``pairs(line_id, head)`` that are copies. The texts of these pairs alone are shuffled, each
+        row's set is made once, where it is compared, and rows are sorted before they hold sets."""
+        asked = saved(pairs)
+        own = asked.join(sieved(texts, "line_id", asked), "line_id")
+        heads = sieved(texts.select(F.col("line_id").alias("head"), "line"), "head", asked)
+        placed = lambda rows, name: rows.repartition(tasks, "head").sortWithinPartitions("head").withColumn(name, _shingles(F.col("line"), shingle)).drop("line")
+        copies = _alike(F.size(F.array_intersect("hashes", "ohashes")), F.size("hashes"), F.size("ohashes"), alike)
+        return placed(own, "hashes").join(placed(heads, "ohashes"), "head").where(copies).select(F.col("line_id").alias("a"), F.col("head").alias("b"))
 
     def best(pairs: DataFrame) -> DataFrame:
         both = pairs.join(signed, "line_id").join(other, "head").where(_same() >= LIKELY)
         return saved(confirmed(both.select("line_id", "head", _same().alias("same")).groupBy("line_id").agg(F.max_by("head", F.struct("same", "head")).alias("head"))))
 
-    def by_component() -> DataFrame:
-        at = buckets.join(joined, F.col("line_id") == F.col("node"), "left")
+    def by_component(rows: DataFrame) -> DataFrame:
+        at = rows.select("band", "line_id").join(joined, F.col("line_id") == F.col("node"), "left")
         return _unsettled(at.select("band", "line_id", F.coalesce("component", "line_id").alias("component")))
 
     def extended(links: DataFrame) -> DataFrame:
@@ -146,35 +162,32 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
         return saved(components(known.union(links)))
 
     joined = saved(components(best(buckets.where("line_id != head").select("line_id", "head"))))
-    rest = by_component()
+    every = by_component(buckets)
+    busy = F.col("n") * F.col("others") > CROWDED
+    # the other buckets keep the components of now: lines joined later are compared once more, none less
+    calm, crowded = every.where(~busy), every.where(busy)
     for k in range(ROUNDS):
-        crowded = rest.where(F.col("n") * F.col("others") > CROWDED)
         drawn = F.pmod(F.xxhash64(F.lit(k), "line_id"), F.ceil((F.col("n") - F.col("others")) / HEADS)) == 0
-        heads = crowded.where((F.col("component") == F.col("main")) & drawn).select("band", F.col("line_id").alias("head"))
-        links = best(crowded.where("component != main").select("band", "line_id").join(heads, "band").select("line_id", "head"))
+        heads = crowded.where(busy & (F.col("component") == F.col("main")) & drawn).select("band", F.col("line_id").alias("head"))
+        links = best(crowded.where(busy & (F.col("component") != F.col("main"))).select("band", "line_id").join(heads, "band").select("line_id", "head"))
         if links.isEmpty():
             break
         joined = extended(links)
-        rest = by_component()
+        crowded = by_component(crowded)
     # of the lines of one bucket, those of different components have not all met
-    asked = texts.join(rest.select("line_id").distinct(), "line_id", "left_semi")
-    drawn = saved(asked.join(sketches(asked, shingle), "line_id"), release=True)
+    rest = calm.union(crowded)
+    drawn = saved(sketches(texts.join(rest.select("line_id").distinct(), "line_id", "left_semi"), shingle), release=True)
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    # few bytes, much to compute: by a fixed number of partitions, which are not coalesced by size
-    tasks, keys = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["band", "i", "j"]
-    # texts are shuffled; each row's set is made once, where it is compared
-    placed = lambda rows: rows.repartition(tasks, *keys).withColumn("hashes", _shingles(F.col("line"), shingle)).drop("line")
-    every = placed(rest.join(drawn, "line_id").withColumns({"i": dealt(across), "j": each(down)}).drop("n", "others"))
+    keys = ["band", "i", "j"]
+    placed = rest.join(drawn, "line_id").withColumns({"i": dealt(across), "j": each(down)}).drop("n", "others").repartition(tasks, *keys)
     outside = rest.where("component != main").select("band", "line_id", "component", dealt(down).alias("j"), each(across).alias("i"))
-    outside = placed(outside.join(drawn, "line_id"))
+    outside = outside.join(drawn, "line_id").repartition(tasks, *keys)
     outside = outside.select(*keys, *[F.col(c).alias("head" if c == "line_id" else f"o{c}") for c in outside.columns if c not in keys])
     differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    both = F.size(F.array_intersect("hashes", "ohashes"))
-    alike_all = differ & _able(alike) & (both * (1 + alike) >= alike * (F.col("size") + F.col("osize")))
-    links = every.join(outside, keys).where(alike_all)
-    return extended(links.select(F.col("line_id").alias("a"), F.col("head").alias("b")))
+    pairs = placed.join(outside, keys).where(differ & _able(alike)).select("line_id", "head").distinct()
+    return extended(confirmed(pairs))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:

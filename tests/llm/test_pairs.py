@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quoin.llm.common import SPACED, components, hash_words, shingle_hashes
-from quoin.llm import line_dedup
+from quoin.llm import common, line_dedup
 from quoin.llm.line_dedup import MIN_CHARS, SHINGLE, ALIKE, dedup_lines
 from quoin.llm.ngram_join import divide_skip, merge_skip, op5_ngram_join, similar_documents
 
@@ -290,3 +290,16 @@ def test_sketches_never_refuse_a_copy(spark):
     bits = lambda i, j: sum(bin((got[i][p] ^ got[j][p]) & (2**64 - 1)).count("1") for p in line_dedup._PARITIES)
     for i in range(len(lines)):
         assert all(bits(i, j) <= len(sets[i] ^ sets[j]) for j in range(i))
+
+
+def test_buckets_are_compared_by_sketches_alone(spark, monkeypatch):
+    """Sets of shingles are made for the pairs that sketches let through, not for each row of a bucket; texts are split once."""
+    plans, kept = [], common.saved
+    noted = lambda df, *a, **k: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, *a, **k))[1]
+    monkeypatch.setattr(common, "saved", noted)
+    monkeypatch.setattr(line_dedup, "saved", noted)
+    docs = spark.createDataFrame(list(enumerate(crowded_lines())), "doc_id long, text string")
+    assert dedup_lines(docs).where("emptied").count() > 0
+    assert any("array_intersect" in p for p in plans) and any("op15" in p and "band" in p for p in plans)
+    assert not any("array_intersect" in p and "band" in p for p in plans)
+    assert line_dedup._lines(docs, MIN_CHARS)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
