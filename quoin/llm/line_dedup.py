@@ -29,7 +29,7 @@ MIN_CHARS, SHINGLE, ALIKE = 25, 12, 0.75
 #: Bands of two hashes each: 0.993 of the pairs at a similarity of 0.75, 0.9999 at 0.9, share one.
 BANDS = 6
 #: Lines of a block, and the comparisons above which a bucket has up to ROUNDS more rounds with about HEADS lines to meet.
-BLOCK, CROWDED, ROUNDS, HEADS = 512, 65536, 2, 8
+BLOCK, CROWDED, ROUNDS, HEADS = 512, 4096, 2, 8
 #: Of the hashes, those that a line must share to be met before the blocks.
 LIKELY = 7
 #: 64-bit words of a line's parity sketch.
@@ -78,8 +78,18 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return hashed.groupBy("line_id").agg(*first, *[F.shiftright(least(s), 32).cast("int").alias(m) for m, s in zip(_HASHES, _SEEDS)])
 
 
+def _band(b: int) -> Column:
+    return F.xxhash64(F.lit(b), f"m{2 * b}", f"m{2 * b + 1}")
+
+
 def _bands() -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), f"m{2 * b}", f"m{2 * b + 1}") for b in range(BANDS)])
+    return F.array(*[_band(b) for b in range(BANDS)])
+
+
+def _first_shared() -> Column:
+    """The first of the buckets that two lines share: they are compared there alone."""
+    both = lambda b: reduce(Column.__and__, [F.col(f"m{k}") == F.col(f"om{k}") for k in (2 * b, 2 * b + 1)])
+    return F.coalesce(*[F.when(both(b), _band(b)) for b in range(BANDS)])
 
 
 def _shingles(line: Column, shingle: int) -> Column:
@@ -176,7 +186,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
         crowded = by_component(crowded)
     # of the lines of one bucket, those of different components have not all met
     rest = calm.union(crowded)
-    drawn = saved(sketches(texts.join(rest.select("line_id").distinct(), "line_id", "left_semi"), shingle), release=True)
+    drawn = saved(sketches(texts.join(rest.select("line_id").distinct(), "line_id", "left_semi"), shingle).join(signed, "line_id"), release=True)
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     dealt = lambda blocks: F.pmod(F.xxhash64("line_id"), blocks)
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
@@ -186,7 +196,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHA
     outside = outside.join(drawn, "line_id").repartition(tasks, *keys)
     outside = outside.select(*keys, *[F.col(c).alias("head" if c == "line_id" else f"o{c}") for c in outside.columns if c not in keys])
     differ = (F.col("component") != F.col("ocomponent")) & ((F.col("component") == F.col("main")) | (F.col("line_id") < F.col("head")))
-    pairs = placed.join(outside, keys).where(differ & _able(alike)).select("line_id", "head").distinct()
+    pairs = placed.join(outside, keys).where(differ & (F.col("band") == _first_shared()) & _able(alike)).select("line_id", "head")
     return extended(confirmed(pairs))
 
 
