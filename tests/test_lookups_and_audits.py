@@ -79,3 +79,23 @@ def test_counts_of_empty_tables(spark):
     relations = spark.createDataFrame([], "src string, dst string, type string")
     tables, counts = A.post_process(nodes, relations, ((1, 1, None),))
     assert all(df.collect() == [] for df in tables.values()) and set(counts.read().values()) == {0}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_filter_by_whatever_is_named(spark, strict):
+    """Also by a clause or a point alone, by a loose law without an article, and by an article with its word."""
+    draw = random.Random(6)
+    pick = lambda *values: draw.choice([None, "", *values])
+    schema = "law string, article string, clause string, point string"
+    chunks = [(i, pick("1/2019/QH14", "Luật 1/2019", "2/2019/qh14"), pick("1", "Điều 1", "2", "Điều Điều 1"), pick("1", "2"), pick("a", "b")) for i in range(150)]
+    refs = [(i, pick("1/2019", "/qh14", "1/2019/QH14"), pick("1", "Điều 1", "Điều 2"), pick("1"), pick("A", "b")) for i in range(150)]
+
+    def meets(r, c):
+        law, article, clause, point = r[1:]
+        of_law = not law or c[1] and (c[1] == law if strict else law.lower() in c[1].lower())
+        of_article = not article or (c[2] == article if article.startswith("Điều") else c[2] in (article, f"Điều {article}"))
+        return any(r[1:]) and of_law and of_article and (not clause or c[3] == clause) and (not point or c[4] == point.lower())
+
+    found = R.legal_filter(spark.createDataFrame(chunks, f"chunk_id long, {schema}"), spark.createDataFrame(refs, f"query_id long, {schema}"), strict)
+    assert sorted(map(tuple, found.collect())) == sorted((r[0], c[0]) for r in refs for c in chunks if meets(r, c))
+    assert R.legal_filter(spark.createDataFrame(chunks, f"chunk_id long, {schema}"), spark.createDataFrame([(1, None, "", None, None)], f"query_id long, {schema}"), strict).collect() == []
