@@ -142,3 +142,9 @@ def test_queries_stay_out_of_the_shuffle_of_words(spark):
     last = max(i for i, line in enumerate(lines) if "windowspecdefinition(id, i" in line)
     assert "Project" in lines[last + 1] and not re.search(r"\bq\b", lines[last + 1])
     assert [tuple(r) for r in out.collect()] == [(1, 1, "a <mark>b</mark>, <mark>c</mark>. <mark>B</mark>", 2)]
+
+
+def test_a_query_is_cut_once_a_text(spark):
+    lines = optimized(S.highlight(spark.createDataFrame([(1, "a b", "b c")], "id long, text string, query string"))).split("\n")
+    made = next(i for i, line in enumerate(lines) if "Generate " in line)
+    assert [i > made for i, line in enumerate(lines) if "lower(query" in line] == [True]  # below the explode, not above it for each word
