@@ -86,3 +86,16 @@ def test_batch_wins_ties(spark):
     old = spark.createDataFrame([(1, "old", 5), (2, "old", 7), (3, "old", 1)], "id long, text string, version long")
     new = spark.createDataFrame([(1, "new", 5), (2, "new", 6), (4, "new", 1)], "id long, text string, version long")
     assert sorted((r.id, r.text) for r in upsert(old, new, ("id",), "version").collect()) == [(1, "new"), (2, "old"), (3, "old"), (4, "new")]
+
+
+def test_batch_search_takes_words_of_any_script_and_answers_every_query(spark, tmp_path):
+    texts = [(1, "Điều khoản"), (2, "điều"), (3, "закон i u"), (4, None), (5, "Größe"), (6, "gr e")]
+    asked = [(1, "điều"), (2, "Закон"), (3, "größe"), (4, "nothing"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["R19"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, None), (5, 0, None)]
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(c.execute(registry.ORACLES["R19"]).fetchall()) == got
